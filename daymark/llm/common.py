@@ -87,6 +87,6 @@ def put(path: str, name: str, data: bytes | Callable) -> None:
     file_system, at = folder(path)
     file_system.create_dir(at, recursive=True)
     part = f"{at}/.{name}.{uuid.uuid4().hex[:8]}"
-    with file_system.open_output_stream(part) as out:
+    with file_system.open_output_stream(part, compression=None) as out:
         data(out) if callable(data) else out.write(data)
     file_system.move(part, f"{at}/{name}")
