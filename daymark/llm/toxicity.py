@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosines from a block-max inverted index.
 
-The index holds a bounded, stratified sample of labelled documents. Its vocabulary is the words whose document
+The index holds a bounded, stratified sample of labelled documents. A document's terms are its words and their
+beginnings, once for each level that their count reaches. The vocabulary is the terms whose document
 frequency in the sample differs most between the labels (near copies count once); their inverse document frequencies come from all documents.
 Examples are laid out in blocks; each term keeps its postings block by block and the largest weight in each block.
 A query visits blocks by falling upper bound and stops when the bound of the next is below its k-th best cosine, so
@@ -13,11 +14,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import Memo
 from .common import keep_text, mapped, table
 from .labelled import held_out, labelled_sample
 
@@ -27,10 +30,14 @@ VOCABULARY = 1024
 #: Least difference of a word's document frequencies between the labels, in standard errors.
 LEAST_Z = 4.0
 #: And least part of the best word's difference, which leaves out words that a few alike documents bring along.
-LEAST_PART = 0.5
+LEAST_PART = 0.3
+#: Letters of a word's beginning that count as a key of their own, and the counts that each make a term.
+BEGINNING = 5
+LEVELS = (1, 2, 3, 4, 6, 8, 12)
 BLOCK = 64
 K = 15
-#: The prior's vote, in cosines.
+#: A vote is the cosine to this power; the prior has a vote too.
+SHARPNESS = 4
 PRIOR_VOTE = 0.2
 WORD = re.compile(r"\w+")
 
@@ -39,6 +46,37 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def keys(word: str) -> tuple[str, ...]:
+    """What a word counts for: itself, and its beginning where it is longer."""
+    return (word, word[:BEGINNING] + "*") if len(word) > BEGINNING else (word,)
+
+
+def reached(counts: dict[str, int]) -> list[str]:
+    """A key and level for each level that the key's count reaches; these are the index's terms."""
+    return [f"{key}#{level}" for key, n in counts.items() for level in LEVELS if n >= level]
+
+
+def terms_of(ws: list[str]) -> list[str]:
+    counts: Counter = Counter()
+    for w, n in Counter(ws).items():
+        for key in keys(w):
+            counts[key] += n
+    return reached(counts)
+
+
+class Vocabulary:
+    """The chosen terms, and a fast way from a text to those that it has."""
+
+    def __init__(self, terms: list[str]):
+        self.at = {t: i for i, t in enumerate(terms)}
+        wanted = {t.rpartition("#")[0] for t in terms}
+        self.keys_of = Memo(lambda w: tuple(k for k in keys(w) if k in wanted), 200_000)
+
+    def ids(self, text: str) -> np.ndarray:
+        counts: Counter = Counter(chain.from_iterable(map(self.keys_of.__getitem__, words(text))))
+        return np.array(sorted(self.at[t] for t in reached(counts) if t in self.at), np.int64)
+
+
 def sketch(ws: list[str], n: int = 5) -> int:
     """The least hash of a text's word n-grams: near copies mostly share it, and then count once as evidence for a word."""
     return min((zlib.crc32(" ".join(ws[i : i + n]).encode()) for i in range(max(1, len(ws) - n + 1))), default=0)
@@ -59,13 +97,10 @@ def choose_terms(counts: dict[int, Counter], totals: dict[int, int], most: int =
     return [w for z, w in sorted(out)[:most] if z <= LEAST_PART * min(out)[0]]
 
 
-def vector(text_terms: Counter, at: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and unit-length TF-IDF weights of a document; tf is 1 + ln(count)."""
-    own = sorted((at[w], n) for w, n in text_terms.items() if w in at)
-    ids = np.array([i for i, _ in own], np.int32)
-    value = (1 + np.log(np.array([n for _, n in own], np.float64))) * idf[ids] if own else np.empty(0)
-    norm = float(np.sqrt((value * value).sum()))
-    return ids, value / norm if norm else value
+def unit(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit-length TF-IDF weights of a document's terms."""
+    value = idf[ids]
+    return value / np.sqrt((value * value).sum()) if len(ids) else value
 
 
 class BlockMaxIndex:
@@ -113,72 +148,68 @@ class BlockMaxIndex:
         return at[top], s[top]
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many each of these terms occurs, over all documents.
 
     Each task sums its part for this bounded list of terms first.
     """
-    at = {w: i for i, w in enumerate(terms)}
 
     def run(batches):
-        sums, n = np.zeros(len(at), np.int64), 0
+        vocabulary = Vocabulary(terms)
+        sums, n = np.zeros(len(terms), np.int64), 0
         for b in batches:
             texts = b.column("text").to_pylist()
             n += len(texts)
             for t in texts:
-                own = at.keys() & set(words(t))
-                sums[[at[w] for w in own]] += 1
+                sums[vocabulary.ids(t)] += 1
         if n:
-            yield [-1, *range(len(at))], [n, *sums.tolist()]
+            yield [-1, *range(len(terms))], [n, *sums.tolist()]
 
     rows = mapped(keep_text(docs).select("text"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     got = {r.term: r.n for r in rows}
-    return got.pop(-1, 0), {w: got.get(i, 0) for w, i in at.items()}
+    return got.get(-1, 0), np.array([got.get(i, 0) for i in range(len(terms))], np.float64)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, most: int = SAMPLE) -> dict:
     """The index and what a query needs with it."""
     sample, weights = labelled_sample(docs, labels, label, modulus, remainder, most)
 
-    def shortened(batches):
+    def listed(batches):
         for b in batches:
-            listed = [words(t) for t in b.column("text").to_pylist()]
-            own = [Counter(ws) for ws in listed]
-            yield b.column("doc_id"), b.column("label"), [list(c) for c in own], [list(c.values()) for c in own], [sketch(ws) for ws in listed]
+            own = [words(t) for t in b.column("text").to_pylist()]
+            yield b.column("label"), [sketch(ws) for ws in own], [terms_of(ws) for ws in own]
 
-    # at most `most` rows; every example's words and their counts
-    rows = mapped(sample.select("doc_id", "label", "text"), shortened, "doc_id long, label int, words array<string>, n array<int>, sketch long")
-    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    totals: Counter = Counter()
-    for r in rows.select("label", "sketch", F.explode("words").alias("word")).groupBy("label", "word").agg(F.count_distinct("sketch").alias("n")).where("n >= 3 or label = 0").toLocalIterator():
-        counts[r.label][r.word] = r.n
+    # at most `most` rows: what the words of the examples tell
+    rows = mapped(sample.select("label", "text"), listed, "label int, sketch long, terms array<string>")
     told_apart = {r.label: r.n for r in rows.groupBy("label").agg(F.count_distinct("sketch").alias("n")).collect()}
-    totals.update({r.label: r["count"] for r in rows.groupBy("label").count().collect()})
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    both = rows.select("label", "sketch", F.explode("terms").alias("term")).groupBy("term").agg(*(F.count_distinct(F.when(F.col("label") == y, F.col("sketch"))).alias(f"n{y}") for y in (0, 1)))
+    for r in both.where("n1 >= 3 and n1 > n0 / 4").toLocalIterator():
+        counts[0][r.term], counts[1][r.term] = r.n0, r.n1
     terms = choose_terms(counts, told_apart)
     n, df = document_frequencies(docs, terms)
-    idf = np.array([np.log((1 + n) / (1 + df[w])) + 1 for w in terms])
-    at = {w: i for i, w in enumerate(terms)}
+    idf = np.log((1 + n) / (1 + df)) + 1
 
     def weighed(batches):
+        vocabulary = Vocabulary(terms)
         for b in batches:
-            own = [vector(Counter({w: c for w, c in zip(ws, ns, strict=True) if w in at}), at, idf) for ws, ns in zip(b.column("words").to_pylist(), b.column("n").to_pylist(), strict=True)]
-            yield b.column("doc_id"), b.column("label"), [i.tolist() for i, _ in own], [v.tolist() for _, v in own]
+            yield b.column("doc_id"), b.column("label"), [vocabulary.ids(t).tolist() for t in b.column("text").to_pylist()]
 
-    got = mapped(rows, weighed, "doc_id long, label int, ids array<int>, weights array<double>").collect()
+    got = mapped(sample.select("doc_id", "label", "text"), weighed, "doc_id long, label int, ids array<int>").collect()
     got.sort(key=lambda r: (min(r.ids, default=len(terms)), r.doc_id))  # alike examples share blocks, which tightens bounds
+    votes = Counter()
+    for r in got:
+        votes[r.label] += weights.get(r.label, 1.0)
     return {
-        "terms": at, "idf": idf, "doc_id": np.array([r.doc_id for r in got], np.int64), "label": np.array([r.label for r in got], np.int64),
-        "vote": np.array([weights.get(r.label, 1.0) for r in got]), "index": BlockMaxIndex([(np.array(r.ids, np.int32), np.array(r.weights)) for r in got], len(terms)),
-        "prior": sum(weights.get(y, 0) * n for y, n in totals.items() if y == 1) / max(sum(weights.get(y, 0) * n for y, n in totals.items()), 1e-9) if totals else 0.5,
+        "terms": terms, "idf": idf, "doc_id": np.array([r.doc_id for r in got], np.int64), "label": np.array([r.label for r in got], np.int64),
+        "vote": np.array([weights.get(r.label, 1.0) for r in got]), "prior": votes[1] / sum(votes.values()) if votes else 0.5,
+        "index": BlockMaxIndex([(ids := np.array(r.ids, np.int64), unit(ids, idf)) for r in got], len(terms)),
     }
 
 
-def score_one(text: str, model: dict, k: int = K) -> tuple[float, np.ndarray, np.ndarray]:
-    at = model["terms"]
-    own = [w for w in words(text) if w in at]
-    ids, values = vector(Counter(own), at, model["idf"])
-    near, cosine = model["index"].nearest(ids, values, k)
-    vote = cosine * model["vote"][near]
+def score_one(ids: np.ndarray, model: dict, k: int = K) -> tuple[float, np.ndarray, np.ndarray]:
+    near, cosine = model["index"].nearest(ids, unit(ids, model["idf"]), k)
+    vote = cosine**SHARPNESS * model["vote"][near]
     score = (float(vote[model["label"][near] == 1].sum()) + PRIOR_VOTE * model["prior"]) / (float(vote.sum()) + PRIOR_VOTE)
     return score, near, cosine
 
@@ -192,8 +223,9 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
     def run(batches):
         m = sent.value
+        vocabulary = Vocabulary(m["terms"])
         for b in batches:
-            own = [score_one(t, m) for t in b.column("text").to_pylist()]
+            own = [score_one(vocabulary.ids(t), m) for t in b.column("text").to_pylist()]
             said = [[{"doc_id": int(m["doc_id"][i]), "label": int(m["label"][i]), "cosine": float(c)} for i, c in zip(near[:evidence], cosine[:evidence], strict=True)] for _, near, cosine in own]
             yield b.column("doc_id"), [s for s, _, _ in own], said
 
