@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules with QUERIES, and ORACLES where SQL can express one.
-MODULES = ("byte_bpe", "token_files", "warc", "quality", "toxicity")
+MODULES = ("byte_bpe", "token_files", "warc", "quality", "toxicity", "fingerprints")
 
 
 def _gathered(name: str) -> dict:
