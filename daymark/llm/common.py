@@ -90,3 +90,22 @@ def put(path: str, name: str, data: bytes | Callable) -> None:
     with file_system.open_output_stream(part, compression=None) as out:
         data(out) if callable(data) else out.write(data)
     file_system.move(part, f"{at}/{name}")
+
+
+def range_cuts(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Cuts that split a numeric column into about equal ranges; only the column is read."""
+    if parts < 2:
+        return []
+    own = df.select(F.col(column).cast("double").alias("x"))
+    return sorted(set(own.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)))
+
+
+def by_range(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
+    """df with a column part: the number of cuts at or below the value, 0 for null. Larger values never get a smaller part."""
+    from pyspark.ml.feature import Bucketizer
+
+    if not cuts:
+        return df.withColumn("part", F.lit(0))
+    splits = [-float("inf"), *cuts, float("inf")]
+    keyed = df.withColumn("range_key", F.coalesce(F.col(column).cast("double"), F.lit(-1e300)))
+    return Bucketizer(splits=splits, inputCol="range_key", outputCol="range_part").transform(keyed).withColumn("part", F.col("range_part").cast("int")).drop("range_key", "range_part")

@@ -16,11 +16,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_text, mapped, table
+from .common import by_range, keep_text, mapped, range_cuts, table
 
 BINS = 128
 LEVELS = 12
@@ -174,19 +173,14 @@ def in_order(docs: DataFrame, partitions: int) -> DataFrame:
     rows without id come last.
     """
     spark = docs.sparkSession
-    own = keep_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    cuts = own.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / partitions for i in range(1, partitions)], 0.2 / partitions) if partitions > 1 else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) > 2:
-        own = Bucketizer(splits=splits, inputCol="x", outputCol="part").transform(own.withColumn("x", F.col("doc_id").cast("double"))).select("doc_id", "text", F.col("part").cast("int").alias("part"))
-    else:
-        own = own.withColumn("part", F.lit(0))
+    cuts = range_cuts(docs, "doc_id", partitions)
+    own = by_range(keep_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "doc_id", cuts)
     firsts = sorted((r.part, r.doc_id) for r in own.groupBy("part").agg(F.max("doc_id").alias("doc_id")).collect())
     lent = [(doc_id, firsts[(k + 1) % len(firsts)][0]) for k, (_, doc_id) in enumerate(firsts)]
     few = F.broadcast(spark.createDataFrame(lent, "doc_id long, part int"))  # a row a partition
     lent_rows = own.drop("part").join(few, "doc_id").select("doc_id", "text", "part", F.lit(True).alias("borrowed"))
     both = own.withColumn("borrowed", F.lit(False)).unionByName(lent_rows)
-    return both.repartitionById(max(len(splits) - 1, 1), "part").sortWithinPartitions("borrowed", F.desc("doc_id"), "text").drop("part")
+    return both.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("borrowed", F.desc("doc_id"), "text").drop("part")
 
 
 def edited(text: str, after: str) -> str:

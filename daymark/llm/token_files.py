@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Memo
-from .common import WHITE, folder, fresh_dir, keep_text, mapped, put, table
+from .common import WHITE, by_range, folder, fresh_dir, keep_text, mapped, put, range_cuts, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -40,24 +40,49 @@ FRAME_BYTES = 1 << 18
 NO_ID = -(1 << 63)
 SEEK_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 CHUNK = re.compile(f"[^{WHITE}]+")
+#: Chunks of these characters are split here as the vocabulary's own pattern splits them (NFC leaves them as they are).
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\w\s])+")
+MEMO = 400_000
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next free one."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b if b in own else next(free)) for b in range(256)]
 
 
 class Encoder:
-    """The tokenizers library over chunks between white space, which this vocabulary drops and never joins over."""
+    """The tokenizers library, each distinct pre-token once while the memo holds it.
+
+    The vocabulary drops white space and joins nothing over it, so a text's ids are those of its chunks.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.chunk = Memo(self.encode_chunk)
+        self.letters = dict(enumerate(byte_letters()))
+        self.piece = Memo(self.encode_piece, MEMO)
+        self.chunk = Memo(self.encode_chunk, MEMO)
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        ids = self.library.encode(chunk, add_special_tokens=False).ids
+    def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def encode_piece(self, piece: str) -> bytes:
+        own = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(own)])
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        if PLAIN.fullmatch(chunk):
+            return b"".join(map(self.piece.__getitem__, PIECE.findall(chunk.lower())))
+        return self.packed(self.library.encode(chunk, add_special_tokens=False).ids)
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.chunk.__getitem__, CHUNK.findall(text)))
 
@@ -161,13 +186,16 @@ class Reader:
             yield int(self.doc_ids[k]), int(before[k]), data[at : at + int(self.counts[k]) * self.width]
 
 
-def write_token_files(encoded: DataFrame, path: str, files: int, width: int = 2) -> DataFrame:
+def write_token_files(encoded: DataFrame, path: str, cuts: list[float], width: int = 2) -> DataFrame:
     """Write (doc_id, ids) in ascending doc_id order as files of a folder; (file, part, n_docs, n_ids) a file.
 
+    cuts: where one file's range of doc_id ends and the next begins, from range_cuts over the documents themselves, so
+    that nothing is encoded to find them.
+
     Files are written whole under a name that the partition decides, so a repeated task writes the same again. Rows
     without doc_id come first, under the id NO_ID, and are null again when read.
     """
-    ordered = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = by_range(encoded, "doc_id", cuts).repartitionById(len(cuts) + 1, "part").select("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
 
     def run(batches):
         part, said = TaskContext.get().partitionId(), []
@@ -217,7 +245,7 @@ def op8_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path = fresh_dir(spark, "tokens")
     files = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    listing = write_token_files(encode_ids(docs), path, files)
+    listing = write_token_files(encode_ids(docs), path, range_cuts(docs, "doc_id", files))
     read = read_token_files(listing)
 
     def digest(batches):
