@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folder, fresh_dir, mapped, put, table
+from .common import by_range, folder, fresh_dir, mapped, put, range_cuts, table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
@@ -141,21 +141,29 @@ def write_warc(pages: DataFrame, path: str, archives: int, least: int = 0, **col
     rows = digested(pages, **columns)
     first = rows.where(F.length("payload") >= least).groupBy("digest", F.length("payload").alias("n_bytes")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1").select("digest", "n_bytes", "first")
-    roles = rows.select("page_id", "digest", F.length("payload").alias("n_bytes")).join(first, ["digest", "n_bytes"]).where("page_id != first").select("page_id", F.col("first").alias("refers_to")).distinct()
-    joined = rows.join(roles, "page_id", "left").repartitionByRange(archives, "page_id").sortWithinPartitions("page_id")
+    roles = rows.select("page_id", "digest", F.length("payload").alias("n_bytes")).join(first, ["digest", "n_bytes"]).where("page_id != first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    # one shuffle for the payloads: roles travel to their page's range, and meet it there in the order of the sort
+    cuts = range_cuts(pages, columns.get("id_col", "page_id"), archives)
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("is_page", F.lit(True)).unionByName(roles.withColumn("is_page", F.lit(False)), allowMissingColumns=True)
+    both = by_range(both, "page_id", cuts).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("page_id", "digest", "is_page")
 
     def run(batches):
         part, said = TaskContext.get().partitionId(), []
 
         def records():
+            role = (None, None, None)
             for b in batches:
-                for page_id, url, payload, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                    yield record(page_id, url, payload, len(payload), base64.b32encode(bytes.fromhex(digest)).decode(), refers_to)
+                for page_id, url, payload, digest, refers_to, is_page in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "is_page")), strict=True):
+                    if not is_page:
+                        role = (page_id, digest, refers_to)
+                    else:
+                        first = role[2] if role[:2] == (page_id, digest) else None
+                        yield record(page_id, url, payload, len(payload), base64.b32encode(bytes.fromhex(digest)).decode(), first)
 
         put(path, f"pages-{part:06d}.warc.zst", lambda out: said.append(write_archive(out, records())))
         yield [f"{path}/pages-{part:06d}.warc.zst"], [said[0]]
 
-    return mapped(joined.select("page_id", "url", "payload", "digest", "refers_to"), run, "archive string, n_records long")
+    return mapped(both.select("page_id", "url", "payload", "digest", "refers_to", "is_page"), run, "archive string, n_records long")
 
 
 def read_warc(listing: DataFrame, with_payload: bool = False) -> DataFrame:
