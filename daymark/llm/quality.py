@@ -94,7 +94,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
 
     few = mapped(sample.select("doc_id", "label", "text"), featured, "doc_id long, label int, ids binary, share binary")
     # one task learns from `most` rows at most
-    model = mapped(few.coalesce(1) if not few.isStreaming else few, trained, "vectors binary, soft binary, offset binary").collect()[0]
+    model = mapped(few.repartition(1), trained, "vectors binary, soft binary, offset binary").collect()[0]
     array = lambda x, *shape: np.frombuffer(x, np.float32).reshape(shape)
     return {"vectors": array(model.vectors, BUCKETS, DIMENSIONS), "soft": array(model.soft, DIMENSIONS, 2), "offset": array(model.offset, 2)}
 
