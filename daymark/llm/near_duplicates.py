@@ -347,7 +347,8 @@ def verified_edges(rows: DataFrame, classes: DataFrame, summary: DataFrame, word
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id): the size of each document's set, and the smallest doc_id that links reach.
+    """(rid, doc_id, n_shingles, component_id, top): the size of each document's set, the smallest doc_id that links reach,
+    and that one's rid.
 
     Two documents link when den * shared >= num * union, of the distinct n-grams of `words` words; words lie between
     ASCII white space, A to Z lowered. With fewer words all of them are one n-gram. A null or empty text, or one of
@@ -367,9 +368,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     label = components(copies.unionByName(links))
     out = summary.select("rid", "n").join(label, summary["rid"] == label["id"], "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("top"))
     if not odd:
-        return out.select("rid", F.col("rid").alias("doc_id"), "n_shingles", F.col("top").alias("component_id"))
+        return out.select("rid", F.col("rid").alias("doc_id"), "n_shingles", F.col("top").alias("component_id"), "top")
     names = rows.select("rid", "doc_id")
-    return out.join(names, "rid").join(names.select(F.col("rid").alias("top"), F.col("doc_id").alias("component_id")), "top").select("rid", "doc_id", "n_shingles", "component_id")
+    return out.join(names, "rid").join(names.select(F.col("rid").alias("top"), F.col("doc_id").alias("component_id")), "top").select("rid", "doc_id", "n_shingles", "component_id", "top")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, that come first in their class of near_duplicates(): the smallest
+    doc_id. Where doc_id is missing or repeated, rows are told apart by (doc_id, text), and of equal rows one stays."""
+    found = near_duplicates(docs, words, num, den)
+    if found.where("doc_id is null or doc_id != rid").limit(1).count() == 0:
+        return docs.join(found.where("component_id != doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_anti")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    spark = docs.sparkSession
+    rows = ranked(keep_text(docs), spark.sparkContext.defaultParallelism)
+    # ranked() is a function of the rows, so these are the numbers that near_duplicates() gave
+    stay = rows.join(found.where("top = rid").select("rid"), "rid").select(F.col("doc_id").alias("stay_id"), F.md5("text").alias("stay_digest")).distinct()
+    own = docs.withColumn("row_digest", digest).dropDuplicates(["doc_id", "row_digest"])
+    return own.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("row_digest") == F.col("stay_digest")), "left_semi").drop("row_digest")
 
 
 def op4_near_duplicates(spark, sf_dir):

@@ -99,26 +99,51 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     return {"vectors": array(model.vectors, BUCKETS, DIMENSIONS), "soft": array(model.soft, DIMENSIONS, 2), "offset": array(model.offset, 2)}
 
 
+class Scorer:
+    """Scores texts with a model, each distinct word once while the memo holds it."""
+
+    def __init__(self, by_bucket: list[float], base: float):
+        self.values, self.base, self.memo = by_bucket, base, Memo(self.worth, MEMO)
+
+    def worth(self, word: str) -> complex:
+        """The sum of a word's buckets, and as imaginary part their number."""
+        own = features(word)
+        return complex(sum([self.values[i] for i in own]), len(own))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        sums = [sum(map(self.memo.__getitem__, (t or "").split()), 0j) for t in texts]
+        z = self.base + np.array([x.real / x.imag if x.imag else 0.0 for x in sums])
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def folded(model: dict) -> tuple[list[float], float]:
+    """One number for each bucket, its vector times the difference of the softmax weights, and one for the offsets."""
+    by_bucket = model["vectors"].astype(np.float64) @ (model["soft"][:, 1] - model["soft"][:, 0]).astype(np.float64)
+    return by_bucket.tolist(), float(model["offset"][1] - model["offset"][0])
+
+
 def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every whole text; an empty or null text gets what the offsets say."""
-    by_bucket = (model["vectors"].astype(np.float64) @ (model["soft"][:, 1] - model["soft"][:, 0]).astype(np.float64)).tolist()
-    base = float(model["offset"][1] - model["offset"][0])
-    sent = docs.sparkSession.sparkContext.broadcast(by_bucket)  # BUCKETS numbers
+    sent = docs.sparkSession.sparkContext.broadcast(folded(model))  # BUCKETS numbers
 
     def run(batches):
-        values = sent.value
+        scorer = Scorer(*sent.value)
+        for b in batches:
+            yield b.column("doc_id"), scorer.scores(b.column("text").to_pylist())
+
+    return mapped(keep_text(docs, id_col, text_col), run, "doc_id long, score double")
 
-        def worth(word):
-            own = features(word)
-            return complex(sum([values[i] for i in own]), len(own))
 
-        memo = Memo(worth, MEMO)
+def reject_low_quality(docs: DataFrame, model: dict, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores `least` or more. No shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(folded(model))
+
+    def run(batches):
+        scorer = Scorer(*sent.value)
         for b in batches:
-            sums = [sum(map(memo.__getitem__, t.split()), 0j) for t in b.column("text").to_pylist()]
-            z = base + np.array([x.real / x.imag if x.imag else 0.0 for x in sums])
-            yield b.column("doc_id"), 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            yield b.filter(pa.array(scorer.scores(b.column(text_col).to_pylist()) >= least))
 
-    return mapped(keep_text(docs, id_col, text_col), run, "doc_id long, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality(spark, sf_dir):

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_range, keep_text, mapped, range_cuts, table
+from .common import by_range, mapped, range_cuts, table, written
 
 LENGTH = 100
 GRAM = 32
@@ -36,7 +37,7 @@ BLOCK = 2 << 20
 HELD = 500_000
 #: Contexts of one gram beyond which the gram is split, and of one transform.
 HOT = 4096
-CONTEXTS = 8192
+CONTEXTS = 2048
 #: Offsets that stay together in a split gram.
 OFFSETS = 8
 NO_ID = (1 << 63) - 1
@@ -47,6 +48,7 @@ _NAMES = np.random.default_rng(11).integers(1, 1 << 63, 257, dtype=np.uint64) |
 
 ANCHOR = np.dtype([("gram", "<u8"), ("context", "<u8"), ("rid", "<i8"), ("pos", "<i4")])
 PLACE = np.dtype([("rid", "<i8"), ("pos", "<i4"), ("hot", "u1"), ("gram", "<u8")])
+MARK = np.dtype([("rid", "<i8"), ("pos", "<i4")])
 SPAN = np.dtype([("rid", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -166,7 +168,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = key << 9 | own[i : i + n]
     done = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
@@ -271,8 +273,8 @@ def joined_spans(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def ranked(docs: DataFrame, partitions: int) -> DataFrame:
-    """(rid, doc_id, text) with rid in the order of (doc_id, text), nulls last: for tables with repeated or missing ids."""
-    own = keep_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
+    """(rid, and the columns of docs) with rid in the order of (doc_id, text), nulls last: for tables with repeated or missing ids."""
+    own = docs.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
     cuts = range_cuts(own, "key", partitions)
     parts = by_range(own, "key", cuts)
     before, counts = 0, {}
@@ -284,9 +286,10 @@ def ranked(docs: DataFrame, partitions: int) -> DataFrame:
         n = None
         for b in batches:
             n = counts[b.column("part")[0].as_py()] if n is None else n
-            yield list(range(n, n := n + b.num_rows)), b.column("doc_id"), b.column("text")
+            yield list(range(n, n := n + b.num_rows)), *map(b.column, docs.columns)
 
-    return mapped(parts.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("key", "text"), run, "rid long, doc_id long, text string")
+    schema = ", ".join(["rid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)])
+    return mapped(parts.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("key", "text"), run, schema)
 
 
 def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, list[float]]:
@@ -337,7 +340,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
         covered, several = first_contexts(gathered(batches, ANCHOR))
         for kind, rows in ((1, covered), (2, several)):
             if len(rows):
-                part, data = dealt(rows, part_of(rows["rid"]))
+                part, data = dealt(rows if kind == 2 else rows[["rid", "pos"]], part_of(rows["rid"]))
                 yield part, [kind] * len(part), data
 
     places = mapped(docs.select("rid", "text"), placed, "bucket int, data binary").repartitionById(buckets, "bucket")
@@ -346,12 +349,12 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     text_rows = by_range(docs.select("rid", F.encode("text", "UTF-8").alias("data")), "rid", cuts).withColumn("kind", F.lit(9))
 
     def contexts(batches):
-        marks, held, size = None, [], []
+        marks, held, zipped = None, [], zstandard.ZstdCompressor(level=1)
 
         def flush():
             rows = np.concatenate(held)
-            keys = rows["key"]
-            return dealt(rows, (keys * _D >> np.uint64(33)).astype(np.int64) % buckets)
+            bucket, data = dealt(rows, (rows["key"] * _D >> np.uint64(33)).astype(np.int64) % buckets)
+            return bucket, pa.array([zipped.compress(x.as_py()) for x in data], pa.binary())
 
         waiting, count = [], 0
         for b in batches:
@@ -367,7 +370,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
                 if lo < hi:
                     held.append(cut_out(data, marks[lo:hi], length))
                     count += len(held[-1])
-                    if count > 50_000:
+                    if count > 100_000:
                         yield flush()
                         held, count = [], 0
         if held:
@@ -377,11 +380,12 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     around = mapped(both.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("kind").select("kind", "rid", "data"), contexts, "bucket int, data binary")
 
     def compared(batches):
-        rows = gathered(batches, context_type(length))
+        unzip = zstandard.ZstdDecompressor()
+        rows = unpacked([unzip.decompress(x) for b in batches for x in b.column("data").to_pylist()], context_type(length))
         rows = rows[np.argsort(rows["key"], kind="stable")]
         for at in blocks(rows["key"], CONTEXTS):
             own = rows[at]
-            spans = repeated(own["bytes"].reshape(len(own), -1), own["rid"], own["pos"], length)
+            spans = repeated(symbols(own), own["rid"], own["pos"], length)
             if len(spans):
                 part, data = dealt(spans, part_of(spans["rid"]))
                 yield part, [3] * len(part), data
@@ -391,18 +395,26 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
 
 
 def context_type(length: int) -> np.dtype:
-    return np.dtype([("key", "<u8"), ("rid", "<i8"), ("pos", "<i4"), ("bytes", "<u2", (length + reach(length) - 1,))])
+    """A context's bytes; those before lead and from tail on don't count."""
+    return np.dtype([("key", "<u8"), ("rid", "<i8"), ("pos", "<i4"), ("lead", "<u2"), ("tail", "<u2"), ("bytes", "u1", (length + reach(length) - 1,))])
+
+
+def symbols(rows: np.ndarray) -> np.ndarray:
+    """0 for what doesn't count, else the byte plus 1."""
+    at = np.arange(rows["bytes"].shape[1])
+    return np.where((at >= rows["lead"][:, None]) & (at < rows["tail"][:, None]), rows["bytes"].astype(np.uint16) + np.uint16(1), np.uint16(0))
 
 
 def cut_out(data: bytes, marks: np.ndarray, length: int) -> np.ndarray:
     """The contexts of a document's marked anchors; those of split grams once for each group of offsets."""
     w = reach(length)
-    text = np.zeros(len(data) + 2 * length, np.uint16)
+    width = length + w - 1
+    text = np.zeros(len(data) + 2 * length, np.uint8)
     text[length : length + len(data)] = np.frombuffer(data, np.uint8)
-    text[length : length + len(data)] += 1
     rows = np.empty(len(marks), context_type(length))
     rows["key"], rows["rid"], rows["pos"] = marks["gram"], marks["rid"], marks["pos"] - (w - 1)
-    rows["bytes"] = text[(rows["pos"] + length)[:, None].astype(np.int64) + np.arange(length + w - 1)]
+    rows["lead"], rows["tail"] = np.maximum(-rows["pos"], 0), np.minimum(len(data) - rows["pos"], width)
+    rows["bytes"] = text[(rows["pos"] + length)[:, None].astype(np.int64) + np.arange(width)]
     hot = marks["hot"] > 0
     if not hot.any():
         return rows
@@ -410,8 +422,7 @@ def cut_out(data: bytes, marks: np.ndarray, length: int) -> np.ndarray:
     for lo in range(0, w, OFFSETS):
         hi = min(lo + OFFSETS, w)  # strings that start at offsets lo to hi - 1 share the bytes from hi - 1 to lo + length
         own = rows[hot].copy()
-        own["bytes"][:, :lo] = 0
-        own["bytes"][:, hi - 1 + length :] = 0
+        own["lead"], own["tail"] = np.maximum(own["lead"], lo), np.minimum(own["tail"], hi - 1 + length)
         core = [hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in own["bytes"][:, hi - 1 : lo + length]]
         own["key"] ^= np.frombuffer(b"".join(core), "<u8") * _C + np.uint64(lo + 1)
         out.append(own)
@@ -432,29 +443,32 @@ def blocks(keys: np.ndarray, most: int) -> Iterator[slice]:
 
 
 def drop_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): each document's bytes without those that a string of `length` bytes
-    which also starts earlier covers; earlier means a smaller doc_id, or an earlier place in the same document.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_text, and the passed columns): each document's bytes without those that a
+    string of `length` bytes which also starts earlier covers; earlier means a smaller doc_id, or an earlier place in
+    the same document.
 
     A null text is empty; a text shorter than `length` keeps all. Documents without doc_id come last; rows with the
-    same doc_id are in the order of their texts, and of equal rows the first keeps its bytes. Other columns go.
+    same doc_id are in the order of their texts, and of equal rows the first keeps its bytes. Columns that aren't
+    passed go.
     """
     spark = docs.sparkSession
     partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    extra = [f"passed_{i}" for i in range(len(passed))]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in zip(passed, extra, strict=True)))
     odd = own.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
-    rows = ranked(docs, partitions) if odd else keep_text(docs, id_col, text_col).select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    spans, _, cuts = covered_spans(rows, length)
+    rows = written(ranked(own, partitions), "ranked") if odd else own.withColumn("rid", F.col("doc_id"))
+    spans, _, cuts = covered_spans(rows.select("rid", "text"), length)
     narrow = rows.where(F.octet_length("text") >= length).select("rid", F.md5("text").alias("digest"))
     first = narrow.groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = by_range(narrow.join(first, "digest").where("rid != first").select("rid"), "rid", cuts)
-    text_rows = by_range(rows.select("rid", "doc_id", F.encode("text", "UTF-8").alias("data")), "rid", cuts).withColumn("kind", F.lit(9))
+    text_rows = by_range(rows.select("rid", "doc_id", F.encode("text", "UTF-8").alias("data"), *extra), "rid", cuts).withColumn("kind", F.lit(9))
     w = reach(length)
 
     def cleaned(batches):
         places, found, copied, marks, whole = [], [], [], None, None
         for b in batches:
             out = []
-            for kind, rid, doc_id, data in zip(*(b.column(c).to_pylist() for c in ("kind", "rid", "doc_id", "data")), strict=True):
+            for kind, rid, doc_id, data, *rest in zip(*(b.column(c).to_pylist() for c in ("kind", "rid", "doc_id", "data", *extra)), strict=True):
                 if kind == 1:
                     places.append(data)
                 elif kind == 2:
@@ -463,15 +477,17 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     found.append(data)
                 else:
                     if marks is None:
-                        marks, whole = merged(unpacked(places, PLACE), unpacked(found, SPAN), w, length), set(copied)
+                        marks, whole = merged(unpacked(places, MARK), unpacked(found, SPAN), w, length), set(copied)
                         places, found, copied = [], [], []
-                    out.append((doc_id, *without(data, rid, marks, rid in whole)))
+                    own = without(data, rid, marks, rid in whole)
+                    out.append((doc_id, *own, readable(own[3]), *rest))
             if out:
                 yield tuple(map(list, zip(*out, strict=True)))
 
     both = spans.withColumn("rid", F.lit(None).cast("long")).unionByName(copies.withColumn("kind", F.lit(2)), allowMissingColumns=True).unionByName(text_rows, allowMissingColumns=True)
-    both = both.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("kind").select("kind", "rid", "doc_id", "data")
-    return mapped(both, cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    both = both.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("kind").select("kind", "rid", "doc_id", "data", *extra)
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string", *(f"{x} {own.schema[x].dataType.simpleString()}" for x in extra)])
+    return mapped(both, cleaned, schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *passed)
 
 
 def merged(places: np.ndarray, spans: np.ndarray, w: int, length: int) -> np.ndarray:
@@ -482,6 +498,11 @@ def merged(places: np.ndarray, spans: np.ndarray, w: int, length: int) -> np.nda
     return joined_spans(rid, start, end)
 
 
+def readable(data: bytes) -> str:
+    """The text of what stayed of a document; a character of which a part went goes as a whole."""
+    return data.decode("utf-8", errors="ignore")
+
+
 def without(data: bytes, rid: int, marks: np.ndarray, whole: bool) -> tuple[int, int, int, bytes]:
     n = len(data)
     if whole:
