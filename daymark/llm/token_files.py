@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -43,7 +42,7 @@ CHUNK = re.compile(f"[^{WHITE}]+")
 #: Chunks of these characters are split here as the vocabulary's own pattern splits them (NFC leaves them as they are).
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\w\s])+")
-MEMO = 400_000
+MEMO = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -211,7 +210,7 @@ def write_token_files(encoded: DataFrame, path: str, cuts: list[float], width: i
 
 
 def read_token_files(listing: DataFrame) -> DataFrame:
-    """(doc_id, start, ids, width) of every document in the files that write_token_files lists.
+    """(doc_id, start, ids) of every document in the files that write_token_files lists, four bytes an id.
 
     listing has a row a file; it is small, and its running sum of ids gives each file's start.
     """
@@ -222,7 +221,7 @@ def read_token_files(listing: DataFrame) -> DataFrame:
             rows.append((r.file, base))
         base += r.n_ids
     if not rows:
-        return spark.createDataFrame([], "doc_id long, start long, ids binary, width int")
+        return spark.createDataFrame([], "doc_id long, start long, ids binary")
     files = spark.createDataFrame(rows, "file string, base long").repartition(len(rows), "file")
 
     def run(batches):
@@ -230,7 +229,7 @@ def read_token_files(listing: DataFrame) -> DataFrame:
             for file, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist(), strict=True):
                 reader, held, size = Reader(file), [], 0
                 for doc_id, start, data in reader.documents():
-                    held.append((None if doc_id == NO_ID else doc_id, base + start, data, reader.width))
+                    held.append((None if doc_id == NO_ID else doc_id, base + start, data if reader.width == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()))
                     size += len(data)
                     if size > FRAME_BYTES * 16:
                         yield tuple(map(list, zip(*held, strict=True)))
@@ -238,7 +237,7 @@ def read_token_files(listing: DataFrame) -> DataFrame:
                 if held:
                     yield tuple(map(list, zip(*held, strict=True)))
 
-    return mapped(files, run, "doc_id long, start long, ids binary, width int")
+    return mapped(files, run, "doc_id long, start long, ids binary")
 
 
 def op8_token_files(spark, sf_dir):
@@ -246,15 +245,7 @@ def op8_token_files(spark, sf_dir):
     path = fresh_dir(spark, "tokens")
     files = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     listing = write_token_files(encode_ids(docs), path, range_cuts(docs, "doc_id", files))
-    read = read_token_files(listing)
-
-    def digest(batches):
-        for b in batches:
-            ids, width = b.column("ids").to_pylist(), b.column("width").to_pylist()
-            wide = [np.frombuffer(x, "<u2" if w == 2 else "<u4").astype("<u4") for x, w in zip(ids, width, strict=True)]
-            yield b.column("doc_id"), b.column("start"), [len(x) for x in wide], [zlib.crc32(x.tobytes()) for x in wide]
-
-    return mapped(read, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(listing).select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES = {"op8_token_files": op8_token_files}
