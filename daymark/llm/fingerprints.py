@@ -116,7 +116,10 @@ def fingerprints(texts: list[bytes]) -> list[bytes]:
     symbols, of_level = _NAME[data], first
     least = np.full((len(full), BINS), np.uint64(0xFFFFFFFFFFFFFFFF))
     for level in range(1, LEVELS + 1):
+        alone = (np.diff(head, append=len(symbols)) == 1) & (level > FROM_LEVEL)
+        was = symbols[head]
         symbols, head = parse_level(symbols, head, of_level)
+        symbols[head[alone]] = was[alone]  # a text that is one phrase stays so, however many levels its neighbours need
         of_level = None
         if level >= FROM_LEVEL or level == LEVELS:
             size = np.diff(head, append=len(symbols))

@@ -282,11 +282,13 @@ def ranked(docs: DataFrame, partitions: int) -> DataFrame:
         counts[r.part] = before
         before += r["count"]
 
+    names = docs.columns
+
     def run(batches):
         n = None
         for b in batches:
             n = counts[b.column("part")[0].as_py()] if n is None else n
-            yield list(range(n, n := n + b.num_rows)), *map(b.column, docs.columns)
+            yield list(range(n, n := n + b.num_rows)), *map(b.column, names)
 
     schema = ", ".join(["rid long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)])
     return mapped(parts.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("key", "text"), run, schema)
