@@ -37,6 +37,7 @@ HELD = 1_000_000
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 KEY = np.dtype([("key", "<u8"), ("rid", "<i8")])
+EDGE = np.dtype([("u", "<i8"), ("v", "<i8")])
 POINT = np.dtype([("key", "<u8"), ("rid", "<i8"), ("n", "<u4"), ("point", "<u4", (GROUPS,))])
 
 
@@ -284,15 +285,24 @@ def candidate_edges(rows: DataFrame, summary: DataFrame, words: int, of: Similar
         classes = Classes()
         if len(rows):
             possible_links(rows[np.lexsort((rows["rid"], rows["key"]))], of, classes)
-        joined = [(x, t) for x in list(classes) if (t := classes.top(x)) != x]
-        if joined:
-            yield tuple(map(list, zip(*joined, strict=True)))
+        joined = np.array([(x, t) for x in list(classes) if (t := classes.top(x)) != x], np.int64).reshape(-1, 2)
+        if len(joined):
+            out = np.empty(len(joined), EDGE)
+            out["u"], out["v"] = joined[:, 0], joined[:, 1]
+            yield dealt(out, np.searchsorted(edges, out["u"].astype(np.float64), side="right"))
+
+    def told_once(batches):
+        out = np.unique(unpacked([x for b in batches for x in b.column("data").to_pylist()], EDGE))
+        if len(out):
+            yield out["u"], out["v"]
 
     keys = mapped(rows.select("rid", "text"), keyed, "bucket int, data binary").repartitionById(buckets, "bucket")
     shared_rows = mapped(keys, shared, "part int, kind int, data binary")
     point_rows = by_range(summary.where("n > 0").select("rid", "n", F.col("point").alias("data")), "rid", cuts).withColumn("kind", F.lit(0))
     both = point_rows.unionByName(shared_rows, allowMissingColumns=True).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("kind").select("kind", "rid", "n", "data")
-    return mapped(mapped(both, pointed, "bucket int, data binary").repartitionById(buckets, "bucket"), passed, "u long, v long")
+    found = mapped(mapped(both, pointed, "bucket int, data binary").repartitionById(buckets, "bucket"), passed, "part int, data binary")
+    # a pair passes under many keys; it becomes one row
+    return mapped(found.repartitionById(len(cuts) + 1, "part"), told_once, "u long, v long")
 
 
 def verified_edges(rows: DataFrame, classes: DataFrame, summary: DataFrame, words: int, of: Similarity) -> DataFrame:
