@@ -180,16 +180,39 @@ def possible_links(rows: np.ndarray, of: Similarity, classes: Classes) -> None:
                 classes.join(k, ids[j])
 
 
+def fine_groups(sizes: np.ndarray) -> int:
+    """Groups for the points of a block of sets, a power of 2: about a quarter of a set's elements, so that sets that share
+    half of their elements are mostly told apart. The points take a few bytes for each element of the block."""
+    return max(GROUPS, min(4096, 1 << math.ceil(math.log2(max(1.0, float(sizes.mean()) / 4)))))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    at = np.searchsorted(a, b)
+    return int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b))
+
+
 def verified_links(sets: list[np.ndarray], ids: list[int], left: list[bool], of: Similarity, classes: Classes) -> list[tuple[int, int]]:
-    """Links that join all of these documents that links join: pairs of a left document and any other, verified on the sets."""
+    """Links that join all of these documents that links join: pairs of a left document and any other, verified on the sets.
+
+    Pairs that the tree leaves are bounded again by the minima of finer points before their sets are compared.
+    """
     sizes = np.array([len(s) for s in sets])
     points = np.stack([point(s) for s in sets])
-    tree, out = CountTree(points, sizes, of), []
-    for i in np.flatnonzero(left).tolist():
-        for j in sorted(tree.near(points[i], int(sizes[i])).tolist()):
-            if j != i and classes.top(ids[i]) != classes.top(ids[j]):
-                shared = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
-                if of.linked(shared, len(sets[i]), len(sets[j])):
+    tree, out, groups = CountTree(points, sizes, of), [], fine_groups(sizes)
+    fine = np.stack([np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups), 65535) for s in sets]).astype(np.uint16) if sizes.max() < 65535 else points
+    is_left = np.array(left)
+    for i in np.flatnonzero(is_left).tolist():
+        near = np.sort(tree.near(points[i], int(sizes[i])))
+        own = classes.top(ids[i])
+        # a pair of two left documents is looked at once
+        near = near[(near > i) | ~is_left[near]]
+        near = np.array([j for j in near.tolist() if j != i and classes.top(ids[j]) != own], np.int64)
+        for at in range(0, len(near), 1024):
+            few = near[at : at + 1024]
+            few = few[of.linked(np.minimum(fine[few], fine[i]).sum(1, dtype=np.int64), int(sizes[i]), sizes[few])]
+            for j in few.tolist():
+                if classes.top(ids[i]) != classes.top(ids[j]) and of.linked(overlap(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
                     classes.join(ids[i], ids[j])
                     out.append((ids[i], ids[j]))
     return out
@@ -347,12 +370,14 @@ def verified_edges(rows: DataFrame, classes: DataFrame, summary: DataFrame, word
     first = kept(run(one.unionByName(many)))
     if not sets.limit(1).count():
         return first
-    # what isn't joined to a class's first document within its block meets every block of the class
+    # what isn't joined to a class's first document within its block meets the class's other blocks; two such documents
+    # meet once, in the order of their blocks
     labels = components(first)
-    apart = sets.join(labels.select(F.col("id").alias("rid"), F.col("component").alias("label")), "rid", "left").where("component != coalesce(label, rid)").drop("label")
-    pairs = apart.withColumn("left", F.lit(True)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.join(labels.select(F.col("id").alias("rid"), F.col("component").alias("label")), "rid", "left").withColumn("apart", F.col("component") != F.coalesce("label", "rid")).drop("label")
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = sets.where("apart").withColumn("left", F.lit(True)).withColumn("other", F.explode(blocks)).where("other != block")
     needed = pairs.select("component", "block", "other").distinct()
-    right = sets.withColumnRenamed("block", "other").join(needed, ["component", "other"]).withColumn("left", F.lit(False))
+    right = sets.withColumnRenamed("block", "other").join(needed, ["component", "other"]).where("other > block or not apart").withColumn("left", F.lit(False))
     return first.unionByName(run(pairs.unionByName(right)))
 
 
