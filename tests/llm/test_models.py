@@ -129,3 +129,25 @@ def test_pipeline_stages(spark):
         assert docs.columns == before or name == "byte_bpe"
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > sizes[0] / 2
     assert all(k in llm.queries() for k in ("op1_byte_bpe", "op9_decontaminate")) and Counter(llm.queries())
+
+
+def test_every_passage_within_the_edits_is_a_candidate():
+    rng = random.Random(3)
+    items = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(14, 60))).encode() for _ in range(60)]
+    own, texts = decontaminate.Items(list(enumerate(items)), 80, 100), []
+    for i, t in enumerate(items):
+        if i % 3 == 0:  # one character in each word
+            text = b" ".join(w[: len(w) // 2] + b"#" + w[len(w) // 2 + 1 :] for w in t.split())
+        elif i % 3 == 1:  # a substitution every six bytes
+            text = b"".join(b"#" if j % 6 == 3 else t[j : j + 1] for j in range(len(t)))
+        else:  # as many edits as are allowed
+            text = bytearray(t)
+            for _ in range(len(t) // 5):
+                j = rng.randrange(len(text))
+                text[j : j + 1] = rng.choice([b"", b"#", text[j : j + 1] + b"#"])
+        texts.append(b"lead " * rng.randint(0, 9) + bytes(text) + b" tail")
+    found = {(i, k): e for i, k, e, _ in decontaminate.searched(own, texts)}
+    for i, (t, text) in enumerate(zip(items, texts, strict=True)):
+        e = decontaminate.least_edits(t, text)
+        assert found.get((i, i)) == (e if e <= len(t) // 5 else None)
+    assert len([1 for i, k in found if i == k]) > 45
