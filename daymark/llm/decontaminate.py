@@ -255,13 +255,28 @@ class Items:
                         out.append((t, i, p_, q_))
         return out
 
+    def short_windows(self, text: bytes, k: int) -> list[tuple[int, int]]:
+        """Parts of text that hold every passage within the edits of an item too short for GRAM: around each of as many
+        pieces as one more than the edits, or the whole text where pieces would be single bytes."""
+        own, e = self.rows[k][1], self.allowed[k]
+        size, out = len(own) // (e + 1), []
+        if e and size < 2:
+            return [(0, len(text))]
+        for n in range(e + 1):
+            piece, at = own[n * size : (n + 1) * size], -1
+            while (at := text.find(piece, at + 1)) >= 0:
+                out.append((max(0, at - n * size - e), min(len(text), at - n * size + len(own) + e)))
+        return [(begin, end) for _, _, begin, end in joined([(0, 0, *w) for w in set(out)])]
+
     def found(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, start) of the pairs within the allowed edits: the fewest edits, and the first place that has them."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for i, t in enumerate(texts):
             for k in self.short:
-                if (p := t.find(self.rows[k][1])) >= 0:
-                    best[i, k] = (0, p)
+                for begin, end in self.short_windows(t, k):
+                    edits, start = best_part(self.rows[k][1], t[begin:end])
+                    if edits <= self.allowed[k]:
+                        best[i, k] = min((edits, begin + start), best.get((i, k), (edits, begin + start)))
         # long windows are cut so that every passage is whole in a part, and parts are about as wide as their items allow
         cut = []
         for i, k, begin, end in joined(self.windows(texts)):
@@ -317,7 +332,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     1 - num / den of the item's length; start is where the first passage with the fewest edits begins in the normalised text.
 
     Items go to the tasks in chunks of ITEM_BYTES, one pass over the documents each. Empty and null texts and items
-    match nothing; items of so few bytes that the edits may break all their grams match exactly; rows repeat as documents and items do. No shuffle.
+    match nothing; items of so few bytes that the edits may break all their grams
+    are sought by shorter pieces; rows repeat as documents and items do. No shuffle.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, edits int, similarity double, start int"

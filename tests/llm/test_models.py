@@ -151,3 +151,20 @@ def test_every_passage_within_the_edits_is_a_candidate():
         e = decontaminate.least_edits(t, text)
         assert found.get((i, i)) == (e if e <= len(t) // 5 else None)
     assert len([1 for i, k in found if i == k]) > 45
+
+
+def test_short_items_against_brute_force():
+    rng = random.Random(8)
+    items = [bytes(rng.choice(b"abcdefgh ijkl") for _ in range(n)).replace(b" ", b"x") for n in range(1, 31)]
+    texts = []
+    for t in items * 4:
+        text = bytearray(t)
+        for _ in range(rng.randint(0, len(t) // 5 + 1)):
+            j = rng.randrange(len(text) + 1)
+            text[j : j + 1] = rng.choice([b"", b"#", b"a#"])
+        texts.append(b"once " * rng.randint(0, 3) + bytes(text) + rng.choice([b"", b" more"]))
+    for num in (80, 60):
+        own = decontaminate.Items(list(enumerate(items)), num, 100)
+        found = {(i, k): e for i, k, e, _ in decontaminate.searched(own, texts)}
+        true = {(i, k): e for i, text in enumerate(texts) for k, t in enumerate(items) if (e := edits_by_hand(t, text)) <= len(t) * (100 - num) // 100}
+        assert found == true
