@@ -56,13 +56,19 @@ class Encoder:
     """The tokenizers library, each distinct pre-token once while the memo holds it.
 
     The vocabulary drops white space and joins nothing over it, so a text's ids are those of its chunks.
+    added: the vocabulary's added tokens in a text are one id each, as by the library's default; otherwise they are
+    ordinary text, as with its encode_special_tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        tokens = self.library.get_added_tokens_decoder().values() if added else ()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or CHUNK.fullmatch(t.content) is None for t in tokens):
+            raise ValueError(f"{path}: added tokens that depend on what is beside them")
+        self.added = re.compile("(" + "|".join(sorted((re.escape(t.content) for t in tokens), key=len, reverse=True)) + ")") if tokens else None
         self.model = self.library.model
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
@@ -83,23 +89,27 @@ class Encoder:
         return self.packed(self.library.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            parts = self.added.split(text)
+            return b"".join(self.packed([self.library.token_to_id(p)]) if i % 2 else b"".join(map(self.chunk.__getitem__, CHUNK.findall(p))) for i, p in enumerate(parts))
         return b"".join(map(self.chunk.__getitem__, CHUNK.findall(text)))
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
 
 
 def encode_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of each whole text and the end id, as many bytes an id as the vocabulary needs.
+    The vocabulary's added tokens, such as <|endoftext|>, are one id each where a text holds them.
 
     A null or empty text has the end id alone; repeated rows stay; other columns go.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, True)
         end = struct.pack(f"<{enc.code}", end_id)
         for b in batches:
             yield b.column("doc_id"), pa.array([enc.encode(t) + end for t in b.column("text").to_pylist()], pa.binary())

@@ -83,6 +83,22 @@ def test_chunks_encode_as_the_library_does(text):
     assert np.frombuffer(enc.encode(text), "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+DEFAULT = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "É", "ß", "İ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "’", "\u0301"]), max_size=40).map("".join))
+def test_added_tokens_encode_as_the_librarys_default(text):
+    enc = token_files.encoder(public_tokenizers.path(token_files.VOCABULARY), True)
+    assert np.frombuffer(enc.encode(text), "<u2").tolist() == DEFAULT.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_tables(spark):
+    text = "ab <|endoftext|> c<|startoftext|>d"
+    (row,) = token_files.encode_ids(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert np.frombuffer(row.ids, "<u2").tolist() == [*DEFAULT.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_token_files_round_trip(spark, documents, odd_documents, no_documents, base_texts):
     def through(docs):
         return token_files.read_token_files(token_files.write_token_files(token_files.encode_ids(docs), fresh_dir(spark, "t"), range_cuts(docs, "doc_id", 3))).collect()
