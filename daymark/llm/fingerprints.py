@@ -6,6 +6,9 @@ from its left neighbour's, into one of six labels that differs from its neighbou
 local maximum of the labels. Where a phrase begins depends on four symbols to the left and one to the right, and its
 name is a hash of its symbols, so equal substrings get the same phrases inside, wherever they stand.
 
+Levels follow each other until a text is one phrase. As parsing is local, a long text is parsed window by window at
+each level, with a margin of a few symbols on both sides, and gets the same phrases.
+
 A fingerprint is the hash of the whole text's parse and a sketch of the set of its phrase names from level 2 on:
 the names fall into bins, and each bin keeps 8 bits of its least name. The likeness of two fingerprints is the part
 of their bins that agree, corrected for chance agreement of 8 bits: an estimate of the sets' Jaccard similarity.
@@ -22,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import by_range, keep_text, mapped, range_cuts, table
 
 BINS = 128
-LEVELS = 12
 #: The first level whose phrases are in the sketch.
 FROM_LEVEL = 2
-#: Bytes that are parsed at once.
-BLOCK = 8 << 20
+#: Bytes of texts, or symbols of one longer text, that are parsed at once.
+BLOCK = 1 << 20
+#: Runs beside a window that decide its phrases: more than a phrase's longest and what its labels depend on.
+MARGIN = 32
 NO_ID = -(1 << 63)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -65,8 +69,8 @@ def labels(first: np.ndarray, head: np.ndarray) -> np.ndarray:
     return out
 
 
-def parse_level(symbols: np.ndarray, head: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Phrase names of one level, and where each text's begin.
+def parse_level(symbols: np.ndarray, head: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase names of one level, where each text's begin among them, and where each phrase begins among the symbols.
 
     symbols: names of all texts, one after the other; head: where each text begins (none is empty); first: the first
     round's labels where they are known.
@@ -99,7 +103,75 @@ def parse_level(symbols: np.ndarray, head: np.ndarray, first: np.ndarray | None
     begin = np.flatnonzero(peak)
     place = np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))
     names = mix(np.add.reduceat(mix(own + _M1 * (place + 1).astype(np.uint64)), begin))
-    return names, np.searchsorted(begin, head)
+    return names, np.searchsorted(begin, head), at[begin]
+
+
+def first_labels(data: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The first round's labels of bytes."""
+    first = np.empty(len(data), np.uint8)
+    first[1:] = _BYTES[data[1:].astype(np.uint16) * np.uint16(256) + data[:-1]]
+    first[head] = _NAME[data[head]] & np.uint64(1)
+    return first
+
+
+def run_starts(symbols: np.ndarray, at: int, many: int, step: int) -> int:
+    """The place that `many` runs of equal symbols lie between it and a place, to the left or (step 1) to the right."""
+    size = 4 * many
+    while True:
+        low, high = (max(0, at - size), at) if step < 0 else (at, min(len(symbols), at + size))
+        own = symbols[low:high]
+        changes = low + 1 + np.flatnonzero(own[1:] != own[:-1])
+        if len(changes) >= many:
+            return int(changes[-many] if step < 0 else changes[many - 1])
+        if (low == 0) if step < 0 else (high == len(symbols)):
+            return low if step < 0 else high
+        size *= 4
+
+
+def parse_windows(symbols: np.ndarray, of_bytes: bool) -> np.ndarray:
+    """Phrase names of one level of one text, a window of BLOCK symbols at a time."""
+    out = []
+    for a in range(0, len(symbols), BLOCK):
+        b = min(a + BLOCK, len(symbols))
+        low, high = run_starts(symbols, a, MARGIN, -1), run_starts(symbols, b, MARGIN, 1)
+        own, head = symbols[low:high], np.zeros(1, np.int64)
+        first = first_labels(own, head) if of_bytes else None
+        names, _, begin = parse_level(_NAME[own] if of_bytes else own, head, first)
+        # a run that a window's edge cuts belongs to the window in which it begins
+        out.append(names[(begin + low >= a) & (begin + low < b)])
+    return np.concatenate(out)
+
+
+class Sketches:
+    """The least name of each text in each bin."""
+
+    def __init__(self, texts: int):
+        self.least = np.full((texts, BINS), np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def add(self, symbols: np.ndarray, size: np.ndarray) -> None:
+        cell = np.repeat(np.arange(len(size)) * BINS, size) + (symbols & np.uint64(BINS - 1)).astype(np.int64)
+        np.minimum.at(self.least.reshape(-1), cell, symbols >> np.uint64(7))
+
+    def rows(self, last: np.ndarray) -> np.ndarray:
+        """Fingerprints, from each text's last phrase and its bins."""
+        out = np.zeros((len(last), 8 + BINS), np.uint8)
+        out[:, :8] = mix(last + _M2)[:, None].view(np.uint8)
+        bits = ((self.least >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+        bits[self.least == np.uint64(0xFFFFFFFFFFFFFFFF)] = 0
+        out[:, 8:] = bits
+        return out
+
+
+def long_fingerprint(text: bytes) -> bytes:
+    """The fingerprint of one text, in windows: besides the text, a level's names and one window are held."""
+    symbols, sketch, level = np.frombuffer(text, np.uint8), Sketches(1), 0
+    while level < FROM_LEVEL or len(symbols) > 1:
+        symbols, level = parse_windows(symbols, level == 0), level + 1
+        if level >= FROM_LEVEL:
+            for a in range(0, len(symbols), BLOCK):
+                part = symbols[a : a + BLOCK]
+                sketch.add(part, np.array([len(part)]))
+    return sketch.rows(symbols)[0].tobytes()
 
 
 def fingerprints(texts: list[bytes]) -> list[bytes]:
@@ -110,30 +182,17 @@ def fingerprints(texts: list[bytes]) -> list[bytes]:
         return [x.tobytes() for x in out]
     data = np.frombuffer(b"".join(texts), np.uint8)
     head = np.concatenate([[0], np.cumsum([len(texts[i]) for i in full])[:-1]]).astype(np.int64)
-    first = np.empty(len(data), np.uint8)
-    first[1:] = _BYTES[data[1:].astype(np.uint16) * np.uint16(256) + data[:-1]]
-    first[head] = _NAME[data[head]] & np.uint64(1)
-    symbols, of_level = _NAME[data], first
-    least = np.full((len(full), BINS), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for level in range(1, LEVELS + 1):
+    symbols, of_level, sketch, level = _NAME[data], first_labels(data, head), Sketches(len(full)), 0
+    while level < FROM_LEVEL or len(symbols) > len(head):
+        level += 1
         alone = (np.diff(head, append=len(symbols)) == 1) & (level > FROM_LEVEL)
         was = symbols[head]
-        symbols, head = parse_level(symbols, head, of_level)
+        symbols, head, _ = parse_level(symbols, head, of_level)
         symbols[head[alone]] = was[alone]  # a text that is one phrase stays so, however many levels its neighbours need
         of_level = None
-        if level >= FROM_LEVEL or level == LEVELS:
-            size = np.diff(head, append=len(symbols))
-            cell = np.repeat(np.arange(len(full)), size) * BINS + (symbols & np.uint64(BINS - 1)).astype(np.int64)
-            np.minimum.at(least.reshape(-1), cell, symbols >> np.uint64(7))
-        if len(symbols) == len(head) and level >= FROM_LEVEL:
-            break
-    size = np.diff(head, append=len(symbols))
-    place = np.arange(len(symbols)) - np.repeat(head, size)
-    root = mix(np.add.reduceat(mix(symbols + _M2 * (place + 1).astype(np.uint64)), head))
-    bits = ((least >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-    bits[least == np.uint64(0xFFFFFFFFFFFFFFFF)] = 0
-    out[full, 8:] = bits
-    out[full, :8] = root[:, None].view(np.uint8)
+        if level >= FROM_LEVEL:
+            sketch.add(symbols, np.diff(head, append=len(symbols)))
+    out[full] = sketch.rows(symbols)
     return [x.tobytes() for x in out]
 
 
@@ -157,9 +216,13 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def blockwise(texts: list[bytes]) -> list[bytes]:
-    """fingerprints, over a bounded number of bytes at once where texts are shorter than that."""
+    """fingerprints() over a bounded number of bytes at once; a text longer than that alone, in windows."""
     out, held, size = [], [], 0
     for t in texts:
+        if len(t) > BLOCK:
+            out += [*fingerprints(held), long_fingerprint(t)]
+            held, size = [], 0
+            continue
         if held and size + len(t) > BLOCK:
             out += fingerprints(held)
             held, size = [], 0

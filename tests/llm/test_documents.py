@@ -144,6 +144,17 @@ def test_fingerprints(spark, documents, no_documents, base_texts):
     assert fingerprints.fingerprint(no_documents).count() == 0
 
 
+def test_windows_of_long_texts_parse_as_the_whole(monkeypatch):
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"abcde  ") for _ in range(rng.randint(1, 3000))) for _ in range(30)]
+    texts += [b"a" * 5000, b"a" * 900 + b"bcbcbcb" * 300 + b"z" * 3000, b"x", b"xy", b"xyz", b"ab" * 4000]
+    whole = fingerprints.fingerprints(texts)
+    for block in (40, 100, 1000):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        assert [fingerprints.long_fingerprint(t) for t in texts] == whole
+        assert fingerprints.blockwise([b"", *texts]) == [fingerprints.fingerprints([b""])[0], *whole]
+
+
 def test_edited_texts(spark, documents, odd_documents, no_documents, base_texts, tmp_path):
     def query(df, name):
         df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
