@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
+#: Tasks over which the rows of one key are dealt where a key may hold a large part of all rows.
+SALTS = 64
 
 #: Characters with the Unicode property White_Space, which tokenizer patterns call \s.
 WHITE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
@@ -31,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Only where all of them are one process, a local one stands in for it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -44,10 +48,43 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, read again after a lost executor."""
+    """df as a Parquet table in the shared folder: computed once, cut from its lineage, read again after a lost executor."""
     spark = df.sparkSession
     df.write.parquet(path := fresh_dir(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str, how: str = "left") -> DataFrame:
+    """rows.join(table, keys, how) for a table of one row a key, where one key may hold a large part of rows.
+
+    Rows are dealt out by key and a salt from their column `by`; of the table each row goes to the salts that its key
+    has, which is a join of at most SALTS rows a key.
+    """
+    own = salted(rows, by)
+    places = own.select(*keys, "salt").distinct()
+    return own.join(places.join(table, keys), [*keys, "salt"], how).drop("salt")
+
+
+def outermost(rows: DataFrame, keys: list[str], value: str, f=F.min) -> DataFrame:
+    """(the columns of rows, first) of the rows whose keys several rows have: first is the least value among those (or
+    another aggregate). Copies of one row may be a large part of all: they are put together by key and salt first."""
+    own = salted(rows, value)
+    parts = own.groupBy(*keys, "salt").agg(f(value).alias("first"), F.count(F.lit(1)).alias("many"))
+    whole = parts.groupBy(*keys).agg(f("first").alias("first"), F.sum("many").alias("many")).where("many > 1").drop("many")
+    return own.join(parts.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
 
 
 def mapped(df: DataFrame, f: Callable[..., Iterator[dict] | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """A join of documents on the Jaccard similarity of their word n-gram sets, exact, by count-vector R-trees.
 
-A document's n-grams are hashed; its set is the distinct hashes. Hashes fall into GROUPS groups, and the counts of
-the groups are the document's point. Two sets share at most the sum of the smaller coordinates, so an R-tree over
+A document's n-grams are hashed; its set is the distinct hashes. Hashes fall into groups, the more the larger the set,
+and the counts of the groups are the document's point; points of different sets are compared in the fewer groups, as
+halving the groups adds counts in pairs. Two sets share at most the sum of the smaller coordinates, so an R-tree over
 points, whose boxes bound that sum from above, gives all pairs that can reach the similarity; those are verified.
 
 To bring pairs together without comparing all, hashes also fall into parts, as many as two linked sets can differ in
 elements and some more: then several parts of two linked sets are equal, and a key for each part, its elements' sum,
 deals documents out. Parts without an element give no key while a document has no more of them than the extra parts.
 Within a key, points are compared; pairs that pass make candidate classes, of which all linked pairs are inside one;
-classes are verified on the sets, in blocks of bounded size.
+classes are verified on the sets, in blocks of bounded size. Of equal sets only the first takes part.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_range, keep_text, mapped, range_cuts, table, written
-from .graph import components, kept
+from .common import by_range, discard, keep_text, mapped, outermost, range_cuts, spread_join, table, written
+from .graph import components
 from .substrings import NO_ID, dealt, ranked, unpacked
 
-GROUPS = 64
+#: Groups of a point: a power of 2 between these, of about half of a set's elements.
+GROUPS, MOST_GROUPS = 64, 8192
+#: Points of a leaf and nodes of a box.
 LEAF = 16
+#: Counts in one tree's points; beyond that they are folded to fewer groups, which loosens the bound only.
+TREE_COUNTS = 1 << 24
+#: Documents that share a key beyond which they are compared where the key is dealt to, and not where their first is.
+MANY = 1000
 #: Ratio of the sizes in one class.
 RATIO = 1.5
 #: Set elements in one block of a class, about.
@@ -37,8 +43,9 @@ HELD = 1_000_000
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 KEY = np.dtype([("key", "<u8"), ("rid", "<i8")])
+ROUTED = np.dtype([("key", "<u8"), ("rid", "<i8"), ("to", "<u8")])
 EDGE = np.dtype([("u", "<i8"), ("v", "<i8")])
-POINT = np.dtype([("key", "<u8"), ("rid", "<i8"), ("n", "<u4"), ("point", "<u4", (GROUPS,))])
+SIZED = np.dtype([("rid", "<i8"), ("n", "<i8"), ("width", "<u1")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,8 +66,23 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(x)
 
 
-def point(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32)
+def groups_of(n: int) -> int:
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(n - 1, 1).bit_length() - 1))
+
+
+def point(own: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((own >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+
+
+def folded(p: np.ndarray, groups: int) -> np.ndarray:
+    """The point in fewer groups."""
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0)
+
+
+def packed_point(own: np.ndarray) -> bytes:
+    """A set's point in as many bytes a count as its largest needs."""
+    p = point(own, groups_of(len(own)))
+    return p.astype(next(t for t in ("<u1", "<u2", "<u4") if p.max() <= np.iinfo(t).max)).tobytes()
 
 
 class Similarity:
@@ -113,31 +135,30 @@ class Similarity:
 
 
 class CountTree:
-    """An R-tree of count vectors, loaded by size: leaves of LEAF points, and boxes of leaves."""
+    """An R-tree of count vectors, loaded by size: leaves of LEAF points, boxes of LEAF leaves, and so on up to one box.
+
+    A node has the largest count of each group and the least size of what is below it.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, similarity: Similarity):
         self.of = similarity
-        self.order = np.lexsort((points[:, : GROUPS // 2].sum(1), sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        starts = np.arange(0, len(sizes), LEAF)
-        self.leaf_most, self.leaf_least_n = np.maximum.reduceat(self.points, starts), np.minimum.reduceat(self.sizes, starts)
-        boxes = np.arange(0, len(starts), LEAF)
-        self.box_most, self.box_least_n = np.maximum.reduceat(self.leaf_most, boxes), np.minimum.reduceat(self.leaf_least_n, boxes)
-
-    def can(self, most: np.ndarray, least_n: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-        return np.flatnonzero(self.of.linked(np.minimum(most, own).sum(1, dtype=np.int64), n, least_n.astype(np.int64)))
+        self.order = np.lexsort((points[:, : points.shape[1] // 2].sum(1), sizes))
+        self.most, self.least_n = [points[self.order]], [sizes[self.order].astype(np.int64)]
+        while len(self.least_n[-1]) > LEAF:
+            starts = np.arange(0, len(self.least_n[-1]), LEAF)
+            self.most.append(np.maximum.reduceat(self.most[-1], starts))
+            self.least_n.append(np.minimum.reduceat(self.least_n[-1], starts))
 
     def near(self, own: np.ndarray, n: int) -> np.ndarray:
         """Numbers of the points that can be linked to this one."""
-        leaves = children(self.can(self.box_most, self.box_least_n, own, n), len(self.leaf_most))
-        leaves = leaves[self.can(self.leaf_most[leaves], self.leaf_least_n[leaves], own, n)]
-        at = children(leaves, len(self.points))
-        return self.order[at[self.can(self.points[at], self.sizes[at], own, n)]]
-
-
-def children(nodes: np.ndarray, end: int) -> np.ndarray:
-    out = (nodes[:, None] * LEAF + np.arange(LEAF)).reshape(-1)
-    return out[out < end]
+        nodes = np.arange(len(self.least_n[-1]))
+        for level in range(len(self.most) - 1, -1, -1):
+            bound = np.minimum(self.most[level][nodes], own).sum(1, dtype=np.int64)
+            nodes = nodes[self.of.linked(bound, n, self.least_n[level][nodes])]
+            if level:
+                nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).reshape(-1)
+                nodes = nodes[nodes < len(self.least_n[level - 1])]
+        return self.order[nodes]
 
 
 class Classes(dict):
@@ -156,28 +177,93 @@ class Classes(dict):
         return True
 
 
-def possible_links(rows: np.ndarray, of: Similarity, classes: Classes) -> None:
-    """Join the ids of a sorted run of keys whose points can be linked; ids that no chain of such pairs joins stay apart."""
-    begin = np.flatnonzero(np.diff(rows["key"].astype(np.uint64), prepend=~rows["key"][:1]))
+class Points:
+    """Points of different sizes by rid. `levels` has, for each number of groups, the points of at least as many, folded."""
+
+    def __init__(self, sized: np.ndarray, data: list[bytes]):
+        sized, first = np.unique(sized, return_index=True)
+        groups = np.array([groups_of(n) for n in sized["n"].tolist()], np.int64)
+        order = np.lexsort((sized["width"], -groups))
+        self.groups, width, data = groups[order], sized["width"][order], [data[i] for i in first[order].tolist()]
+        self.rid, self.n = sized["rid"][order], sized["n"][order]
+        self.by_rid = np.argsort(self.rid)
+        kind = np.uint32 if (width > 2).any() else np.uint16
+        self.levels, above, g = {}, np.empty((0, 2 * MOST_GROUPS), kind), MOST_GROUPS
+        while g >= GROUPS:
+            own = [np.frombuffer(b"".join(data[i] for i in few.tolist()), f"<u{w}").reshape(-1, g).astype(kind) for w in (1, 2, 4) if len(few := np.flatnonzero((self.groups == g) & (width == w)))]
+            above = self.levels[g] = np.concatenate([above.reshape(len(above), 2, g).sum(1, dtype=kind), *own])
+            g //= 2
+
+    def at(self, rid: np.ndarray) -> np.ndarray:
+        return self.by_rid[np.searchsorted(self.rid, rid, sorter=self.by_rid)]
+
+    def can(self, pairs: np.ndarray, of: Similarity) -> np.ndarray:
+        """Of rows of two numbers: whether they can be linked."""
+        a, b = pairs[:, 0], pairs[:, 1]
+        out, groups = np.zeros(len(pairs), bool), np.minimum(self.groups[a], self.groups[b])
+        for g in np.unique(groups).tolist():
+            own, level = np.flatnonzero(groups == g), self.levels[g]
+            for few in np.array_split(own, -(-len(own) * g // (1 << 20))):
+                shared = np.minimum(level[a[few]], level[b[few]]).sum(1, dtype=np.int64)
+                out[few] = of.linked(shared, self.n[a[few]], self.n[b[few]])
+        return out
+
+    def tree(self, at: np.ndarray, of: Similarity) -> tuple[CountTree, np.ndarray]:
+        """A tree of some points, and the points as it has them."""
+        groups = int(self.groups[at].min())
+        while groups > GROUPS and groups * len(at) > TREE_COUNTS:
+            groups //= 2
+        own = self.levels[groups][at]
+        return CountTree(own, self.n[at], of), own
+
+
+def key_groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the groups of a run sorted by (key, rid) begin, their sizes, and which of them are the first with their members."""
+    begin = np.flatnonzero(np.diff(rows["key"], prepend=~rows["key"][:1]))
     size = np.diff(begin, append=len(rows))
-    lead = np.repeat(begin, size)
-    ok = np.ones(len(rows), bool)
-    for at in range(0, len(rows), 100_000):
-        a, b = rows[at : at + 100_000], rows[lead[at : at + 100_000]]
-        ok[at : at + 100_000] = of.linked(np.minimum(a["point"], b["point"]).sum(1, dtype=np.int64), a["n"].astype(np.int64), b["n"].astype(np.int64))
-    pairs = np.unique(np.stack([rows["rid"][ok], rows["rid"][lead[ok]]], 1), axis=0)
-    for u, v in pairs.tolist():
+    names = np.add.reduceat(mix(rows["rid"].astype(np.uint64) * _C), begin) if len(begin) else np.empty(0, np.uint64)
+    first = np.zeros(len(begin), bool)
+    first[np.unique(np.stack([names, size.astype(np.uint64)], 1).view("V16").reshape(-1), return_index=True)[1]] = True
+    return begin, size, first
+
+
+def unique_pairs(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Distinct rows of two numbers below most."""
+    one = np.unique(pairs[:, 0] * most + pairs[:, 1])
+    return np.stack([one // most, one % most], 1)
+
+
+def possible_links(rows: np.ndarray, points: Points, of: Similarity, classes: Classes) -> None:
+    """Join the ids of a sorted run of keys whose points can be linked; ids that no chain of such pairs joins stay apart."""
+    begin, size, first = key_groups(rows)
+    at, most = points.at(rows["rid"]), len(points.rid)
+    first_at, of_group = np.repeat(at[begin], size), np.repeat(np.arange(len(begin)), size)
+    pairs = unique_pairs(np.stack([at, first_at], 1), most)
+    ok = points.can(pairs, of)
+    for u, v in points.rid[pairs[ok]].tolist():
         classes.join(u, v)
-    for g in np.unique(np.cumsum(np.diff(rows["key"], prepend=~rows["key"][:1]) != 0)[~ok] - 1):
-        own = rows[begin[g] : begin[g] + size[g]]
-        ids = own["rid"].tolist()
-        tops = {classes.top(i) for i in ids}
-        if len(tops) == 1:
+    # where some can't be linked to their key's first: those of a small group are one leaf, a larger one makes a tree
+    failed = np.isin(at * most + first_at, (pairs[:, 0] * most + pairs[:, 1])[~ok])
+    leaves = []
+    for g in np.unique(of_group[failed]).tolist():
+        if not first[g]:
+            continue
+        own = np.unique(at[begin[g] : begin[g] + size[g]])
+        ids = points.rid[own].tolist()
+        if len({classes.top(i) for i in ids}) == 1:
             continue
-        tree = CountTree(own["point"], own["n"], of)
+        if len(own) <= LEAF:
+            i, j = np.triu_indices(len(own), 1)
+            leaves.append(np.stack([own[i], own[j]], 1))
+            continue
+        tree, dense = points.tree(own, of)
         for i, k in enumerate(ids):
-            for j in tree.near(own["point"][i], int(own["n"][i])).tolist():
+            for j in tree.near(dense[i], int(points.n[own[i]])).tolist():
                 classes.join(k, ids[j])
+    if leaves:
+        pairs = unique_pairs(np.concatenate(leaves), most)
+        for u, v in points.rid[pairs[points.can(pairs, of)]].tolist():
+            classes.join(u, v)
 
 
 def fine_groups(sizes: np.ndarray) -> int:
@@ -193,28 +279,18 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def verified_links(sets: list[np.ndarray], ids: list[int], left: list[bool], of: Similarity, classes: Classes) -> list[tuple[int, int]]:
-    """Links that join all of these documents that links join: pairs of a left document and any other, verified on the sets.
-
-    Pairs that the tree leaves are bounded again by the minima of finer points before their sets are compared.
-    """
+    """Links that join all of these documents that links join: pairs of a left document and any other that the tree leaves,
+    verified on the sets."""
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([point(s) for s in sets])
-    tree, out, groups = CountTree(points, sizes, of), [], fine_groups(sizes)
-    fine = np.stack([np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups), 65535) for s in sets]).astype(np.uint16) if sizes.max() < 65535 else points
-    is_left = np.array(left)
+    points, out = np.stack([point(s, fine_groups(sizes)) for s in sets]).astype(np.uint32), []
+    tree, is_left = CountTree(points, sizes, of), np.array(left)
     for i in np.flatnonzero(is_left).tolist():
         near = np.sort(tree.near(points[i], int(sizes[i])))
-        own = classes.top(ids[i])
         # a pair of two left documents is looked at once
-        near = near[(near > i) | ~is_left[near]]
-        near = np.array([j for j in near.tolist() if j != i and classes.top(ids[j]) != own], np.int64)
-        for at in range(0, len(near), 1024):
-            few = near[at : at + 1024]
-            few = few[of.linked(np.minimum(fine[few], fine[i]).sum(1, dtype=np.int64), int(sizes[i]), sizes[few])]
-            for j in few.tolist():
-                if classes.top(ids[i]) != classes.top(ids[j]) and of.linked(overlap(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
-                    classes.join(ids[i], ids[j])
-                    out.append((ids[i], ids[j]))
+        for j in near[(near > i) | ~is_left[near]].tolist():
+            if classes.top(ids[i]) != classes.top(ids[j]) and of.linked(overlap(sets[i], sets[j]), int(sizes[i]), int(sizes[j])):
+                classes.join(ids[i], ids[j])
+                out.append((ids[i], ids[j]))
     return out
 
 
@@ -225,17 +301,13 @@ def summaries(rows: DataFrame, words: int) -> DataFrame:
         for b in batches:
             own = [shingles(t, words) for t in b.column("text").to_pylist()]
             sums = [[int(mix(s + np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for s in own] for k in (1, 2)]
-            yield b.column("rid"), [len(s) for s in own], *sums, [zip_points(point(s)) for s in own]
+            yield b.column("rid"), [len(s) for s in own], *sums, pa.array([packed_point(s) for s in own], pa.binary())
 
     return mapped(rows.select("rid", "text"), run, "rid long, n long, a long, b long, point binary")
 
 
-def zip_points(p: np.ndarray) -> bytes:
-    return p.astype("<u4").tobytes()
-
-
-def candidate_edges(rows: DataFrame, summary: DataFrame, words: int, of: Similarity) -> DataFrame:
-    """(u, v): edges whose components hold every linked pair of different sets."""
+def candidate_edges(rows: DataFrame, summary: DataFrame, copies: DataFrame, words: int, of: Similarity) -> DataFrame:
+    """(u, v): edges whose components hold every linked pair of different sets. copies: (rid, first) of equal sets."""
     spark = rows.sparkSession
     buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = range_cuts(summary, "rid", buckets)
@@ -272,42 +344,72 @@ def candidate_edges(rows: DataFrame, summary: DataFrame, words: int, of: Similar
 
     def shared(batches):
         rows = unpacked([x for b in batches for x in b.column("data").to_pylist()], KEY)
-        rows = rows[np.argsort(rows["key"], kind="stable")]
+        rows = rows[np.lexsort((rows["rid"], rows["key"]))]
         same = rows["key"][1:] == rows["key"][:-1]
         rows = rows[np.append(same, False) | np.insert(same, 0, False)] if len(rows) else rows
         if len(rows):
-            part, data = dealt(rows, np.searchsorted(edges, rows["rid"].astype(np.float64), side="right"))
+            # a group goes where its first document's groups go, so that pairs and points come together once; keys that
+            # the same documents share tell nothing more
+            begin, size, first = key_groups(rows)
+            out = np.empty(len(rows), ROUTED)
+            out["key"], out["rid"] = rows["key"], rows["rid"]
+            out["to"] = np.repeat(np.where(size > MANY, rows["key"][begin], mix(rows["rid"][begin].astype(np.uint64) * _C)), size)
+            out = out[np.repeat(first, size)]
+            part, data = dealt(out, np.searchsorted(edges, out["rid"].astype(np.float64), side="right"))
             yield part, [1] * len(part), data
 
     def pointed(batches):
-        rids, points, sizes, table_, rows_of = [], [], [], None, None
-        zipped = zstandard.ZstdCompressor(level=1)
+        rids, points, sizes, gone, known = [], [], [], [], None
+        held, count = [], 0
+
+        def flush():
+            """Keys by bucket, and each bucket's points once."""
+            own = np.concatenate(held)
+            own = own[np.argsort(bucket_of(own["to"]), kind="stable")]
+            bucket = bucket_of(own["to"])
+            for b in np.unique(bucket).tolist():
+                few = own[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, side="right")]
+                at = np.searchsorted(known, np.unique(few["rid"]))
+                sized = np.empty(len(at), SIZED)
+                sized["rid"], sized["n"], data = known[at], sizes[at], [points[order[i]] for i in at.tolist()]
+                sized["width"] = [len(x) // groups_of(n) for x, n in zip(data, sized["n"].tolist(), strict=True)]
+                yield [b], [few[["key", "rid"]].astype(KEY).tobytes()], [sized.tobytes()], pa.array([b"".join(data)], pa.binary())
+
         for b in batches:
             for kind, rid, n, data in zip(*(b.column(c).to_pylist() for c in ("kind", "rid", "n", "data")), strict=True):
+                if kind == -1:
+                    gone.append(rid)
+                    continue
                 if kind == 0:
                     rids.append(rid)
                     sizes.append(n)
                     points.append(data)
                     continue
-                if table_ is None:
-                    table_ = np.array(rids)
-                    order = np.argsort(table_)
-                    table_ = table_[order]
-                    sizes = np.array(sizes)[order]
-                    rows_of = np.frombuffer(b"".join(points), "<u4").reshape(-1, GROUPS)[order]
-                own = unpacked([data], KEY)
-                at = np.searchsorted(table_, own["rid"])
-                out = np.empty(len(own), POINT)
-                out["key"], out["rid"], out["n"], out["point"] = own["key"], own["rid"], sizes[at], rows_of[at]
-                bucket, packs = dealt(out, bucket_of(out["key"]))
-                yield bucket, pa.array([zipped.compress(x.as_py()) for x in packs], pa.binary())
+                if known is None:
+                    known = np.array(rids)
+                    order = np.argsort(known)
+                    known, sizes, gone = known[order], np.array(sizes)[order], np.array(sorted(gone), np.int64)
+                own = unpacked([data], ROUTED)
+                held.append(own[~np.isin(own["rid"], gone)])
+                count += len(held[-1])
+                if count > HELD:
+                    yield from flush()
+                    held, count = [], 0
+        if count:
+            yield from flush()
 
     def passed(batches):
-        unzip = zstandard.ZstdDecompressor()
-        rows = unpacked([unzip.decompress(x) for b in batches for x in b.column("data").to_pylist()], POINT)
+        keys, sized, data = [], [], []
+        for b in batches:
+            for k, s, p in zip(*(b.column(c).to_pylist() for c in ("keys", "sized", "points")), strict=True):
+                keys.append(np.frombuffer(k, KEY))
+                sized.append(np.frombuffer(s, SIZED))
+                ends = np.cumsum(sized[-1]["width"] * np.array([groups_of(n) for n in sized[-1]["n"].tolist()]))
+                data += [p[x - y : x] for x, y in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
         classes = Classes()
-        if len(rows):
-            possible_links(rows[np.lexsort((rows["rid"], rows["key"]))], of, classes)
+        if keys:
+            rows = np.concatenate(keys)
+            possible_links(rows[np.lexsort((rows["rid"], rows["key"]))], Points(np.concatenate(sized), data), of, classes)
         joined = np.array([(x, t) for x in list(classes) if (t := classes.top(x)) != x], np.int64).reshape(-1, 2)
         if len(joined):
             out = np.empty(len(joined), EDGE)
@@ -322,8 +424,10 @@ def candidate_edges(rows: DataFrame, summary: DataFrame, words: int, of: Similar
     keys = mapped(rows.select("rid", "text"), keyed, "bucket int, data binary").repartitionById(buckets, "bucket")
     shared_rows = mapped(keys, shared, "part int, kind int, data binary")
     point_rows = by_range(summary.where("n > 0").select("rid", "n", F.col("point").alias("data")), "rid", cuts).withColumn("kind", F.lit(0))
-    both = point_rows.unionByName(shared_rows, allowMissingColumns=True).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("kind").select("kind", "rid", "n", "data")
-    found = mapped(mapped(both, pointed, "bucket int, data binary").repartitionById(buckets, "bucket"), passed, "part int, data binary")
+    gone = by_range(copies.where("rid != first").select("rid"), "rid", cuts).withColumn("kind", F.lit(-1))
+    both = point_rows.unionByName(shared_rows, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+    both = both.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("kind").select("kind", "rid", "n", "data")
+    found = mapped(mapped(both, pointed, "bucket int, keys binary, sized binary, points binary").repartitionById(buckets, "bucket"), passed, "part int, data binary")
     # a pair passes under many keys; it becomes one row
     return mapped(found.repartitionById(len(cuts) + 1, "part"), told_once, "u long, v long")
 
@@ -332,19 +436,20 @@ def verified_edges(rows: DataFrame, classes: DataFrame, summary: DataFrame, word
     """(u, v): links, verified on the sets, whose components are those of all links. classes: (id, component) of candidates."""
     members = classes.withColumnRenamed("id", "rid").join(summary.select("rid", "n"), "rid")
     sizes = members.groupBy("component").agg(F.sum("n").alias("total")).select("component", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).select("rid", "component", "blocks", "block")
+    members = spread_join(members, sizes, ["component"], "rid", "inner").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    members = written(members.select("rid", "component", "blocks", "block"), "members")
 
-    def expanded(batches):
-        for b in batches:
-            own = [shingles(t, words) for t in b.column("text").to_pylist()]
-            yield *(b.column(c) for c in ("component", "blocks", "block", "rid")), pa.array([s.tobytes() for s in own], pa.binary())
+    def sets_of(chosen):
+        def expanded(batches):
+            for b in batches:
+                own = [shingles(t, words) for t in b.column("text").to_pylist()]
+                yield *(b.column(c) for c in ("component", "blocks", "block", "rid")), pa.array([s.tobytes() for s in own], pa.binary())
+
+        return mapped(rows.select("rid", "text").join(chosen, "rid"), expanded, "component long, blocks int, block int, rid long, data binary")
 
-    sets = mapped(rows.select("rid", "text").join(members, "rid"), expanded, "component long, blocks int, block int, rid long, data binary")
     # a class in one block is compared there; one in several also gets its first document in each
-    one = sets.where("blocks = 1").withColumn("other", F.lit(-1)).withColumn("left", F.lit(True))
-    sets = written(sets.where("blocks > 1"), "sets")
-    lead = sets.where("rid = component").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.lit(True))
-    many = sets.where("rid != component").withColumn("left", F.lit(True)).unionByName(lead).withColumn("other", F.lit(-1))
+    everywhere = F.when(F.col("rid") == F.col("component"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    near_first = sets_of(members).withColumn("block", F.explode(everywhere)).withColumns({"left": F.lit(True), "other": F.lit(-1)})
 
     def compared(batches):
         key, ids, data, left = None, [], [], []
@@ -367,18 +472,22 @@ def verified_edges(rows: DataFrame, classes: DataFrame, summary: DataFrame, word
         near = df.repartition("component", "block", "other").sortWithinPartitions("component", "block", "other", "rid")
         return mapped(near.select("component", "block", "other", "rid", "data", "left"), compared, "u long, v long")
 
-    first = kept(run(one.unionByName(many)))
-    if not sets.limit(1).count():
+    first = written(run(near_first), "links")
+    large = members.where("blocks > 1")
+    if not large.limit(1).count():
         return first
     # what isn't joined to a class's first document within its block meets the class's other blocks; two such documents
     # meet once, in the order of their blocks
     labels = components(first)
-    sets = sets.join(labels.select(F.col("id").alias("rid"), F.col("component").alias("label")), "rid", "left").withColumn("apart", F.col("component") != F.coalesce("label", "rid")).drop("label")
+    sets = sets_of(large).join(labels.select(F.col("id").alias("rid"), F.col("component").alias("label")), "rid", "left")
+    sets = written(sets.withColumn("apart", F.col("component") != F.coalesce("label", "rid")).drop("label"), "sets")
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = sets.where("apart").withColumn("left", F.lit(True)).withColumn("other", F.explode(blocks)).where("other != block")
     needed = pairs.select("component", "block", "other").distinct()
     right = sets.withColumnRenamed("block", "other").join(needed, ["component", "other"]).where("other > block or not apart").withColumn("left", F.lit(False))
-    return first.unionByName(run(pairs.unionByName(right)))
+    further = written(run(pairs.unionByName(right)), "links")
+    discard(sets)
+    return first.unionByName(further)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,11 +506,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     odd = own.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     rows = written(ranked(keep_text(docs, id_col, text_col), partitions), "ranked") if odd else keep_text(docs, id_col, text_col).select(F.col("doc_id").alias("rid"), "doc_id", "text")
     summary = written(summaries(rows, words), "summary")
-    first = summary.where("n > 0").groupBy("a", "b", "n").agg(F.min("rid").alias("v"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    copies = summary.join(first, ["a", "b", "n"]).where("rid != v").select(F.col("rid").alias("u"), "v")
-    links = verified_edges(rows, components(candidate_edges(rows, summary, words, of)), summary, words, of)
-    label = components(copies.unionByName(links))
-    out = summary.select("rid", "n").join(label, summary["rid"] == label["id"], "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("top"))
+    copies = written(outermost(summary.where("n > 0").select("rid", "n", "a", "b"), ["a", "b", "n"], "rid").select("rid", "first"), "copies")
+    links = verified_edges(rows, components(candidate_edges(rows, summary, copies, words, of)), summary, words, of)
+    label = components(links).withColumnsRenamed({"id": "first", "component": "top"})
+    out = summary.select("rid", F.col("n").alias("n_shingles")).join(copies, "rid", "left").withColumn("first", F.coalesce("first", "rid"))
+    out = spread_join(out, label, ["first"], "rid").select("rid", "n_shingles", F.coalesce("top", "first").alias("top"))
     if not odd:
         return out.select("rid", F.col("rid").alias("doc_id"), "n_shingles", F.col("top").alias("component_id"), "top")
     names = rows.select("rid", "doc_id")

@@ -119,7 +119,9 @@ def test_bounds_never_lose_a_link():
         x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
         if b and of.linked(len(a & b), len(a), len(b)):
             assert set(of.keys(x).tolist()) & set(of.keys(y).tolist())
-            assert of.linked(int(np.minimum(near_duplicates.point(x), near_duplicates.point(y)).sum()), len(a), len(b))
+            for groups in (64, 512):
+                assert of.linked(int(np.minimum(near_duplicates.point(x, groups), near_duplicates.point(y, groups)).sum()), len(a), len(b))
+            assert (near_duplicates.folded(near_duplicates.point(x, 512), 64) == near_duplicates.point(x, 64)).all()
 
 
 def test_components(spark):
