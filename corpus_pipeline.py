@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.llm.byte_bpe import bpe_encode
-from daymark.llm.common import table
+from daymark.llm.common import discard, table, written
 from daymark.llm.decontaminate import drop_contaminated
 from daymark.llm.near_duplicates import drop_near_duplicates
 from daymark.llm.quality import reject_low_quality, train_quality
@@ -56,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows; what a stage keeps is a table in the shared folder, computed once and read by the next."""
+    docs = before = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, before, sf_dir), name)
+        if hasattr(before, "kept_at"):
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,8 +4,8 @@ A string of `length` bytes holds at least one anchor: the place of the least has
 start in it. Equal strings have it at the same offset, so only anchors with equal grams need meet.
 
 1. Anchors of all documents, with a hash of the bytes that any such string around them can reach (their context),
-   are dealt out by gram. A context that occurred before is covered as a whole. Of a gram that stands in several
-   contexts, the first occurrence of each goes on.
+   are dealt out by gram, one of each context from a task. A context that occurred before is covered as a whole. Of a
+   gram that stands in several contexts, the first occurrence of each goes on.
 2. The bytes of those contexts are dealt out by gram again. In each block, the Burrows-Wheeler transform of the
    contexts is extended backward, breadth first, which derives the common prefixes of neighbouring suffixes in
    increasing order; the search stops at `length`, and what then has no value has a common prefix of at least that.
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_range, mapped, range_cuts, table, written
+from .common import by_range, mapped, outermost, range_cuts, table, written
 
 LENGTH = 100
 GRAM = 32
@@ -159,6 +159,14 @@ def first_contexts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[~new], places[new & (contexts > 1)]
 
 
+def one_of_each(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose context stands earlier in the rows, and the first row of each context."""
+    rows = rows[np.lexsort((rows["pos"], rows["rid"], rows["context"], rows["gram"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["context"][1:] != rows["context"][:-1])
+    return rows[~new][["rid", "pos"]].astype(MARK), rows[new]
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """The order of the suffixes by their first `depth` symbols (below 512), by doubling."""
     n = len(text)
@@ -311,8 +319,13 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
         held, count = [], 0
 
         def flush():
-            rows = np.concatenate(held)
-            return dealt(rows, (rows["gram"] * _D >> np.uint64(33)).astype(np.int64) % buckets)
+            """One row of each context by gram; the others are covered already, and go with the bucket of their part's number."""
+            covered, rows = one_of_each(np.concatenate(held))
+            bucket, data = dealt(rows, (rows["gram"] * _D >> np.uint64(33)).astype(np.int64) % buckets)
+            yield bucket, [-1] * len(bucket), data
+            if len(covered):
+                part, data = dealt(covered, part_of(covered["rid"]))
+                yield [p % buckets for p in part], part, data
 
         for b in batches:
             for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -331,22 +344,29 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
                     count += len(held[-1])
                     texts, rids, size = [], [], 0
                 if count > HELD:
-                    yield flush()
+                    yield from flush()
                     held, count = [], 0
         if texts:
             held.append(anchors(texts, rids, length))
         if held:
-            yield flush()
+            yield from flush()
 
     def met(batches):
-        covered, several = first_contexts(gathered(batches, ANCHOR))
+        packs = []
+        for b in batches:
+            for part, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if part >= 0:
+                    yield [part], [1], pa.array([data], pa.binary())
+                else:
+                    packs.append(data)
+        covered, several = first_contexts(unpacked(packs, ANCHOR))
         for kind, rows in ((1, covered), (2, several)):
             if len(rows):
                 part, data = dealt(rows if kind == 2 else rows[["rid", "pos"]], part_of(rows["rid"]))
                 yield part, [kind] * len(part), data
 
-    places = mapped(docs.select("rid", "text"), placed, "bucket int, data binary").repartitionById(buckets, "bucket")
-    places = mapped(places, met, "part int, kind int, data binary").persist()
+    places = mapped(docs.select("rid", "text"), placed, "bucket int, part int, data binary").repartitionById(buckets, "bucket")
+    places = written(mapped(places, met, "part int, kind int, data binary"), "places")
 
     text_rows = by_range(docs.select("rid", F.encode("text", "UTF-8").alias("data")), "rid", cuts).withColumn("kind", F.lit(9))
 
@@ -461,8 +481,7 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     rows = written(ranked(own, partitions), "ranked") if odd else own.withColumn("rid", F.col("doc_id"))
     spans, _, cuts = covered_spans(rows.select("rid", "text"), length)
     narrow = rows.where(F.octet_length("text") >= length).select("rid", F.md5("text").alias("digest"))
-    first = narrow.groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = by_range(narrow.join(first, "digest").where("rid != first").select("rid"), "rid", cuts)
+    copies = by_range(outermost(narrow, ["digest"], "rid").where("rid != first").select("rid"), "rid", cuts)
     text_rows = by_range(rows.select("rid", "doc_id", F.encode("text", "UTF-8").alias("data"), *extra), "rid", cuts).withColumn("kind", F.lit(9))
     w = reach(length)
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_range, folder, fresh_dir, mapped, put, range_cuts, table
+from .common import by_range, folder, fresh_dir, mapped, outermost, put, range_cuts, table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
@@ -136,12 +136,11 @@ def write_warc(pages: DataFrame, path: str, archives: int, least: int = 0, **col
 
     Payloads of at least `least` bytes that are equal (SHA-1 and length) have one response, the largest page_id; rows
     with the same page_id as well are told apart by nothing, so all of them are responses. Only (digest, page_id)
-    goes through the aggregation, which combines before it shuffles. Rows without page_id come first and are responses.
+    goes through the aggregation, by digest and a salt first. Rows without page_id come first and are responses.
     """
     rows = digested(pages, **columns)
-    first = rows.where(F.length("payload") >= least).groupBy("digest", F.length("payload").alias("n_bytes")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("digest", "n_bytes", "first")
-    roles = rows.select("page_id", "digest", F.length("payload").alias("n_bytes")).join(first, ["digest", "n_bytes"]).where("page_id != first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    narrow = rows.where(F.length("payload") >= least).select("page_id", "digest", F.length("payload").alias("n_bytes"))
+    roles = outermost(narrow, ["digest", "n_bytes"], "page_id", F.max).where("page_id != first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     # one shuffle for the payloads: roles travel to their page's range, and meet it there in the order of the sort
     cuts = range_cuts(pages, columns.get("id_col", "page_id"), archives)
     both = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("is_page", F.lit(True)).unionByName(roles.withColumn("is_page", F.lit(False)), allowMissingColumns=True)
