@@ -4,7 +4,7 @@ Texts are lowered (A to Z) and white space runs become one space. Candidates com
 lost: an item is cut into segments, and a passage within the edits allowed has a segment with no more than its share k
 of them. Of s disjoint pieces of GRAM bytes of that segment at least s - k then stand in the passage, on diagonals
 (place in the text less place in the item) at most k apart. Segments take the s = k + SPARE pieces that are rarest in
-the texts at hand; s - k hits on diagonals at most k apart make a window, and every window is verified: the least edit distance between the item and a part of it. This stands in for CGK embeddings and
+the texts at hand; hits of s - k different pieces on diagonals at most k apart make a window, and every window is verified: the least edit distance between the item and a part of it. This stands in for CGK embeddings and
 bit-sampling, whose recall falls with the edits (0.98 at 15 %) and can't reach 1.
 """
 
@@ -28,6 +28,8 @@ SEGMENT = 256
 #: Bytes of items in one pass; more items take further passes over the documents.
 ITEM_BYTES = 16 << 20
 BLOCK = 1 << 20
+#: Bytes of texts whose windows are verified together.
+TEXTS = 8 << 20
 TABLE_BITS = 20
 #: Segments whose pieces are chosen at once.
 CHOSEN = 512
@@ -202,7 +204,10 @@ class Items:
         order = np.argsort(hashes, kind="stable")
         self.segment, self.place = segment[order], np.concatenate([np.empty(0, np.int64), *places])[order]
         reach = int((self.end - self.begin + self.edits).max())
-        self.key = (self.segment << (BLOCK + 4 * reach).bit_length()) + reach - self.place
+        # the number of the piece in its segment is the key's lowest part
+        number = np.concatenate([np.empty(0, np.int64), *map(np.arange, self.pieces.tolist())])[order]
+        self.piece_bits = int(self.pieces.max()).bit_length()
+        self.key = ((self.segment << (BLOCK + 4 * reach).bit_length()) + reach - self.place << self.piece_bits) + number
         distinct, self.first, self.many = np.unique(hashes[order], return_index=True, return_counts=True)
         self.slot = np.full(1 << TABLE_BITS, -1, np.int32)
         self.slot[distinct] = np.arange(len(distinct))
@@ -215,7 +220,8 @@ class Items:
         starts = np.cumsum([0, *(len(t) + GRAM for t in texts)])
         if not self.ready:
             self.choose(data[:BLOCK])
-        # a key is the segment and, below it, the diagonal; what lies between segments is wider than any band
+        # a key is the segment, below it the diagonal, and below that the piece; what lies between segments is wider than
+        # any band
         reach = int((self.end - self.begin + self.edits).max())
         bits = (BLOCK + 4 * reach).bit_length()
         least = self.pieces - self.edits
@@ -228,16 +234,17 @@ class Items:
             hit = np.repeat(self.first[slots] - (np.cumsum(n) - n), n)
             hit += np.arange(len(hit))
             keys = self.key[hit]
-            keys += np.repeat(at, n)
+            keys += np.repeat(at, n) << self.piece_bits
             keys.sort()
             good = []
             for need in np.unique(least).tolist():
-                wide = keys[need - 1 :] - keys[: max(0, len(keys) - need + 1)]
+                wide = keys[need - 1 :] - keys[: max(0, len(keys) - need + 1)] >> self.piece_bits
                 i = np.flatnonzero(wide <= self.most_edits)
-                segment = keys[i] >> bits
+                segment = keys[i] >> bits + self.piece_bits
                 i = i[(wide[i] <= self.edits[segment]) & (least[segment] == need)]
-                good.append(np.stack([keys[i], keys[i + need - 1]]))
-            low, high = (x := np.concatenate(good, axis=1))[:, np.argsort(x[0], kind="stable")]
+                good.append(i[self.several(keys, i, need, self.edits[keys[i] >> bits + self.piece_bits])])
+            low = np.sort(np.concatenate(good))
+            low = high = keys[low] >> self.piece_bits
             segment = low >> bits
             # windows of a segment that begin less than a band apart are one
             new = np.flatnonzero(np.diff(low, prepend=-1 << 62) > self.edits[segment] + 1)
@@ -255,6 +262,18 @@ class Items:
                         out.append((t, i, p_, q_))
         return out
 
+    def several(self, keys: np.ndarray, first: np.ndarray, need: int, edits: np.ndarray) -> np.ndarray:
+        """Numbers of the bands, from a first hit on, that have hits of at least `need` different pieces."""
+        n = np.searchsorted(keys, keys[first] + (edits + 1 << self.piece_bits)) - first
+        out, ends = [np.empty(0, np.int64)], np.cumsum(n)
+        for few in np.split(np.arange(len(first)), np.flatnonzero(np.diff(ends // (4 * BLOCK))) + 1):
+            many = n[few]
+            band = np.repeat(np.arange(len(few)), many)
+            hit = np.arange(len(band)) + np.repeat(first[few] - (np.cumsum(many) - many), many)
+            found = np.unique((band << self.piece_bits) + (keys[hit] & (1 << self.piece_bits) - 1)) >> self.piece_bits
+            out.append(few[np.bincount(found, minlength=len(few)) >= need])
+        return np.concatenate(out)
+
     def short_windows(self, text: bytes, k: int) -> list[tuple[int, int]]:
         """Parts of text that hold every passage within the edits of an item too short for GRAM: around each of as many
         pieces as one more than the edits, or the whole text where pieces would be single bytes."""
@@ -322,7 +341,7 @@ def searched(items: Items, texts: list[bytes]):
     begin, size = 0, 0
     for end in range(1, len(texts) + 1):
         size += len(texts[end - 1])
-        if size > BLOCK or end == len(texts):
+        if size > TEXTS or end == len(texts):
             yield from ((begin + i, *rest) for i, *rest in items.found(texts[begin:end]))
             begin, size = end, 0
 
