@@ -68,12 +68,25 @@ def _label(rows: DataFrame) -> Column:
     return F.col("label") if "label" in rows.columns else F.col("date").isNotNull()
 
 
+def _with_coupon() -> Column:
+    return F.col("date_received").isNotNull() & F.col("coupon_id").isNotNull()
+
+
+def was_kept(rows: DataFrame) -> Column:
+    """Whether a row is a received coupon that wasn't used (in time, where rows are labelled)."""
+    return ~_label(rows) & _with_coupon()
+
+
+def was_used(rows: DataFrame) -> Column:
+    return _label(rows) & _with_coupon()
+
+
 def received_coupons(rows: DataFrame) -> DataFrame:
-    return rows.where(~_label(rows) & F.col("date_received").isNotNull() & F.col("coupon_id").isNotNull())
+    return rows.where(was_kept(rows))
 
 
 def used_coupons(rows: DataFrame) -> DataFrame:
-    return rows.where(_label(rows) & F.col("date_received").isNotNull() & F.col("coupon_id").isNotNull())
+    return rows.where(was_used(rows))
 
 
 def bought_without(rows: DataFrame) -> DataFrame:
@@ -130,8 +143,8 @@ def event_log(offline: DataFrame, online_coupon: DataFrame, clicks: DataFrame, t
 
 
 def event_label() -> Column:
-    """Whether a receipt is followed by a use within LABEL_DAYS."""
-    return F.coalesce(F.col("event_type").endswith("receive_coupon") & (F.datediff("date2", "date") <= LABEL_DAYS), F.lit(False))
+    """Whether an offline receipt is followed by a use within LABEL_DAYS; other events are false."""
+    return F.coalesce((F.col("event_type") == "offline_receive_coupon") & (F.datediff("date2", "date") <= LABEL_DAYS), F.lit(False))
 
 
 def split_events(log: DataFrame, split: Split) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DATE_FLAGS, date_fields
-from .shaping import received_coupons, used_coupons
+from .shaping import was_kept, was_used
 
 #: Share of users, by their last day, that count as active.
 ACTIVE_SHARE = 0.2
@@ -20,9 +20,9 @@ def most_frequent(x: Column) -> Column:
     return F.mode(x, True)
 
 
-def six(column: str, prefix: str, names: Iterable[str] = ("max", "min", "median", "mean", "std", "most_freq")) -> list[Column]:
+def six(column: str | Column, prefix: str, names: Iterable[str] = ("max", "min", "median", "mean", "std", "most_freq")) -> list[Column]:
     """Aggregates of a column, named prefix_max and so on. The deviation of a single row is null."""
-    x = F.col(column)
+    x = F.col(column) if isinstance(column, str) else column
     made = {"max": F.max(x), "min": F.min(x), "median": F.percentile(x, 0.5), "mean": F.avg(x), "std": F.stddev_samp(x), "most_freq": most_frequent(x)}
     return [made[n].alias(f"{prefix}_{n}") for n in names]
 
@@ -56,35 +56,52 @@ def to_merchants(df: DataFrame) -> DataFrame:
     return spread_of(df, "user_id", "merchant_id", "merchant_count", "merchant_nunique", "merchant_value_count", ("max", "mean", "median", "std", "most_freq"))
 
 
-def discounts(df: DataFrame, key: str, with_kinds: bool = False) -> DataFrame:
-    """Coupon counts and discount statistics by key.
+def by_group(df: DataFrame, key: str, columns: list[Column]) -> DataFrame:
+    """Any number of these modules' columns of each group, in one aggregation."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*columns)
+
+
+def coupons(df: DataFrame, key: str) -> DataFrame:
+    return spread_of(df, key, "coupon_id", "coupon_count", "coupon_nunique", "coupon_value_count", ("max", "mean", "median", "std", "most_freq"))
+
 
-    transfer_rate is receipts that weren't used over uses, null where either is missing. with_kinds adds how many rows
-    are of each kind of discount.
+def discount_columns(df: DataFrame, with_kinds: bool = False) -> list[Column]:
+    """Discount statistics, and transfer_rate: receipts that weren't used over uses, null where there are none of either.
+
+    with_kinds adds how many rows are of each kind of discount.
     """
-    coupons = spread_of(df, key, "coupon_id", "coupon_count", "coupon_nunique", "coupon_value_count", ("max", "mean", "median", "std", "most_freq"))
     fields = [a for c in ("discount_man", "discount_jian", "discount_rate") for a in six(c, c)]
     kinds = [F.count_if(F.col(f"is_{k}")).alias(f"{k}_count") for k in ("xianshi", "manjian", "dazhe") if with_kinds and f"is_{k}" in df.columns]
-    rest = df.where(F.col(key).isNotNull()).groupBy(key).agg(*fields, *kinds)
-    counts = [x.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n)) for x, n in ((received_coupons(df), "kept"), (used_coupons(df), "used"))]
-    rate = aligned(counts, key).select(key, F.try_divide("kept", "used").alias("transfer_rate"))
-    return coupons.join(rest, key).join(rate, key, "left")
+    some = lambda p: F.nullif(F.count_if(p), F.lit(0))
+    return [*fields, *kinds, (some(was_kept(df)) / some(was_used(df))).alias("transfer_rate")]
+
+
+def discounts(df: DataFrame, key: str, with_kinds: bool = False) -> DataFrame:
+    """Coupon counts and discount statistics by key."""
+    return coupons(df, key).join(by_group(df, key, discount_columns(df, with_kinds)), key)
 
 
 def distances(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*six("distance", "distance"))
+    return by_group(df, key, six("distance", "distance"))
 
 
-def any_date(df: DataFrame, column: str, key: str) -> DataFrame:
+def date_columns(column: str) -> list[Column]:
     """Whether any date of a group has each calendar flag."""
     fields = date_fields(F.col(column))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.coalesce(F.bool_or(fields[f]), F.lit(False)).alias(f"{column}_{f}") for f in DATE_FLAGS))
+    return [F.coalesce(F.bool_or(fields[f]), F.lit(False)).alias(f"{column}_{f}") for f in DATE_FLAGS]
 
 
-def hold_days(df: DataFrame, key: str) -> DataFrame:
+def any_date(df: DataFrame, column: str, key: str) -> DataFrame:
+    return by_group(df, key, date_columns(column))
+
+
+def hold_columns() -> list[Column]:
     """Statistics of the days between receipt and use."""
-    own = df.where(F.col(key).isNotNull()).withColumn("held", F.datediff("date", "date_received").cast("double"))
-    return own.groupBy(key).agg(*six("held", "coupon_hold_days"))
+    return six(F.datediff("date", "date_received").cast("double"), "coupon_hold_days")
+
+
+def hold_days(df: DataFrame, key: str) -> DataFrame:
+    return by_group(df, key, hold_columns())
 
 
 def transfer(df: DataFrame, source: str, target: str) -> Column:

@@ -14,14 +14,15 @@ def named(df: DataFrame, key: str, prefix: str) -> DataFrame:
 
 
 def user_coupons(rows: DataFrame, prefix: str, with_distance: bool) -> DataFrame:
-    parts = [stats.discounts(rows, "user_id"), stats.hold_days(rows, "user_id"), stats.any_date(rows, "date_received", "user_id"), stats.any_date(rows, "date", "user_id"), stats.to_merchants(rows)]
-    if with_distance:
-        parts.append(stats.distances(rows, "user_id"))
+    """Three inputs: how rows spread over coupons and over merchants, and everything else in one aggregation."""
+    rest = [*stats.discount_columns(rows), *stats.hold_columns(), *stats.date_columns("date_received"), *stats.date_columns("date"), *(stats.six("distance", "distance") if with_distance else [])]
+    parts = [stats.coupons(rows, "user_id"), stats.by_group(rows, "user_id", rest), stats.to_merchants(rows)]
     return named(stats.aligned(parts, "user_id"), "user_id", prefix)
 
 
 def user_clicks(clicks: DataFrame, prefix: str) -> DataFrame:
-    return named(stats.aligned([stats.click_spread(clicks), stats.to_merchants(clicks), stats.any_date(clicks, "date", "user_id")], "user_id"), "user_id", prefix)
+    rest = [*stats.six("count", "click_count", ("max", "median")), *stats.date_columns("date")]
+    return named(stats.aligned([stats.by_group(clicks, "user_id", rest), stats.to_merchants(clicks)], "user_id"), "user_id", prefix)
 
 
 def active_users(rows: DataFrame, prefix: str) -> DataFrame:
@@ -42,10 +43,11 @@ def merchant_features(offline: DataFrame) -> DataFrame:
     offline = offline.na.fill({"distance": NO_DISTANCE})
     key = "merchant_id"
     received, used, without = received_coupons(offline), used_coupons(offline), bought_without(offline)
+    dated, far = stats.date_columns, stats.six("distance", "distance")
     parts = [
-        stats.aligned([stats.discounts(received, key), stats.any_date(received, "date_received", key), stats.to_users(received, key)], key),
-        stats.aligned([stats.discounts(used, key), stats.hold_days(used, key), stats.any_date(used, "date_received", key), stats.any_date(used, "date", key), stats.distances(used, key), stats.to_users(used, key)], key),
-        stats.aligned([stats.any_date(without, "date", key), stats.distances(without, key), stats.to_users(without, key)], key),
+        stats.aligned([stats.coupons(received, key), stats.by_group(received, key, [*stats.discount_columns(received), *dated("date_received")]), stats.to_users(received, key)], key),
+        stats.aligned([stats.coupons(used, key), stats.by_group(used, key, [*stats.discount_columns(used), *stats.hold_columns(), *dated("date_received"), *dated("date"), *far]), stats.to_users(used, key)], key),
+        stats.aligned([stats.by_group(without, key, [*dated("date"), *far]), stats.to_users(without, key)], key),
     ]
     out = stats.aligned([named(x, key, n) for x, n in zip(parts, ("received_coupon", "buy_with_coupon", "buy_without_coupon"), strict=True)], key)
     return named(out.select("*", stats.transfer(out, "received_coupon_coupon_count", "buy_with_coupon_coupon_count")), key, "merchant_offline")
@@ -69,8 +71,8 @@ def discount_features(offline: DataFrame, online_coupon: DataFrame) -> DataFrame
     return stats.aligned([usage_by(offline, "discount_name", "discount_offline"), usage_by(online_coupon, "discount_name", "discount_online")], "discount_name")
 
 
-def merged_classic(rows: DataFrame, users: DataFrame, merchants: DataFrame, coupons: DataFrame, discounts: DataFrame, distances: DataFrame) -> DataFrame:
-    """Label rows with all five entities' statistics, without ids, nothing missing.
+def merged_classic(rows: DataFrame, users: DataFrame, merchants: DataFrame, coupons: DataFrame, discounts: DataFrame, distances: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Label rows with all five entities' statistics, nothing missing, and without ids unless they are asked for.
 
     A missing distance is filled after the join, so such rows meet no distance statistics.
     """
@@ -78,4 +80,5 @@ def merged_classic(rows: DataFrame, users: DataFrame, merchants: DataFrame, coup
     for df, key in ((users, "user_id"), (merchants, "merchant_id"), (coupons, "coupon_id"), (discounts, "discount_name"), (distances, "distance")):
         out = out.join(df, key, "left")
     out = out.na.fill({"distance": NO_DISTANCE})
-    return filled_by_type(out.drop("user_id", "merchant_id", "coupon_id", "discount_name", "date", "date_received"), ("label",))
+    ids = ("user_id", "merchant_id", "coupon_id", "discount_name", "date", "date_received")
+    return filled_by_type(out if keep_ids else out.drop(*ids), ("label", *ids))

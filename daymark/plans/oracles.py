@@ -69,8 +69,13 @@ def window_sql(name: str) -> str:
     return f"e.t BETWEEN {clip(a)} AND {clip(b)}"
 
 
-def features_sql(keys: tuple[str, ...], wanted: Features) -> str:
-    """Every feature straight from the events of a key, snapshot by snapshot."""
+def six_digits(x: str) -> str:
+    """Six digits, with halves told by the first ten."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), 6) AS DOUBLE)"
+
+
+def features_sql(keys: tuple[str, ...], wanted: Features, base: str | None = None) -> str:
+    """Every feature straight from the events of a key, snapshot by snapshot. base: None, or a table like ev."""
     columns = {}
     for m in wanted.measures:
         p = f"{window_sql(m.window)} AND e.event_type IN ({', '.join(map(repr, m.kinds))})" + " AND coalesce(e.discount_man >= 200, false)" * m.man200
@@ -86,20 +91,22 @@ def features_sql(keys: tuple[str, ...], wanted: Features) -> str:
             columns[m.name] = f"CASE WHEN count(*) FILTER (WHERE {p}) = 0 THEN 0.0::DOUBLE WHEN count(*) FILTER (WHERE {p} AND {x} IS NULL) > 0 THEN NULL ELSE {f}({x}) FILTER (WHERE {p}) END"
     on = " AND ".join(f"e.{k} = s.{k}" for k in keys)
     names = {m.name: f"m{i}" for i, m in enumerate(wanted.measures)}
-    shown = lambda m: names[m.name] if m.distinct or m.aggregate == "count" else f"round({names[m.name]}, 6)"
-    combos = [(f"round(CASE WHEN {names[c.right]} = 0 THEN 0.0::DOUBLE ELSE {names[c.left]}::DOUBLE / {names[c.right]} END, 6)" if c.operator == "/" else f"{names[c.left]} - {names[c.right]}") + f' AS "{plain_name(c.name)}"' for c in wanted.combinations]
+    shown = lambda m: names[m.name] if m.distinct or m.aggregate == "count" else six_digits(names[m.name])
+    combos = [(six_digits(f"CASE WHEN {names[c.right]} = 0 THEN 0.0::DOUBLE ELSE {names[c.left]}::DOUBLE / {names[c.right]} END") if c.operator == "/" else f"{names[c.left]} - {names[c.right]}") + f' AS "{plain_name(c.name)}"' for c in wanted.combinations]
     known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
     listed = ", ".join(keys)
     spine = f"known AS (SELECT DISTINCT {listed} FROM ev WHERE event_type IN ({', '.join(map(repr, OFFLINE_KINDS))}) AND {known}), spine AS (SELECT DISTINCT {listed}, t FROM ev SEMI JOIN known USING ({listed}))"
     inner = f"SELECT {', '.join(f's.{k}' for k in keys)}, s.t AS date, {', '.join(f'{v} AS {names[k]}' for k, v in columns.items())} FROM spine s JOIN ev e ON {on} GROUP BY {', '.join(f's.{k}' for k in keys)}, s.t"
     shown_columns = ", ".join([*(f'{shown(m)} AS "{plain_name(m.name)}"' for m in wanted.measures), *combos])
+    if base:
+        return f"WITH {spine.replace('FROM ev', f'FROM {base}')} SELECT {listed}, date, {shown_columns} FROM ({inner.replace('JOIN ev e', f'JOIN {base} e')})"
     return sql(f"SELECT {listed}, date, {shown_columns} FROM ({inner})", spine)
 
 
 def six_sql(x: str, prefix: str, names=("max", "min", "median", "mean", "std", "most_freq")) -> str:
     made = {"max": f"max({x})", "min": f"min({x})", "median": f"CAST(median({x}) AS DOUBLE)", "mean": f"avg({x})", "std": f"stddev_samp({x})"}
     wrapped = {"median", "mean", "std"}
-    return ", ".join((f"round({made[n]}, 6)" if n in wrapped else made[n]) + f" AS {prefix}_{n}" for n in names)
+    return ", ".join((six_digits(made[n]) if n in wrapped else made[n]) + f" AS {prefix}_{n}" for n in names)
 
 
 def spread_sql(source: str, key: str, value: str, count_name: str, distinct_name: str, prefix: str, names) -> str:
@@ -120,7 +127,7 @@ def mode_sql(source: str, key: str, x: str, name: str) -> str:
 
 def six_with_mode(source: str, key: str, x: str, prefix: str) -> str:
     own = ("max", "min", "median", "mean", "std")
-    return f"SELECT a.*, b.{prefix}_most_freq FROM (SELECT {key}, {six_sql(x, prefix, own).replace(f'max({x})', f'round(max({x}), 6)').replace(f'min({x})', f'round(min({x}), 6)')} FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}) a LEFT JOIN (SELECT {key}, round({prefix}_most_freq, 6) AS {prefix}_most_freq FROM ({mode_sql(source, key, x, f'{prefix}_most_freq')})) b USING ({key})"
+    return f"SELECT a.*, b.{prefix}_most_freq FROM (SELECT {key}, {six_sql(x, prefix, own).replace(f'max({x})', six_digits(f'max({x})')).replace(f'min({x})', six_digits(f'min({x})'))} FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}) a LEFT JOIN (SELECT {key}, round({prefix}_most_freq, 6) AS {prefix}_most_freq FROM ({mode_sql(source, key, x, f'{prefix}_most_freq')})) b USING ({key})"
 
 
 def to_users_sql(source: str, key: str) -> str:
@@ -185,20 +192,21 @@ def catalogue_sql() -> str:
 
 
 def merged_sql() -> str:
+    """Label rows, and every feature of the five entities on (key, day)."""
     past = f"past AS (SELECT *, {LABEL} AS label FROM log WHERE {between('date', SPLIT.feature)} UNION ALL SELECT date, NULL, * EXCLUDE (date, date2), {LABEL} FROM log WHERE {between('date', SPLIT.test)} AND event_type = 'offline_receive_coupon')"
-    ev2 = "ev2 AS (SELECT *, dayofyear(date) - 1 AS t FROM past)"
-    rows = f"rows_ AS (SELECT user_id, merchant_id, coupon_id, date AS d, dayofyear(date) - 1 AS t, distance, discount_name, label FROM past WHERE event_type = 'offline_receive_coupon' AND {between('date', SPLIT.train)})"
-    hit = lambda keys, window, kind, what: f"(SELECT {what} FROM ev2 e WHERE {' AND '.join(f'e.{k} = s.{k}' for k in keys)} AND {window_sql(window)} AND e.event_type {kind})"
-    receive, use = "= 'offline_receive_coupon'", "= 'offline_buy_with_coupon'"
-    offline = f"IN ({', '.join(map(repr, OFFLINE_KINDS))})"
-    select = f"""SELECT s.user_id, s.merchant_id, s.coupon_id, s.t AS date, distance, round(d.discount_rate, 6) AS discount_rate, label, isodow(s.d) - 1 AS date_dayofweek, day(s.d) AS date_dayofmonth,
- {hit(('user_id',), 'recent', receive, 'count(*)')} AS user_recent_offline_receive_coupon_count, {hit(('merchant_id',), 'recent', offline, 'count(DISTINCT e.user_id)')} AS merchant_recent_offline_unique_user_count,
- {hit(('coupon_id',), 'longago', receive, 'count(*)')} AS coupon_longago_offline_receive_coupon_count, {hit(('user_id', 'merchant_id'), 'longago', use, 'count(*)')} AS user_merchant_longago_offline_buy_with_coupon_count,
- {hit(('user_id', 'coupon_id'), 'future', receive, 'count(*)')} AS future_offline_receive_coupon_count FROM rows_ s LEFT JOIN discounts d USING (discount_name)"""
-    return sql(select, ", ".join((past, ev2, rows)))
+    ev2 = "ev2 AS MATERIALIZED (SELECT l.*, d.discount_rate, d.discount_man, dayofyear(date) - 1 AS t, CAST(dayofyear(date) - dayofyear(date2) AS DOUBLE) AS timedelta FROM past l LEFT JOIN discounts d USING (discount_name))"
+    rows = f"rows_ AS (SELECT user_id, merchant_id, coupon_id, date AS d, dayofyear(date) - 1 AS date, distance, discount_name, label FROM past WHERE event_type = 'offline_receive_coupon' AND {between('date', SPLIT.train)})"
+    tables, columns, joins = [], [], []
+    for e in ("user", "merchant", "coupon", "user_merchant", "user_coupon"):
+        tables.append(f"f_{e} AS ({features_sql(KEYS[e], features(e), 'ev2')})")
+        joins.append(f"LEFT JOIN f_{e} ON {' AND '.join(f's.{k} = f_{e}.{k}' for k in (*KEYS[e], 'date'))}")
+        columns += [f'f_{e}."{plain_name(n)}" AS "{plain_name(n) if e == "user_coupon" else f"{e}_{plain_name(n)}"}"' for n in features(e).names]
+    fields = f"is_xianshi, is_dazhe, is_manjian, discount_man, discount_jian, {six_digits('d.discount_rate')} AS discount_rate"
+    select = f"SELECT s.user_id, s.merchant_id, s.coupon_id, s.date, s.distance, s.label, {fields}, isodow(s.d) - 1 AS date_dayofweek, day(s.d) AS date_dayofmonth, {', '.join(columns)} FROM rows_ s LEFT JOIN discounts d USING (discount_name) {' '.join(joins)}"
+    return sql(select, ", ".join((past, ev2, rows, *tables)))
 
 
-LABEL = "coalesce(event_type LIKE '%receive_coupon' AND date2 - date <= 15, false)"
+LABEL = "coalesce(event_type = 'offline_receive_coupon' AND date2 - date <= 15, false)"
 
 
 def active_sql() -> str:
@@ -251,16 +259,11 @@ def oracle_sql() -> dict[str, str]:
         "click_stats": sql("SELECT user_id, max(count) AS click_count_max, CAST(median(count) AS DOUBLE) AS click_count_median FROM clicks GROUP BY user_id"),
         "transfer_rate": sql(f"SELECT merchant_id, a AS merchant_offline_received_coupon_coupon_count, b AS merchant_offline_buy_with_coupon_coupon_count, round(b::DOUBLE / a, 6) AS merchant_offline_transfer_rate_received_coupon_coupon_count_to_buy_with_coupon_coupon_count FROM (SELECT merchant_id, count(*) AS a FROM {RECEIVED} GROUP BY ALL) FULL JOIN (SELECT merchant_id, count(*) AS b FROM {USED} GROUP BY ALL) USING (merchant_id) FULL JOIN (SELECT DISTINCT merchant_id FROM {WITHOUT}) USING (merchant_id)"),
         "mode_tie": sql(f"SELECT merchant_id, distance, discount_name FROM (SELECT DISTINCT merchant_id FROM offline) LEFT JOIN ({mode_sql('offline', 'merchant_id', 'distance', 'distance')}) USING (merchant_id) LEFT JOIN ({mode_sql('offline', 'merchant_id', 'discount_name', 'discount_name')}) USING (merchant_id)"),
-        "classic_user": sql("""SELECT user_id, a.user_offline_coupon_count, a.user_offline_coupon_nunique, b.user_online_coupon_merchant_nunique, c.user_online_click_click_count_max, d.user_offline_date_is_active
- FROM (SELECT user_id, count(*) AS user_offline_coupon_count, count(DISTINCT coupon_id) AS user_offline_coupon_nunique FROM offline GROUP BY ALL) a
- FULL JOIN (SELECT user_id, count(DISTINCT merchant_id) AS user_online_coupon_merchant_nunique FROM online_coupon GROUP BY ALL) b USING (user_id)
- FULL JOIN (SELECT user_id, max(count) AS user_online_click_click_count_max FROM clicks GROUP BY ALL) c USING (user_id)
- FULL JOIN (SELECT user_id, row_number() OVER (ORDER BY d DESC NULLS LAST, user_id) <= floor(count(*) OVER () * 0.2) AS user_offline_date_is_active FROM (SELECT user_id, max(date) AS d FROM offline GROUP BY user_id)) d USING (user_id)"""),
-        "classic_merchant": sql(f"""SELECT merchant_id, round(b.h, 6) AS merchant_offline_buy_with_coupon_coupon_hold_days_mean, c.u AS merchant_offline_buy_without_coupon_user_nunique, round(a.m, 6) AS merchant_offline_received_coupon_discount_rate_median, b.w AS merchant_offline_buy_with_coupon_date_is_weekday_1
- FROM (SELECT merchant_id, median(discount_rate) AS m FROM {RECEIVED} GROUP BY ALL) a FULL JOIN (SELECT merchant_id, avg(date - date_received) AS h, bool_or(isodow(date) = 1) AS w FROM {USED} GROUP BY ALL) b USING (merchant_id) FULL JOIN (SELECT merchant_id, count(DISTINCT user_id) AS u FROM {WITHOUT} GROUP BY ALL) c USING (merchant_id)"""),
+        "classic_user": sql(f"SELECT * FROM {user_sql()[0]}"),
+        "classic_merchant": sql(f"SELECT * FROM {merchant_sql()[0]}"),
         "classic_coupon": sql(usage_sql("offline", "coupon_id", "coupon_offline", FULL)),
         "classic_distance": sql(usage_sql("offline", "distance", "distance_offline", FULL12)),
-        "classic_discount": sql(f"SELECT discount_name, a AS discount_offline_received_coupon_user_count, b AS discount_online_buy_with_coupon_user_count FROM (SELECT discount_name, count(*) AS a FROM {RECEIVED} WHERE discount_name IS NOT NULL GROUP BY ALL) FULL JOIN (SELECT discount_name, count(*) AS b FROM {ONLINE_USED} WHERE discount_name IS NOT NULL GROUP BY ALL) USING (discount_name) FULL JOIN (SELECT DISTINCT discount_name FROM (SELECT * FROM {USED} UNION ALL BY NAME SELECT * FROM {ONLINE_RECEIVED}) WHERE discount_name IS NOT NULL) USING (discount_name)"),
+        "classic_discount": sql(f"SELECT * FROM {discount_features_sql()[0]}"),
         "classic_merged": classic_merged_sql(),
         "key_distinct_single": sql("SELECT DISTINCT coupon_id FROM log WHERE coupon_id IS NOT NULL"),
         "key_distinct_multi": sql("SELECT DISTINCT user_id, coupon_id FROM log WHERE coupon_id IS NOT NULL AND user_id IS NOT NULL"),
@@ -297,13 +300,97 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
-def classic_merged_sql() -> str:
-    past = f"past AS (SELECT * FROM offline WHERE (date_received IS NULL OR {between('date_received', FEATURES)}) AND (date IS NULL OR {between('date', FEATURES)}))"
-    part = lambda key, cond, name: f"(SELECT {key}, count(*) AS {name} FROM (SELECT * REPLACE (coalesce(distance, 12) AS distance) FROM past) WHERE {cond} AND coupon_id IS NOT NULL AND {key} IS NOT NULL GROUP BY ALL)"
-    names = [(k, c, f"{p}_offline_{n}_user_count") for k, p in (("coupon_id", "coupon"), ("distance", "distance")) for c, n in (("NOT label", "received_coupon"), ("label", "buy_with_coupon"))]
-    joins = " ".join(f"LEFT JOIN {part(k, c, n)} USING ({k})" for k, c, n in names)
-    filled = ", ".join(f"coalesce({n}, 0) AS {n}" for _, _, n in names)
-    rows = f"rows_ AS (SELECT user_id, coupon_id, merchant_id, label, distance, discount_name FROM offline WHERE coupon_id IS NOT NULL AND {between('date_received', LABELS)})"
-    return sql(f"SELECT user_id, coupon_id, merchant_id, label, coalesce(distance, 12) AS distance, discount_name, {filled} FROM rows_ {joins}", f"{past}, {rows}")
+Table = tuple[str, list[str]]  # a bracketed SELECT with a key, and its other columns
+SPREAD = {"merchant_id": ("merchant_count", "merchant_nunique", "merchant_value_count", VALUES), "user_id": ("user_count", "user_nunique", "user_usage", USAGE), "coupon_id": ("coupon_count", "coupon_nunique", "coupon_value_count", VALUES)}
+SIX = ("max", "min", "median", "mean", "std", "most_freq")
+
+
+def spread_table(source: str, key: str, value: str) -> Table:
+    count, distinct, prefix, names = SPREAD[value]
+    return f"({spread_sql(source, key, value, count, distinct, prefix, names)})", [count, distinct, *(f"{prefix}_{n}" for n in names)]
+
+
+def six_table(source: str, key: str, x: str, prefix: str) -> Table:
+    return f"({six_with_mode(f'(SELECT {key}, {x} AS v FROM {source})', key, 'v', prefix)})", [f"{prefix}_{n}" for n in SIX]
+
+
+def dates_table(source: str, key: str, day: str) -> Table:
+    flags = flags_sql(day)
+    return f"(SELECT {key}, {', '.join(f'coalesce(bool_or({flags[f]}), false) AS {day}_{f}' for f in DATE_FLAGS)} FROM {source} WHERE {key} IS NOT NULL GROUP BY {key})", [f"{day}_{f}" for f in DATE_FLAGS]
+
+
+def rate_table(source: str, key: str, used: str) -> Table:
+    known = "coupon_id IS NOT NULL AND date_received IS NOT NULL"
+    return f"(SELECT {key}, round(k::DOUBLE / u, 6) AS transfer_rate FROM (SELECT {key}, count(*) FILTER (WHERE NOT ({used}) AND {known}) AS k, count(*) FILTER (WHERE {used} AND {known}) AS u FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}) WHERE k > 0 AND u > 0)", ["transfer_rate"]
+
+
+def discount_tables(source: str, key: str, used: str) -> list[Table]:
+    return [spread_table(source, key, "coupon_id"), *(six_table(source, key, c, c) for c in ("discount_man", "discount_jian", "discount_rate")), rate_table(source, key, used)]
+
 
+def hold_table(source: str, key: str) -> Table:
+    return six_table(source, key, "CAST(date - date_received AS DOUBLE)", "coupon_hold_days")
 
+
+def together(tables: list[Table], key: str, prefix: str = "") -> Table:
+    """All groups of several tables, their columns with a prefix."""
+    joins = tables[0][0] + " t0" + "".join(f" FULL JOIN {t} t{i} USING ({key})" for i, (t, _) in enumerate(tables[1:], 1))
+    names = [n for _, own in tables for n in own]
+    return f"(SELECT {key}, {', '.join(f't{i}.{n} AS {prefix}{n}' for i, (_, own) in enumerate(tables) for n in own)} FROM {joins})", [prefix + n for n in names]
+
+
+def active_table(source: str, day: str, prefix: str) -> Table:
+    return f"(SELECT user_id, row_number() OVER (ORDER BY d DESC NULLS LAST, user_id) <= floor(count(*) OVER () * 0.2) AS {prefix}_{day}_is_active FROM (SELECT user_id, max({day}) AS d FROM {source} GROUP BY user_id))", [f"{prefix}_{day}_is_active"]
+
+
+def user_sql(offline: str = "offline", clicks: str = "clicks", online: str = "online_coupon") -> Table:
+    near = f"(SELECT * REPLACE (coalesce(distance, 12) AS distance) FROM {offline})"
+    rest = lambda s: [hold_table(s, "user_id"), dates_table(s, "user_id", "date_received"), dates_table(s, "user_id", "date"), spread_table(s, "user_id", "merchant_id")]
+    clicked = f"(SELECT user_id, max(count) AS click_count_max, CAST(median(count) AS DOUBLE) AS click_count_median FROM {clicks} GROUP BY user_id)", ["click_count_max", "click_count_median"]
+    return together([
+        together([*discount_tables(near, "user_id", "label"), *rest(near), six_table(near, "user_id", "distance", "distance")], "user_id", "user_offline_"),
+        active_table(offline, "date", "user_offline"), active_table(offline, "date_received", "user_offline"),
+        together([clicked, spread_table(clicks, "user_id", "merchant_id"), dates_table(clicks, "user_id", "date")], "user_id", "user_online_click_"), active_table(clicks, "date", "user_online_click"),
+        together([*discount_tables(online, "user_id", "date IS NOT NULL"), *rest(online)], "user_id", "user_online_coupon_"),
+        active_table(online, "date", "user_online_coupon"), active_table(online, "date_received", "user_online_coupon"),
+    ], "user_id")
+
+
+def merchant_sql(offline: str = "offline") -> Table:
+    key = "merchant_id"
+    near = f"(SELECT * REPLACE (coalesce(distance, 12) AS distance) FROM {offline})"
+    received, used, without = (x.replace("offline", near) for x in (RECEIVED, USED, WITHOUT))
+    far = lambda s: six_table(s, key, "distance", "distance")
+    parts = [
+        together([*discount_tables(received, key, "label"), dates_table(received, key, "date_received"), spread_table(received, key, "user_id")], key, "received_coupon_"),
+        together([*discount_tables(used, key, "label"), hold_table(used, key), dates_table(used, key, "date_received"), dates_table(used, key, "date"), far(used), spread_table(used, key, "user_id")], key, "buy_with_coupon_"),
+        together([dates_table(without, key, "date"), far(without), spread_table(without, key, "user_id")], key, "buy_without_coupon_"),
+    ]
+    whole, names = together(parts, key, "merchant_offline_")
+    a, b, rate = (f"merchant_offline_{n}" for n in ("received_coupon_coupon_count", "buy_with_coupon_coupon_count", "transfer_rate_received_coupon_coupon_count_to_buy_with_coupon_coupon_count"))
+    return f"(SELECT *, round({b}::DOUBLE / {a}, 6) AS {rate} FROM {whole})", [*names, rate]
+
+
+def usage_table(source: str, key: str, prefix: str, used: str) -> Table:
+    known = "coupon_id IS NOT NULL AND date_received IS NOT NULL"
+    subsets = (("received_coupon_", f"NOT ({used})"), ("buy_with_coupon_", used))
+    return together([together([spread_table(f"(SELECT * FROM {source} WHERE {p} AND {known})", key, "user_id")], key, n) for n, p in subsets], key, prefix)
+
+
+def discount_features_sql(offline: str = "offline", online: str = "online_coupon") -> Table:
+    return together([usage_table(offline, "discount_name", "discount_offline_", "label"), usage_table(online, "discount_name", "discount_online_", "date IS NOT NULL")], "discount_name")
+
+
+def classic_merged_sql() -> str:
+    kept = lambda *days: " AND ".join(f"({d} IS NULL OR {between(d, FEATURES)})" for d in days)
+    views = [f"past AS (SELECT * FROM offline WHERE {kept('date_received', 'date')})", f"past_online AS (SELECT * FROM online_coupon WHERE {kept('date_received', 'date')})", f"past_clicks AS (SELECT * FROM clicks WHERE {kept('date')})"]
+    near = "(SELECT * REPLACE (coalesce(distance, 12) AS distance) FROM past)"
+    tables = [
+        ("user_id", user_sql("past", "past_clicks", "past_online")), ("merchant_id", merchant_sql("past")), ("coupon_id", usage_table("past", "coupon_id", "coupon_offline_", "label")),
+        ("discount_name", discount_features_sql("past", "past_online")), ("distance", usage_table(near, "distance", "distance_offline_", "label")),
+    ]
+    joins = " ".join(f"LEFT JOIN {t} e{i} ON r.{k} = e{i}.{k}" for i, (k, (t, _)) in enumerate(tables))
+    flag = lambda n: "_is_" in n
+    filled = ", ".join(f"coalesce(e{i}.{n}, {'false' if flag(n) else 0}) AS {n}" for i, (_, (_, own)) in enumerate(tables) for n in own)
+    rows = f"(SELECT user_id, merchant_id, coupon_id, discount_name, date_received, distance, label FROM offline WHERE coupon_id IS NOT NULL AND {between('date_received', LABELS)})"
+    return sql(f"SELECT r.* REPLACE (coalesce(distance, 12) AS distance), {filled} FROM (SELECT * FROM {rows}) r {joins}".replace("coalesce(distance, 12) AS distance), coalesce(e0", "coalesce(r.distance, 12) AS distance), coalesce(e0"), ", ".join(views))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import learning, reports, shaping, stats
 from ..operators.partitions import by_key
-from ..schema import Split
-from ..sources.files import as_views, read_table
+from ..schema import EVENTS, Split
+from ..sources.files import as_views, read_table, stored
 from ..sources.orders import order_lines
 from . import classic, merging
 from .definitions import KEYS, features
@@ -24,11 +24,14 @@ LABELS, FEATURES = ("1996-08-01", "1996-09-30"), ("1996-01-01", "1996-07-31")
 
 
 class Log:
-    """The derived tables of one folder."""
+    """The derived tables of one folder. The lines and the event log are written once a session; queries read those."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.lines = order_lines(spark, folder)
+
+    @property
+    def lines(self) -> DataFrame:
+        return stored(self.spark, self.folder, "lines", lambda: order_lines(self.spark, self.folder))
 
     @property
     def offline(self) -> DataFrame:
@@ -44,22 +47,22 @@ class Log:
         return shaping.click_counts(self.lines.where("click"))
 
     @property
-    def events(self) -> DataFrame:
-        return shaping.event_log(self.offline, self.online_coupon, self.clicks)
+    def prepared(self) -> DataFrame:
+        """The event log with day numbers and discount fields."""
+        return stored(self.spark, self.folder, "events", lambda: prepared(shaping.event_log(self.offline, self.online_coupon, self.clicks)))
 
     @property
-    def discounts(self) -> DataFrame:
-        return shaping.discount_table(self.events)
+    def events(self) -> DataFrame:
+        return self.prepared.select(*EVENTS.names)
 
     @property
-    def prepared(self) -> DataFrame:
-        events = self.events
-        return prepared(events, shaping.discount_table(events))
+    def discounts(self) -> DataFrame:
+        return shaping.discount_table(self.prepared)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a number of digits, as sums depend on their order."""
-    return df.select(*(F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+    """Doubles to a number of digits, as sums depend on their order; halves are told by the first ten digits."""
+    return df.selectExpr(*(f"CAST(round(CAST(`{c}` AS DECIMAL(38,10)), {digits}) AS DOUBLE) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes))
 
 
 def entity(name: str, only=None) -> Callable:
@@ -91,16 +94,21 @@ def operator_query(name: str) -> Callable:
     return lambda spark, folder: rounded(evaluate(Log(spark, folder).prepared, (key,), parse(text), plain=True))
 
 
+def merged_rows(spark, folder) -> DataFrame:
+    """Receipts of the training range with every feature of their five entities."""
+    log = Log(spark, folder).prepared
+    ready = stored(spark, folder, "past", lambda: prepared_split(log))
+    by = {e: entity_features(ready, e, plain=True) for e in merging.ORDER}
+    return merging.merged(shaping.rows_of_split(ready, SPLIT.train, True), shaping.discount_table(ready), by, separator="_")
+
+
+def prepared_split(log: DataFrame) -> DataFrame:
+    """The split's events, whose test receipts no longer tell the day of use."""
+    return shaping.split_events(log, SPLIT).withColumn("timedelta", F.when(F.col("date2").isNotNull(), F.col("timedelta")))
+
+
 def feat_merged(spark, folder):
-    log = Log(spark, folder)
-    events = shaping.split_events(log.events, SPLIT)
-    discounts = shaping.discount_table(events)
-    ready = prepared(events.drop("label"), discounts)
-    few = {"user": ["recent.offline_receive_coupon.count"], "merchant": ["recent.offline.unique_user.count"], "coupon": ["longago.offline_receive_coupon.count"], "user_merchant": ["longago.offline_buy_with_coupon.count"], "user_coupon": ["future.offline_receive_coupon.count"]}
-    by = {e: entity_features(ready, e, plain=True, only=few[e]) for e in merging.ORDER}
-    rows = shaping.rows_of_split(events, SPLIT.train, True)
-    out = merging.merged(rows, discounts, by, separator="_")
-    return rounded(out.select("user_id", "merchant_id", "coupon_id", "date", "distance", "discount_rate", "label", "date_dayofweek", "date_dayofmonth", *(f"{e}_{plain_name(few[e][0])}" for e in merging.ORDER[:4]), plain_name(few["user_coupon"][0])))
+    return rounded(merged_rows(spark, folder).drop("discount_name"))
 
 
 def learning_rows(spark, folder) -> tuple[DataFrame, list[str]]:
@@ -182,14 +190,14 @@ def receive_days_by_function(spark, folder):
     return by_key(rows, "merchant_id", lambda pdf: pdf.drop_duplicates(), "merchant_id long, date date")
 
 
-def merged_classic_counts(spark, folder):
+def merged_classic(spark, folder):
+    """Label rows with every statistic of the feature range's users, merchants, coupons, discounts and distances."""
     log = Log(spark, folder)
-    past = shaping.feature_rows(log.offline, FEATURES)
-    rows = shaping.rows_to_predict(shaping.label_rows(log.offline, LABELS))
-    out = rows.select("user_id", "coupon_id", "merchant_id", "label", "distance", "discount_name")
-    for df, key in ((classic.coupon_features(past), "coupon_id"), (classic.distance_features(past), "distance")):
-        out = out.join(df.select(key, *[c for c in df.columns if c.endswith("user_count")]), key, "left")
-    return shaping.filled_by_type(out.na.fill({"distance": 12.0}))
+    past, clicks = shaping.feature_rows(log.offline, FEATURES), shaping.feature_rows(log.clicks, FEATURES)
+    online = shaping.feature_rows(log.online_coupon, FEATURES)
+    rows = shaping.label_rows(log.offline, LABELS).select("user_id", "merchant_id", "coupon_id", "discount_name", "date_received", "distance", "label")
+    entities = classic.user_features(past, clicks, online), classic.merchant_features(past), classic.coupon_features(past), classic.discount_features(past, online), classic.distance_features(past)
+    return rounded(classic.merged_classic(rows, *entities, keep_ids=True))
 
 
 def q(f: Callable[[Log], DataFrame]) -> Callable:
@@ -248,12 +256,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "click_stats": q(lambda g: stats.click_spread(g.clicks)),
     "transfer_rate": q(lambda g: classic.merchant_features(g.offline).select("merchant_id", "merchant_offline_received_coupon_coupon_count", "merchant_offline_buy_with_coupon_coupon_count", "merchant_offline_transfer_rate_received_coupon_coupon_count_to_buy_with_coupon_coupon_count")),
     "mode_tie": q(lambda g: g.offline.groupBy("merchant_id").agg(stats.most_frequent(F.col("distance")).alias("distance"), stats.most_frequent(F.col("discount_name")).alias("discount_name"))),
-    "classic_user": q(lambda g: classic.user_features(g.offline, g.clicks, g.online_coupon).select("user_id", "user_offline_coupon_count", "user_offline_coupon_nunique", "user_online_coupon_merchant_nunique", "user_online_click_click_count_max", "user_offline_date_is_active")),
-    "classic_merchant": q(lambda g: classic.merchant_features(g.offline).select("merchant_id", "merchant_offline_buy_with_coupon_coupon_hold_days_mean", "merchant_offline_buy_without_coupon_user_nunique", "merchant_offline_received_coupon_discount_rate_median", "merchant_offline_buy_with_coupon_date_is_weekday_1")),
+    "classic_user": q(lambda g: classic.user_features(g.offline, g.clicks, g.online_coupon)),
+    "classic_merchant": q(lambda g: classic.merchant_features(g.offline)),
     "classic_coupon": q(lambda g: classic.coupon_features(g.offline)),
     "classic_distance": q(lambda g: classic.distance_features(g.offline)),
-    "classic_discount": q(lambda g: classic.discount_features(g.offline, g.online_coupon).select("discount_name", "discount_offline_received_coupon_user_count", "discount_online_buy_with_coupon_user_count")),
-    "classic_merged": merged_classic_counts,
+    "classic_discount": q(lambda g: classic.discount_features(g.offline, g.online_coupon)),
+    "classic_merged": merged_classic,
     "key_distinct_single": q(lambda g: shaping.distinct_keys(g.events, "coupon_id")),
     "key_distinct_multi": q(lambda g: shaping.distinct_keys(g.events, "user_id", "coupon_id")),
     "quantiles": q(lambda g: reports.size_quantiles(g.offline, "coupon_id")),

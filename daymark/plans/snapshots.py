@@ -1,21 +1,19 @@
 """Features of keys as of days: each day on which a key has an event is a snapshot.
 
-Counts, sums, least and largest values are first put together by key and day, so a key has a few hundred rows at most
-before they meet its snapshots. Distinct values aren't multiplied by snapshots at all: an event of day d counts in the
-windows of the snapshots of one range of days, so it is a step up and a step down, and running sums of those steps
-over the days give the counts. No step holds more of a key than its days in one task's window, or one value's days.
+Counts, sums, least and largest values are first put together by key and day, so a key has 366 rows at most; its
+windows are frames over those rows, and nothing is joined. Distinct values don't meet the snapshots either: an event of
+day d counts in the windows of the snapshots of one range of days, so it is a step up and a step down, and running sums
+of those steps over the days give the counts. No task's window holds more of a key than its days, or one value's days.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clipped, guarded_ratio
-from ..operators.shaping import wide, with_discount
-from ..schema import OFFLINE_KINDS
+from ..functions.scalars import discount_struct
+from ..operators.shaping import wide
+from ..schema import EVENTS, OFFLINE_KINDS
 from .definitions import KEYS, features
 from .language import DISTINCTS, WINDOWS, Features, Measure
 
@@ -24,95 +22,129 @@ LAST_DAY = 365
 NO_VALUE = "nan"
 
 
-def prepared(log: DataFrame, discounts: DataFrame) -> DataFrame:
+def prepared(log: DataFrame) -> DataFrame:
     """The log with day numbers and discount fields, as snapshots need it."""
-    own = wide(with_discount(log, discounts))
-    return own.select("user_id", "merchant_id", "coupon_id", "event_type", "t", "distance", "discount_rate", "discount_man", (F.col("t") - F.col("t2")).cast("double").alias("timedelta"))
+    fields = discount_struct(F.col("discount_name"))
+    own = wide(log).withColumns({c: fields[c] for c in ("is_xianshi", "is_dazhe", "is_manjian", "discount_man", "discount_jian", "discount_rate")})
+    return own.select(*EVENTS.names, "t", "discount_rate", "discount_man", (F.col("t") - F.col("t2")).cast("double").alias("timedelta"))
 
 
-def spine(events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The snapshots: days with an event, of keys that occur offline."""
-    known = events.where(F.col("event_type").isin(*OFFLINE_KINDS)).select(*keys).dropna().distinct()
-    return events.select(*keys, "t").dropna().distinct().join(known, list(keys), "left_semi")
+def one_of(kinds: tuple[str, ...]) -> str:
+    return f"event_type IN ({', '.join(map(repr, kinds))})"
 
 
-def in_window(event_day: Column, day: Column, window: str) -> Column:
-    first, last = WINDOWS[window]
-    return event_day.between(clipped(day + first, 0, LAST_DAY), clipped(day + last, 0, LAST_DAY))
+def chosen(m: Measure) -> str:
+    """SQL of the condition that an event belongs to a measure's selection."""
+    return one_of(m.kinds) + " AND coalesce(discount_man >= 200, false)" * m.man200
 
 
-def chosen(m: Measure) -> Column:
-    own = F.col("event_type").isin(*m.kinds)
-    return own & F.coalesce(F.col("discount_man") >= 200, F.lit(False)) if m.man200 else own
+def exprs(named: dict[str, str]) -> list[Column]:
+    """Columns of SQL expressions by name: one call for each, however large it is."""
+    return [F.expr(f"{x} AS `{n}`") for n, x in named.items()]
 
 
 def by_day(events: DataFrame, keys: tuple[str, ...], measures: list[Measure]) -> tuple[DataFrame, dict]:
-    """Rows (keys, t) with count, missing values, sum, least and largest of each selection; and the selections' numbers."""
+    """Rows (keys, t) with count, missing values, sum, least and largest of each selection; and the selections' numbers.
+
+    offline: how many of a day's events are of a kind that makes a key known.
+    """
     number: dict = {}
-    parts = []
+    parts = {"offline": f"count_if({one_of(OFFLINE_KINDS)})"}
     for m in measures:
-        value = None if m.value == "deltanow" else m.value
-        if (m.kinds, m.man200, value) in number:
+        if (m.kinds, m.man200, m.value) in number:
             continue
-        g = number[m.kinds, m.man200, value] = len(number)
+        g = number[m.kinds, m.man200, m.value] = len(number)
         p = chosen(m)
-        parts.append(F.count_if(p).alias(f"n{g}"))
-        if value:
-            x = F.when(p, F.col(value))
-            parts += [F.count_if(p & F.col(value).isNull()).alias(f"z{g}"), F.sum(x).alias(f"s{g}"), F.min(x).alias(f"l{g}"), F.max(x).alias(f"h{g}")]
-    return events.dropna(subset=list(keys)).groupBy(*keys, F.col("t").alias("day")).agg(*parts), number
+        parts[f"n{g}"] = f"count_if({p})"
+        if m.value:
+            value = "CAST(t AS DOUBLE)" if m.value == "deltanow" else m.value  # the day itself
+            x = f"(CASE WHEN {p} THEN {value} END)"
+            parts |= {f"s{g}": f"sum{x}", f"l{g}": f"min{x}", f"h{g}": f"max{x}"}
+            if m.value != "deltanow":
+                parts[f"z{g}"] = f"count_if({p} AND {value} IS NULL)"
+    return events.dropna(subset=list(keys)).groupBy(*keys, "t").agg(*exprs(parts)), number
 
 
-def measured(events: DataFrame, snapshots: DataFrame, keys: tuple[str, ...], measures: list[Measure], names: dict[str, str]) -> DataFrame:
-    """(keys, t, one column a measure): nothing there gives 0, a missing value gives null."""
+def framed(column: str, window: str, keys: tuple[str, ...]) -> str:
+    """SQL of an aggregate of a day's column (the first letter says which) over a window's days, clipped to the year.
+
+    A window that lies before the year is its first day, one that lies after it its last.
+    """
+    f = {"l": "min", "h": "max"}.get(column[0], "sum")
+    first, last = WINDOWS[window]
+    whole = f"PARTITION BY {', '.join(keys)}"
+    end = lambda n: "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+    out = f"{f}({column}) OVER ({whole} ORDER BY t RANGE BETWEEN {end(first)} AND {end(last)})"
+    if last < 0:
+        out = f"CASE WHEN t + ({last}) < 0 THEN max(CASE WHEN t = 0 THEN {column} END) OVER ({whole}) ELSE {out} END"
+    if first > 0:
+        out = f"CASE WHEN t + {first} > {LAST_DAY} THEN max(CASE WHEN t = {LAST_DAY} THEN {column} END) OVER ({whole}) ELSE {out} END"
+    return out
+
+
+def measured(events: DataFrame, keys: tuple[str, ...], measures: list[Measure], names: dict[str, str]) -> DataFrame:
+    """(keys, t, one column a measure) of each snapshot, that is each day of a key that occurs offline: nothing there
+    gives 0, a missing value gives null."""
     days, number = by_day(events, keys, measures)
-    t, day = F.col("t"), F.col("day")
-    near = snapshots.join(days, list(keys)).where(day.between(F.greatest(t + min(a for a, _ in WINDOWS.values()), F.lit(0)), F.least(t + max(b for _, b in WINDOWS.values()), F.lit(LAST_DAY))))
-    aggregates = []
+    needed = {"known": f"sum(offline) OVER (PARTITION BY {', '.join(keys)}) > 0"}
+
+    def part(letter: str, m: Measure) -> str:
+        column = f"{letter}{number[m.kinds, m.man200, m.value]}"
+        name = f"{column}_{m.window}"
+        if name not in needed:
+            needed[name] = framed(column, m.window, keys)
+        return name
+
+    finals = {}
     for m in measures:
-        g = number[m.kinds, m.man200, None if m.value == "deltanow" else m.value]
-        p = in_window(day, t, m.window)
-        n = F.coalesce(F.sum(F.when(p, F.col(f"n{g}"))), F.lit(0))
+        n = f"coalesce({part('n', m)}, 0)"
         if m.aggregate == "count":
-            out = n
-        elif m.value == "deltanow":
-            x = F.when(p & (F.col(f"n{g}") > 0), (day - t).cast("double"))
-            out = F.when(n == 0, F.lit(0.0)).otherwise({"min": F.min(x), "max": F.max(x), "mean": F.sum(x * F.col(f"n{g}")) / n}[m.aggregate])
+            finals[names[m.name]] = n
+            continue
+        whole = {"min": "{l}", "max": "{h}", "mean": "{s} / {n}"}[m.aggregate].format(n=n, **{x: part(x, m) for x in "lhs"})
+        if m.value == "deltanow":
+            finals[names[m.name]] = f"CASE WHEN {n} = 0 THEN 0D ELSE {whole} - t END"
         else:
-            lacking = F.sum(F.when(p, F.col(f"z{g}")))
-            whole = {"min": F.min(F.when(p, F.col(f"l{g}"))), "max": F.max(F.when(p, F.col(f"h{g}"))), "mean": F.sum(F.when(p, F.col(f"s{g}"))) / n}[m.aggregate]
-            out = F.when(n == 0, F.lit(0.0)).when(lacking == 0, whole)
-        aggregates.append(out.alias(names[m.name]))
-    return near.groupBy(*keys, "t").agg(*aggregates)
+            finals[names[m.name]] = f"CASE WHEN {n} = 0 THEN 0D WHEN {part('z', m)} = 0 THEN {whole} END"
+    return days.select(*keys, "t", *exprs(needed)).where("known").select(*keys, "t", *exprs(finals))
 
 
 def distinct_counts(events: DataFrame, snapshots: DataFrame, keys: tuple[str, ...], measures: list[Measure], names: dict[str, str]) -> DataFrame:
-    """(keys, t, one column a measure): how many values occur often enough in the window."""
-    steps = []
-    for attribute in sorted({DISTINCTS[m.distinct][0] for m in measures}):
-        own = [m for m in measures if DISTINCTS[m.distinct][0] == attribute]
-        value = F.coalesce(F.col(attribute).cast("string"), F.lit(NO_VALUE)).alias("value")
-        rows = events.dropna(subset=list(keys)).where(F.col("event_type").isin(*{k for m in own for k in m.kinds}))
-        counts = rows.groupBy(*keys, value, "event_type", "t").agg(F.count(F.lit(1)).alias("n"))
-        each = []
-        for m in own:
+    """snapshots with one more column a measure: how many values occur often enough in the window.
+
+    Of a value's events in order, each `least` neighbours are in the window of a range of snapshots; ranges begin and
+    end in the same order, so what each adds to those before it is a range too: a step up and a step down.
+    """
+    streams: dict[tuple, list[Measure]] = {}
+    for m in measures:
+        streams.setdefault((*DISTINCTS[m.distinct], m.kinds), []).append(m)
+    most = max(least for _, least, _ in streams)
+    own = ", ".join(f"CASE WHEN {one_of(kinds)} THEN struct({i} AS stream, {least} AS least, coalesce(CAST({a} AS STRING), '{NO_VALUE}') AS value) END" for i, (a, least, kinds) in enumerate(streams))
+    rows = events.dropna(subset=list(keys)).select(*keys, "t", F.expr(f"explode(array_compact(array({own}))) AS s"))
+    counts = rows.groupBy(*keys, "s.stream", "s.least", "s.value", "t").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select(*keys, "stream", "least", "value", "t", F.expr("explode(sequence(1, CAST(least(n, least) AS INT))) AS again"))
+    over = f"OVER (PARTITION BY {', '.join(keys)}, stream, value ORDER BY t, again)"
+    far = " ".join(f"WHEN {k} THEN lead(t, {k - 1}) {over}" for k in range(2, most + 1))
+    ranged = rows.select(*keys, "stream", "t", *exprs({"far": f"CASE least {far} ELSE t END" if far else "t", "was": f"lag(t) {over}"})).where("far IS NOT NULL")
+
+    def begin(day: str, last: int) -> str:
+        return f"CASE WHEN {day} = 0 THEN 0 ELSE greatest({day} - ({last}), 0) END"
+
+    def end(day: str, first: int) -> str:
+        return f"CASE WHEN {day} = {LAST_DAY} THEN {LAST_DAY} ELSE least({day} - ({first}), {LAST_DAY}) END"
+
+    each = []
+    for i, of in enumerate(streams.values()):
+        for m in of:
             first, last = WINDOWS[m.window]
-            begin = F.when(F.col("t") == 0, F.lit(0)).otherwise(F.greatest(F.col("t") - last, F.lit(0)))
-            end = F.when(F.col("t") == LAST_DAY, F.lit(LAST_DAY)).otherwise(F.least(F.col("t") - first, F.lit(LAST_DAY)))
-            each.append(F.when(F.col("event_type").isin(*m.kinds) & (begin <= end), F.struct(F.lit(names[m.name]).alias("measure"), F.lit(DISTINCTS[m.distinct][1]).alias("least"), begin.alias("begin"), (end + 1).alias("over"))))
-        spans = counts.select(*keys, "value", "n", F.explode(F.array_compact(F.array(*each))).alias("s"))
-        ends = spans.select(*keys, "value", "s.measure", "s.least", F.explode(F.array(F.struct(F.col("s.begin").alias("at"), F.col("n").alias("step")), F.struct(F.col("s.over").alias("at"), (-F.col("n")).alias("step")))).alias("e"))
-        steps.append(ends.groupBy(*keys, "measure", "least", "value", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step")))
-    both = reduce(DataFrame.unionByName, steps)
-    # a value counts while its running number of rows is large enough: a step where that changes
-    per_value = Window.partitionBy(*keys, "measure", "value").orderBy("at")
-    counted = both.withColumn("now", (F.sum("step").over(per_value) >= F.col("least")).cast("int"))
-    changes = counted.withColumn("step", F.col("now") - F.coalesce(F.lag("now").over(per_value), F.lit(0))).where("step != 0")
-    sums = changes.groupBy(*keys, "at").pivot("measure", [names[m.name] for m in measures]).agg(F.sum("step"))
+            at = f"greatest({begin('far', last)}, CASE WHEN was IS NULL THEN 0 ELSE {end('was', first)} + 1 END)"
+            each.append(f"CASE WHEN stream = {i} AND {at} <= {end('t', first)} THEN array(struct('{names[m.name]}' AS measure, {at} AS at, 1 AS step), struct('{names[m.name]}' AS measure, {end('t', first)} + 1 AS at, -1 AS step)) END")
+    steps = ranged.select(*keys, F.expr(f"inline(flatten(array_compact(array({', '.join(each)}))))"))
     columns = [names[m.name] for m in measures]
-    days = sums.withColumnRenamed("at", "t").withColumn("asked", F.lit(False)).unionByName(snapshots.withColumn("asked", F.lit(True)), allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    return days.withColumns({c: F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in columns}).where("asked").drop("asked")
+    sums = steps.groupBy(*keys, F.col("at").alias("t")).agg(*exprs({c: f"sum(CASE WHEN measure = '{c}' THEN step END)" for c in columns}))
+    days = sums.withColumn("asked", F.lit(False)).unionByName(snapshots.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    upto = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY t, asked ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return days.select(*snapshots.columns, "asked", *exprs({c: f"coalesce(sum({c}) {upto}, 0)" for c in columns})).where("asked").drop("asked")
 
 
 def evaluate(events: DataFrame, keys: tuple[str, ...], wanted: Features, plain: bool = False) -> DataFrame:
@@ -121,16 +153,16 @@ def evaluate(events: DataFrame, keys: tuple[str, ...], wanted: Features, plain:
     plain: column names with letters, digits and _ only, instead of the features' own.
     """
     names = {m.name: f"m{i}" for i, m in enumerate(wanted.measures)}
-    snapshots = spine(events, keys)
     counted = [m for m in wanted.measures if m.distinct]
-    rest = [m for m in wanted.measures if not m.distinct]
-    out = measured(events, snapshots, keys, rest, names) if rest else snapshots
+    out = measured(events, keys, [m for m in wanted.measures if not m.distinct], names)
     if counted:
-        out = out.join(distinct_counts(events, snapshots, keys, counted, names), [*keys, "t"])
-    label = (lambda n: plain_name(n)) if plain else (lambda n: n)
-    value = {m.name: F.col(names[m.name]) for m in wanted.measures}
-    combined = [(guarded_ratio(value[c.left], value[c.right]) if c.operator == "/" else value[c.left] - value[c.right]).alias(label(c.name)) for c in wanted.combinations]
-    return out.select(*keys, F.col("t").alias("date"), *(value[m.name].alias(label(m.name)) for m in wanted.measures), *combined)
+        out = distinct_counts(events, out, keys, counted, names)
+    label = plain_name if plain else str
+    finals = {label(m.name): names[m.name] for m in wanted.measures}
+    for c in wanted.combinations:
+        x, y = names[c.left], names[c.right]
+        finals[label(c.name)] = f"CASE WHEN {y} = 0 THEN 0D ELSE {x} / {y} END" if c.operator == "/" else f"{x} - {y}"
+    return out.select(*keys, F.col("t").alias("date"), *exprs(finals))
 
 
 def plain_name(name: str) -> str:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -50,6 +53,31 @@ def write_json(value, path: str) -> None:
         json.dump(value, f, ensure_ascii=False, indent=1)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one stands in only where all of them are one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+_STORED: dict = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a folder's tables: written once a session to the shared folder, and read from there after."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        df, path = build(), f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        _STORED[key] = path, df.schema
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def as_views(**frames: DataFrame) -> None:
     """Make frames visible to SQL under their names."""
     for name, df in frames.items():
