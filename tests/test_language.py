@@ -114,3 +114,10 @@ def test_event_fan_out_and_label(spark):
         (kind("buy_with_coupon"), "c", d(2016, 3, 16), d(2016, 3, 1), False), (kind("receive_coupon"), "d", d(2016, 3, 1), None, False),
     }
     assert shaping.labelled(rows).where(F.col("label").isNull()).count() == 0
+
+
+def test_label_is_of_offline_receipts_alone(spark):
+    day = dt.date(2016, 3, 1)
+    rows = [("offline_receive_coupon", day, day + dt.timedelta(15)), ("offline_receive_coupon", day, day + dt.timedelta(16)), ("offline_receive_coupon", day, None), ("online_receive_coupon", day, day), ("offline_buy_with_coupon", day, day)]
+    got = spark.createDataFrame(rows, "event_type string, date date, date2 date").select(shaping.event_label().alias("label")).collect()
+    assert [r.label for r in got] == [True, False, False, False, False]
