@@ -283,6 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "day_ordinal": f"WITH {CALENDAR} SELECT day, CAST(dayofyear(day) - 1 AS INT) AS t, day AS back FROM calendar",
         "date_parts": f"WITH {CALENDAR} SELECT day, CAST(isodow(day) - 1 AS INT) AS date_dayofweek, CAST(day(day) AS INT) AS date_dayofmonth FROM calendar",
         "date_format": f"WITH {CALENDAR} SELECT day, strftime(day, '%Y%m%d') AS text, day AS back FROM calendar",
+        "hash_partition": sql("SELECT CAST(CAST(concat('0x', substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 8 AS BIGINT) AS bucket, count(*) AS n FROM offline GROUP BY ALL"),
         "topk_merchant": sql("SELECT merchant_id, count(*) AS n FROM offline GROUP BY ALL ORDER BY n DESC, merchant_id LIMIT 10"),
         "row_number": sql("SELECT order_id, line, CAST(row_number() OVER (PARTITION BY order_id ORDER BY line) AS INT) AS row FROM kept"),
         "union_all": sql("SELECT user_id, count(*) AS n FROM (SELECT user_id FROM offline UNION ALL SELECT user_id FROM online_coupon) GROUP BY ALL"),
