@@ -58,6 +58,7 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.rejoined = 0  # bytes of the windows that joined() encoded
         self.pair_ok = Memo(lambda pair: self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == list(pair))
         self.piece = Memo(lambda piece: pack(self.encode_piece(piece.encode())))
         self.chunk = Memo(lambda chunk: b"".join(map(self.piece.__getitem__, self.pattern.findall(chunk))))
@@ -91,7 +92,9 @@ class ByteBpe:
         k = 1
         while True:
             window = left[-k:] + right[:k]
-            again = self.merged(b"".join(map(self.bytes_of.__getitem__, window)))
+            data = b"".join(map(self.bytes_of.__getitem__, window))
+            again = self.merged(data)
+            self.rejoined += len(data)
             before, after = left[-k - 1 : -k] if k < len(left) else [], right[k : k + 1]
             if (not before or self.pair_ok[before[0], again[0]]) and (not after or self.pair_ok[again[-1], after[0]]):
                 return left[:-k] + again + right[k:]

@@ -50,16 +50,43 @@ def test_encode_and_decode_tables(documents, odd_documents, no_documents, base_t
     assert byte_bpe.bpe_encode(no_documents).count() == 0
 
 
-def test_counts_follow_edits():
-    rng = random.Random(2)
-    for _ in range(150):
-        text = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 300)))
+def height_bound(own):
+    """A tree whose neighbours differ in height by one at most is this high at most."""
+    if isinstance(own, token_counts.Leaf) or own is None:
+        return
+    assert abs(own.left.height - own.right.height) <= 1 and own.height == 1 + max(own.left.height, own.right.height)
+    height_bound(own.left)
+    height_bound(own.right)
+
+
+@pytest.mark.parametrize("long", [6, 30, 256])
+def test_counts_follow_edits(monkeypatch, long):
+    monkeypatch.setattr(token_counts, "LONG", long)
+    rng = random.Random(long)
+    for n in range(150):
+        pieces = [PIECES, ["日", "本", "字", "é", "a", "th", "in"], ["1", "2", "a", " "], [" ", "\n", "a"]][n % 4]
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 400)))
         own = token_counts.CountedText(text, BPE)
-        for _ in range(5):
-            e = (rng.randint(0, len(text) + 2), rng.randint(0, 20), "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 5))))
+        for _ in range(8):
+            e = (rng.randint(0, len(text) + 2), rng.choice([0, 1, 5, 20, 120]), "".join(rng.choice(PIECES if rng.random() < 0.5 else pieces) for _ in range(rng.choice([0, 1, 5, 60]))))
             own.edit(*e)
             text = token_counts.edited(text, [e])
-            assert own.text == text and own.n_tokens == len(REFERENCE.encode_ordinary(text))
+            assert own.text == text and own.n_chars == len(text) and own.n_tokens == len(REFERENCE.encode_ordinary(text))
+            height_bound(own.root)
+            for leaf in token_counts.leaves_of(own.root):
+                assert leaf.ids is None or leaf.ids == REFERENCE.encode_ordinary(leaf.text)
+
+
+@pytest.mark.parametrize("letters", ["天地玄黄宇宙洪荒日月盈昃辰宿列张", "abcdefgh", "天地玄黄，宇宙洪荒。", "ab cd efg "])
+def test_an_edit_encodes_a_few_hundred_bytes(letters):
+    rng = random.Random(5)
+    text = "".join(rng.choice(letters) for _ in range(60_000))
+    own = token_counts.CountedText(text, BPE)
+    for e in [(20_000, 1, "黄"), (30_000, 0, "b"), (40_000, 3, ""), (50, 1, ""), (59_990, 2, "a")]:
+        own.encoded_bytes = 0
+        own.edit(*e)
+        text = token_counts.edited(text, [e])
+        assert own.n_tokens == len(REFERENCE.encode_ordinary(text)) and own.encoded_bytes < 1000
 
 
 def test_count_edits_table(documents, odd_documents, no_documents, base_texts):
