@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -14,29 +15,86 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash_bucket
+from ..sources.files import write_headless_csv
 from .reports import auc, mean_group_auc
+from .shaping import filled_by_type
 
 #: Weight of a positive row in training.
 POSITIVE_WEIGHT = 4.0
 SEED = 17
 
 
+#: What tells a row to learn from apart, and is never an input.
+IDS = ("user_id", "merchant_id", "coupon_id", "date", "discount_name", "label")
+
+
 def hold_out(df: DataFrame, share: float = 0.05, *keys: str) -> tuple[DataFrame, DataFrame]:
     """Rows to learn from and to validate on, by a hash of keys (all columns if none), the same in every run."""
-    mark = F.pmod(F.xxhash64(*(keys or df.columns)), F.lit(10_000)) < int(share * 10_000)
+    mark = hash_bucket(10_000, *(keys or df.columns)) < int(share * 10_000)
     return df.where(~mark), df.where(mark)
 
 
-def train_trees(df: DataFrame, inputs: list[str], label: str = "label", rounds: int = 20, depth: int = 5, rate: float = 0.1, feature_share: str = "0.2") -> PipelineModel:
-    """Gradient-boosted trees with weighted positives; missing inputs are 0."""
-    ready = df.na.fill(0, inputs).withColumns({"target": F.col(label).cast("double"), "weight": F.when(F.col(label).cast("boolean"), POSITIVE_WEIGHT).otherwise(1.0)})
-    trees = GBTClassifier(labelCol="target", weightCol="weight", featuresCol="inputs", maxIter=rounds, maxDepth=depth, stepSize=rate, featureSubsetStrategy=feature_share, seed=SEED)
+@dataclass(frozen=True)
+class Dataset:
+    """Rows to learn from, to validate on and to foretell, with their ids and inputs; test rows may lack a label."""
+
+    train: DataFrame
+    validate: DataFrame
+    test: DataFrame
+    inputs: list[str]
+
+
+def dataset(known: DataFrame, test: DataFrame, inputs: list[str] | None = None, share: float = 0.05) -> Dataset:
+    """Known receipts dealt by user, coupon and day, and the columns of inputs (all that aren't ids if None)."""
+    inputs = [c for c in known.columns if c not in IDS] if inputs is None else list(inputs)
+    wanted = lambda df: df.select(*(c for c in df.columns if c in IDS and c not in inputs), *inputs)
+    train, validate = hold_out(wanted(known), share, "user_id", "coupon_id", "date")
+    return Dataset(train, validate, wanted(test), inputs)
+
+
+def filled_inputs(df: DataFrame, inputs: list[str]) -> DataFrame:
+    return filled_by_type(df, tuple(c for c in df.columns if c not in inputs))
+
+
+def train_trees(df: DataFrame, inputs: list[str], label: str = "label", rounds: int = 20, depth: int = 5, rate: float = 0.1, feature_share: str = "0.2", validate: DataFrame | None = None, tolerance: float = 0.01) -> PipelineModel:
+    """Gradient-boosted trees with weighted positives; missing inputs are 0.
+
+    With rows to validate on, no round follows that lowers the loss on these by less than the tolerance.
+    """
+    rows = df.withColumn("validating", F.lit(False))
+    if validate is not None:
+        rows = rows.unionByName(validate.withColumn("validating", F.lit(True)))
+    ready = filled_inputs(rows, inputs).withColumns({"target": F.col(label).cast("double"), "weight": F.when(F.col(label).cast("boolean"), POSITIVE_WEIGHT).otherwise(1.0)})
+    trees = GBTClassifier(labelCol="target", weightCol="weight", featuresCol="inputs", maxIter=rounds, maxDepth=depth, stepSize=rate, featureSubsetStrategy=feature_share, seed=SEED, validationTol=tolerance)
+    if validate is not None:
+        trees.setValidationIndicatorCol("validating")
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="inputs", handleInvalid="keep"), trees]).fit(ready)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def predict(model: PipelineModel, df: DataFrame, inputs: list[str]) -> DataFrame:
     """df with prob, the probability of the label."""
-    return model.transform(df.na.fill(0, inputs)).withColumn("prob", vector_to_array("probability")[1]).drop("inputs", "rawPrediction", "probability", "prediction")
+    return model.transform(filled_inputs(df, inputs)).withColumn("prob", vector_to_array("probability")[1]).drop("inputs", "rawPrediction", "probability", "prediction")
+
+
+def submission(scored: DataFrame) -> DataFrame:
+    """(user_id, coupon_id, date as yyyyMMdd[, label], prob)."""
+    label = ["label"] if "label" in scored.columns else []
+    return scored.select("user_id", "coupon_id", F.date_format("date", "yyyyMMdd").alias("date"), *label, "prob")
+
+
+def save_and_score(scored: DataFrame, path: str) -> DataFrame | None:
+    """Writes the submission without a head line; its scores, or None where the label isn't known."""
+    write_headless_csv(submission(scored), path)
+    return scores(scored) if "label" in scored.columns else None
 
 
 def scores(df: DataFrame, label: str = "label", score: str = "prob", group: str = "coupon_id") -> DataFrame:

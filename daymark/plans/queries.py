@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ..functions import scalars
 from ..operators import learning, reports, shaping, stats
 from ..operators.partitions import by_key
 from ..schema import EVENTS, Split
-from ..sources.files import as_views, read_table, stored
+from ..sources.files import as_views, read_table, shared_folder, stored
 from ..sources.orders import order_lines
 from . import classic, merging
 from .definitions import KEYS, features
@@ -102,6 +104,40 @@ def merged_rows(spark, folder) -> DataFrame:
     return merging.merged(shaping.rows_of_split(ready, SPLIT.train, True), shaping.discount_table(ready), by, separator="_")
 
 
+def dataset_of(spark, folder) -> learning.Dataset:
+    """Receipts of the training and the test range with the recent features of their five entities, each written once."""
+    log = Log(spark, folder).prepared
+    ready = stored(spark, folder, "past", lambda: prepared_split(log))
+
+    def rows(bounds: tuple[str, str]) -> DataFrame:
+        by = {e: entity_features(ready, e, plain=True, only=[n for n in features(e).names if n.startswith("recent")] or None) for e in merging.ORDER}
+        joined = merging.merged(shaping.rows_of_split(ready, bounds, True), shaping.discount_table(ready), by, separator="_")
+        return joined.withColumn("date", scalars.date_of_day(F.col("date"), "1996-01-01"))
+
+    known, test = (stored(spark, folder, f"rows_{n}", lambda b=b: rows(b)) for n, b in (("train", SPLIT.train), ("test", SPLIT.test)))
+    return learning.dataset(known, test, share=0.2)
+
+
+def held_out(spark, folder):
+    data = dataset_of(spark, folder)
+    ids = ("user_id", "merchant_id", "coupon_id", "date", "label")
+    return reduce(DataFrame.unionByName, (df.select(F.lit(n).alias("part"), *ids) for n, df in (("train", data.train), ("validate", data.validate), ("test", data.test))))
+
+
+def submit(spark, folder):
+    """Trains with early stopping, saves the model, and foretells the test rows with the loaded model."""
+    data, path = dataset_of(spark, folder), f"{shared_folder(spark)}/model-{uuid.uuid4().hex[:12]}"
+    learning.save_model(learning.train_trees(data.train, data.inputs, rounds=5, depth=4, validate=data.validate), path)
+    return learning.submission(learning.predict(learning.load_model(path), data.test, data.inputs))
+
+
+def submit_checks(spark, folder):
+    """(n, n_bad, better_than_chance) of a submission: rows, probabilities out of range, and an AUC over 0.5."""
+    out = submit(spark, folder)
+    ranges = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob").isNull() | ~F.col("prob").between(0, 1)).alias("n_bad"))
+    return ranges.crossJoin(reports.auc(out, "label", "prob").select((F.col("auc") > 0.5).alias("better_than_chance")))
+
+
 def prepared_split(log: DataFrame) -> DataFrame:
     """The split's events, whose test receipts no longer tell the day of use."""
     return shaping.split_events(log, SPLIT).withColumn("timedelta", F.when(F.col("date2").isNotNull(), F.col("timedelta")))
@@ -296,6 +332,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_slices": q(lambda g: scored_rows(g).where((F.col("prob") > 0.8) & ~F.col("label")).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("n"))),
     "feature_selection_sigma": q(lambda g: learning.by_deviation(reports.counts_of(g.offline, "merchant_id"), "n")),
     "gbt_score": gbt_score,
+    "held_out": held_out,
+    "submit": submit,
+    "submit_checks": submit_checks,
     "pca2": pca2,
     "scaled_pca": scaled_pca,
     "lda1": lda1,
