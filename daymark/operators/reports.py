@@ -95,13 +95,23 @@ def rolling_sums(df: DataFrame, order: str, value: str, width: int = 3, key: str
 
 
 def top_merchants_by_share(df: DataFrame, key: str = "merchant_id", share: float = 0.8, step: int = 5) -> DataFrame:
-    """The keys of the smallest multiple of `step` largest groups that hold more than `share` of the rows."""
+    """The keys of the smallest multiple of `step` largest groups that hold more than `share` of the rows, ties by key.
+
+    Groups are counted by size, and running sums over the sizes (distinct ones, so few rows) give the place at which the
+    share is passed and the size of the last group taken; only groups of that size are ranked, which one task does.
+    """
     counts = counts_of(df, key)
-    w = Window.orderBy(F.desc("n"), key)
-    running = counts.withColumns({"place": F.row_number().over(w), "upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    total = running.agg(F.max("upto").alias("total"))
-    needed = running.crossJoin(F.broadcast(total)).where(F.col("upto") > F.col("total") * share).agg((F.ceil(F.min("place") / step) * step).alias("most"))
-    return running.crossJoin(F.broadcast(needed)).where(F.col("place") <= F.coalesce("most", "place")).select(key, "n")
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    running = sizes.withColumns({"before": F.coalesce(F.sum("m").over(before), F.lit(0)), "rows": F.coalesce(F.sum(F.col("n") * F.col("m")).over(before), F.lit(0))})
+    limit = sizes.agg((F.sum(F.col("n") * F.col("m")) * F.lit(share)).alias("limit"))
+    passing = running.crossJoin(F.broadcast(limit)).where(F.col("rows") + F.col("n") * F.col("m") > F.col("limit"))
+    place = F.col("before") + F.floor(F.greatest((F.col("limit") - F.col("rows")) / F.col("n"), F.lit(0))) + 1
+    most = passing.agg((F.ceil(F.min(place) / step) * step).alias("most"))
+    left = running.crossJoin(F.broadcast(most)).select("n", "m", (F.coalesce("most", F.lit(2**62)) - F.col("before")).alias("left")).where("left > 0")
+    own = counts.join(left, "n")
+    part = own.where("left < m").withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(key))).where("r <= left")
+    return own.where("left >= m").select(key, "n").unionByName(part.select(key, "n"))
 
 
 def split_by_keys(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

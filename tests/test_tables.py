@@ -67,6 +67,18 @@ def test_auc_with_ties_and_single_classes(spark):
     assert math.isclose(reports.auc(rows, "label", "p").first().auc, sum(pairs) / len(pairs))
 
 
+def test_largest_groups_by_share(spark):
+    sizes = {"a": 9, "b": 7, "c": 3, "d": 3, "e": 3, "f": 3, "g": 1, "h": 1}
+    rows = spark.createDataFrame([(k,) for k, n in sizes.items() for _ in range(n)] + [(None,)], "merchant_id string")
+    ranked = sorted(sizes, key=lambda k: (-sizes[k], k))
+    for share in (0.0, 0.2, 0.3, 0.5, 0.55, 0.8, 0.95, 1.0):
+        for step in (1, 2, 5):
+            places = [i + 1 for i in range(8) if sum(sizes[k] for k in ranked[: i + 1]) > 30 * share]
+            most = -(-places[0] // step) * step if places else 8
+            assert {r.merchant_id for r in reports.top_merchants_by_share(rows, share=share, step=step).collect()} == set(ranked[:most]), (share, step)
+    assert reports.top_merchants_by_share(rows.limit(0)).count() == 0
+
+
 def test_learning_helpers(spark):
     assert len(learning.parameter_grid(a=[1, 2], b=[1, 2, 3])) == 6
     assert sorted(sum(learning.clusters(list("abcdefgh"), 3), [])) == list("abcdefgh")
@@ -137,7 +149,7 @@ def test_parts_and_stream(spark, tmp_path):
     assert {(r.day, r.n) for r in spark.table("daily").collect()} == {(dt.date(2016, 1, 1), 2), (dt.date(2016, 1, 9), 1)}
 
 
-@pytest.mark.parametrize("name", ["recent_conversion", "events_union", "discount_stats", "top20_active", "feat_user_coupon", "auc_global", "id_coverage", "hash_partition", "held_out"])
+@pytest.mark.parametrize("name", ["recent_conversion", "events_union", "discount_stats", "top20_active", "feat_user_coupon", "auc_global", "id_coverage", "hash_partition", "held_out", "big_merchant_split"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
