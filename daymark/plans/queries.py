@@ -222,7 +222,8 @@ def receive_days(spark, folder):
 
 
 def receive_days_by_function(spark, folder):
-    rows = Log(spark, folder).events.where("event_type = 'offline_receive_coupon'").select("merchant_id", "date")
+    # one row a merchant and day, so that a hot merchant's group is bounded by the calendar
+    rows = Log(spark, folder).events.where("event_type = 'offline_receive_coupon'").select("merchant_id", "date").distinct()
     return by_key(rows, "merchant_id", lambda pdf: pdf.drop_duplicates(), "merchant_id long, date date")
 
 
