@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules with QUERIES, and ORACLES where SQL can express one.
-MODULES = ("byte_bpe", "token_files", "warc", "quality", "toxicity", "fingerprints", "substrings", "near_duplicates", "token_counts", "decontaminate", "prefix_tries", "lexical_search")
+MODULES = ("byte_bpe", "token_files", "warc", "quality", "toxicity", "fingerprints", "substrings", "near_duplicates", "token_counts", "decontaminate", "prefix_tries", "lexical_search", "secret_scans")
 
 
 def _gathered(name: str) -> dict:
