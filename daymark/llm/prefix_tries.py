@@ -45,12 +45,13 @@ def ordered(conversations: DataFrame) -> DataFrame:
     """(conv_id, part, row, content, chars) of every turn: one sort of the whole table by conversation and turn, in which
     part and row say where a turn stands. A conversation of any length spreads over parts."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    content = F.unhex(F.substring(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256), 1, 32))
-    own = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), content.alias("content"), F.length(text).cast("long").alias("chars"), F.monotonically_increasing_id().alias("any"))
-    by = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("content"), F.col("any")]
+    hashed = F.unhex(F.sha2(text.cast("binary"), 256))
+    own = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), hashed.alias("hashed"), F.length(text).cast("long").alias("chars"), F.monotonically_increasing_id().alias("any"))
+    by = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("hashed"), F.col("any")]
     # `any` only deals out turns that are the same in everything
     place = F.monotonically_increasing_id()
-    return own.repartitionByRange(*by).sortWithinPartitions(*by).select("conv_id", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("row"), "content", "chars")
+    content = F.unhex(F.md5(F.concat(F.col("hashed"), F.col("role").cast("binary"))))
+    return own.repartitionByRange(*by).sortWithinPartitions(*by).select("conv_id", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("row"), content.alias("content"), "chars")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
