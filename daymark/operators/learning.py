@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_bucket
@@ -123,17 +123,6 @@ def clusters(columns: list[str], n: int = 6, seed: int = SEED) -> list[list[str]
     return [own[i::n] for i in range(n)]
 
 
-def leave_one_out(columns: list[str], evaluate) -> dict[str, float]:
-    """What each column adds: the score of all less the score without it."""
-    whole = evaluate(columns)
-    return {c: whole - evaluate([x for x in columns if x != c]) for c in columns}
-
-
-def add_one(base: list[str], others: list[str], evaluate) -> dict[str, float]:
-    start = evaluate(base)
-    return {c: evaluate([*base, c]) - start for c in others}
-
-
 def by_deviation(df: DataFrame, column: str, sigma: float = 1.0) -> DataFrame:
     """df with level: high, low or middle, by mean and standard deviation of a score column."""
     ends = df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("deviation"))
@@ -142,33 +131,82 @@ def by_deviation(df: DataFrame, column: str, sigma: float = 1.0) -> DataFrame:
     return own.withColumn("level", F.when(F.col(column) > high, "high").when(F.col(column) < low, "low").otherwise("middle")).drop("mean", "deviation")
 
 
-def components(df: DataFrame, inputs: list[str], k: int = 2, whiten: bool = False, scale: bool = False) -> DataFrame:
-    """df with pc_0 to pc_{k-1}: principal components, of scaled inputs or not, each divided by its deviation or not."""
-    stages = [VectorAssembler(inputCols=inputs, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="ready", withMean=True, withStd=scale), PCA(inputCol="ready", outputCol="pc", k=k)]
-    out = Pipeline(stages=stages).fit(df).transform(df).withColumn("pc", vector_to_array("pc"))
-    out = out.withColumns({f"pc_{i}": F.col("pc")[i] for i in range(k)}).drop("raw", "ready", "pc")
-    if whiten:
-        ends = out.agg(*(F.stddev_samp(f"pc_{i}").alias(f"d{i}") for i in range(k)))
-        out = out.crossJoin(F.broadcast(ends)).withColumns({f"pc_{i}": F.col(f"pc_{i}") / F.col(f"d{i}") for i in range(k)}).drop(*(f"d{i}" for i in range(k)))
-    return out
+@dataclass(frozen=True)
+class Moments:
+    """How many rows, the means of inputs, and the sums of products of their deviations from these."""
 
+    n: int
+    mean: np.ndarray
+    scatter: np.ndarray
 
-def discriminant(df: DataFrame, inputs: list[str], label: str) -> tuple[np.ndarray, DataFrame]:
-    """The direction that separates two classes best, and df with its projection ld.
 
-    Spark sums products and means by class; the driver solves a system as large as the number of inputs.
+def moments(df: DataFrame, inputs: list[str], by: str | None = None) -> dict:
+    """Moments of each value of a column, of all rows under None if there is none; missing inputs are 0.
+
+    A task adds up the products of its rows as matrices, and Spark adds up the tasks' matrices cell by cell, so the
+    plan has no expression a pair of inputs. The driver gets one number a pair and value.
     """
-    ready = VectorAssembler(inputCols=inputs, outputCol="v", handleInvalid="keep").transform(df.na.fill(0, inputs))
-    by = {bool(r[label]): r for r in ready.groupBy(label).agg(Summarizer.mean(F.col("v")).alias("mean"), F.count(F.lit(1)).alias("n")).collect()}
     k = len(inputs)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = df.na.fill(0, inputs).groupBy(label).agg(*(F.covar_samp(F.col(inputs[i]).cast("double"), F.col(inputs[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs)).collect()
-    within = np.zeros((k, k))
-    for r in sums:
-        for i, j in pairs:
-            within[i, j] += (r[f"c{i}_{j}"] or 0.0) * (by[bool(r[label])].n - 1)
-            within[j, i] = within[i, j]
-    gap = by[True]["mean"].toArray() - by[False]["mean"].toArray()
-    w = np.linalg.solve(within / max(sum(r.n for r in by.values()) - 2, 1) + 1e-9 * np.eye(k), gap)
+    value = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+    near = [float(x or 0.0) for x in df.agg(*(F.avg(value(c)) for c in inputs)).first()]
+    own = df.select(F.col(by).cast("string").alias("g") if by else F.lit(None).cast("string").alias("g"), *(value(c).alias(f"x{i}") for i, c in enumerate(inputs)))
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            x = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)]) - near
+            groups = np.array(b.column(0).fill_null("").to_pylist())
+            for g in set(groups.tolist()):
+                at = x[groups == g]
+                n, s, p = sums.get(g, (0, np.zeros(k), np.zeros((k, k))))
+                sums[g] = n + len(at), s + at.sum(axis=0), p + at.T @ at
+        # a row for each input: its sum, then its products; n with the first
+        for g, (n, s, p) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * k), pa.array(range(k), pa.int32()), pa.array([[float(n), s[i], *p[i]] for i in range(k)])], names=["g", "i", "v"])
+
+    cells = own.mapInArrow(run, "g string, i int, v array<double>").select("g", "i", F.posexplode("v").alias("j", "v")).groupBy("g", "i", "j").agg(F.sum("v").alias("v"))
+    found: dict = {}
+    for r in cells.collect():
+        found.setdefault(r.g, np.zeros((k, k + 2)))[r.i, r.j] = r.v
+    out = {}
+    for g, m in found.items():
+        n, s = m[0, 0], m[:, 1]
+        out[g if by else None] = Moments(int(n), np.array(near) + s / n, m[:, 2:] - np.outer(s, s) / n)
+    return out
+
+
+def projected(inputs: list[str], weights: np.ndarray, start: float = 0.0) -> Column:
+    return sum((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) * F.lit(float(w)) for c, w in zip(inputs, weights, strict=True)), F.lit(float(start)))
+
+
+def components(df: DataFrame, inputs: list[str], k: int = 2, whiten: bool = False, scale: bool = False) -> DataFrame:
+    """df with pc_0 to pc_{k-1}: principal components, of scaled inputs or not, each divided by its deviation or not.
+
+    The largest weight of a component, by size, is positive; missing inputs are 0, and an input that doesn't vary
+    isn't scaled. One pass for the moments; the driver takes the eigenvectors of a matrix as large as the inputs.
+    """
+    all_ = moments(df, inputs).get(None)
+    if all_ is None:
+        return df.withColumns({f"pc_{i}": F.lit(None).cast("double") for i in range(k)})
+    spread = all_.scatter / max(all_.n - 1, 1)
+    unit = np.sqrt(np.where(np.diag(spread) > 0, np.diag(spread), 1.0)) if scale else np.ones(len(inputs))
+    values, vectors = np.linalg.eigh(spread / np.outer(unit, unit))
+    columns = {}
+    for i, at in enumerate(np.argsort(-values, kind="stable")[:k]):
+        w = vectors[:, at] * np.sign(vectors[np.argmax(np.abs(vectors[:, at])), at])
+        w = w / unit / (np.sqrt(values[at]) if whiten and values[at] > 0 else 1.0)
+        columns[f"pc_{i}"] = projected(inputs, w, -float(w @ all_.mean))
+    return df.withColumns(columns)
+
+
+def discriminant(df: DataFrame, inputs: list[str], label: str) -> tuple[np.ndarray, DataFrame]:
+    """The direction, of length 1, that separates two classes best, and df with its projection ld, larger for the true
+    class; ValueError if a class is missing. Missing inputs are 0."""
+    by = moments(df, inputs, label)
+    if "true" not in by or "false" not in by:
+        raise ValueError("both classes are needed")
+    within = by["true"].scatter + by["false"].scatter
+    n = by["true"].n + by["false"].n
+    w = np.linalg.solve(within / max(n - 2, 1) + 1e-12 * np.eye(len(inputs)), by["true"].mean - by["false"].mean)
     w /= np.linalg.norm(w) or 1.0
-    return w, df.na.fill(0, inputs).withColumn("ld", sum((F.col(c) * F.lit(float(x)) for c, x in zip(inputs, w, strict=True)), F.lit(0.0)))
+    return w, df.withColumn("ld", projected(inputs, w))

@@ -2,18 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import placed
+
+
+#: Bytes of a value, by type; texts and what is shown as text take their own.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def _parted(name: str, kind: str) -> dict[str, Column]:
+    """A value as whole number, real number or text, whichever keeps its order; the others are null."""
+    x = F.col(f"`{name}`")
+    whole = {"date": F.unix_date, "timestamp": F.unix_micros, "boolean": lambda c: c.cast("int")}
+    if kind in whole or kind in ("tinyint", "smallint", "int", "bigint"):
+        return {"whole": whole.get(kind, lambda c: c)(x).cast("long")}
+    if kind in ("float", "double"):
+        return {"real": x.cast("double")}
+    return {"text": x if kind == "string" else F.to_json(x) if kind[:3] in ("arr", "map", "str") else x.cast("string")}
+
+
+def _shown(kind: str) -> Column:
+    back = {"date": F.date_from_unix_date(F.col("whole").cast("int")), "timestamp": F.timestamp_micros("whole"), "boolean": F.col("whole").cast("boolean")}
+    if kind in back or kind in ("tinyint", "smallint", "int", "bigint"):
+        return back.get(kind, F.col("whole")).cast("string")
+    return F.col("real").cast(kind).cast("string") if kind in ("float", "double") else F.col("text")
+
 
 def profile(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, n_rows, n_distinct, n_null, min_value, max_value): one aggregation, then one row a column."""
-    parts = [a for i, c in enumerate(df.columns) for a in (F.count_distinct(c).alias(f"d{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"), F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}"))]
-    one = df.agg(F.count(F.lit(1)).alias("rows"), *parts)
-    each = [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type"), F.col("rows").alias("n_rows"), F.col(f"d{i}").alias("n_distinct"), F.col(f"z{i}").alias("n_null"), F.col(f"l{i}").alias("min_value"), F.col(f"h{i}").alias("max_value")) for i, (c, t) in enumerate(df.dtypes)]
-    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    """(column_name, data_type, n_rows, n_bytes, n_distinct, n_null, min_value, max_value, rarest, commonest) of each column.
+
+    All columns' values are counted by (column, value) at once, combined before the shuffle; what is told of a column
+    comes from these counts. Of several rarest or commonest values the least is given.
+    """
+    kinds = dict(enumerate(df.dtypes))
+    none = {"whole": F.lit(None).cast("long"), "real": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+    each = [F.struct(F.lit(i).alias("i"), *(v.alias(k) for k, v in {**none, **_parted(n, t)}.items())) for i, (n, t) in kinds.items()]
+    counts = df.select(F.explode(F.array(*each)).alias("x")).select("x.*").groupBy("i", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+    known = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))
+    shown, width = F.lit(None).cast("string"), F.lit(0).cast("long")
+    for i, (_, t) in kinds.items():
+        shown, width = F.when(F.col("i") == i, _shown(t)).otherwise(shown), F.when(F.col("i") == i, F.lit(WIDTHS[t]) if t in WIDTHS else F.octet_length("text")).otherwise(width)
+    order = F.struct("whole", "real", "text")
+    counts = counts.select("i", "n", known.alias("known"), shown.alias("shown"), F.coalesce(width, F.lit(0)).alias("width"), F.when(known, order).alias("order"))
+    by = lambda n: F.when(F.col("known"), F.struct(n, "order"))
+    out = counts.groupBy("i").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.when(F.col("known") | F.col("i").isin([i for i, (_, t) in kinds.items() if t in WIDTHS]), F.col("width")).otherwise(0)).alias("n_bytes"), F.count_if("known").alias("n_distinct"), F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).alias("n_null"),
+        F.min_by("shown", "order").alias("min_value"), F.max_by("shown", "order").alias("max_value"), F.min_by("shown", by(F.col("n"))).alias("rarest"), F.min_by("shown", by(-F.col("n"))).alias("commonest"),
+    )
+    names = df.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in kinds.items()], "i int, column_name string, data_type string")
+    zero = ("n_rows", "n_bytes", "n_distinct", "n_null")
+    return names.join(out, "i", "left").select("column_name", "data_type", *(F.coalesce(c, F.lit(0)).alias(c) for c in zero), "min_value", "max_value", "rarest", "commonest")
 
 
 def null_audit(df: DataFrame) -> DataFrame:
@@ -23,9 +66,23 @@ def null_audit(df: DataFrame) -> DataFrame:
 
 
 def schema_catalogue(df: DataFrame) -> DataFrame:
-    """(prefix, data_type, n): columns by the part of their name before the first _ and by type."""
-    rows = [(c.split("_", 1)[0], t) for c, t in df.dtypes]
-    return df.sparkSession.createDataFrame(rows, "prefix string, data_type string").groupBy("prefix", "data_type").agg(F.count(F.lit(1)).alias("n"))
+    """(prefix, data_type, n, n_values): columns by the part of their name before the first _ and by type, and their known values."""
+    one = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)))
+    rows = [F.struct(F.lit(c.split("_", 1)[0]).alias("prefix"), F.lit(t).alias("data_type"), F.col(f"n{i}").alias("n")) for i, (c, t) in enumerate(df.dtypes)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*").groupBy("prefix", "data_type").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("n_values"))
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """(place, column_name, value) of the rows of a key, all as text: rows turned into columns. Few rows are meant."""
+    own = df.where(F.col(key) == F.lit(value))
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns]
+    ranked = own.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*df.columns)))
+    return ranked.select("place", F.explode(F.array(*cells)).alias("x")).select("place", "x.*")
+
+
+def key_counts(df: DataFrame, key: str, value, by: str) -> DataFrame:
+    """(by, n): how often each value of a column occurs in the rows of a key."""
+    return counts_of(df.where(F.col(key) == F.lit(value)), by)
 
 
 def counts_of(df: DataFrame, column: str) -> DataFrame:
@@ -51,11 +108,37 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(predicted).alias("predicted")).agg(F.count_if(~F.col(label)).alias("label_false"), F.count_if(F.col(label)).alias("label_true"))
 
 
-def key_coverage(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """(column_name, n_total, n_missing): distinct values of b, and those of them that a lacks."""
+def hash_of(*columns: str, seed: int = 0) -> Column:
+    """MD5 of a seed and columns as text, which other engines have too."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
+
+
+def first_by(df: DataFrame, k: int, order: list[Column], keys: tuple[str, ...] = (), deal: int = 64) -> DataFrame:
+    """The first k rows of each key (of all rows, if none) by an order; a key's rows are dealt into parts that keep k each,
+    and Spark keeps k of a part in each task, so a key of any size passes."""
+    parts = df.withColumn("first_part", F.pmod(F.xxhash64(*df.columns), F.lit(deal)))
+    for by in ((*keys, "first_part"), keys):
+        parts = parts.withColumn("first_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("first_place") <= k).drop("first_place")
+    return parts.drop("first_part")
+
+
+def sample_by_key(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows of each key, or all where it has fewer: those whose hash with a seed is least, the same in every run."""
+    return first_by(df, k, [hash_of(*df.columns, seed=seed), *map(F.col, df.columns)], (key,))
+
+
+def key_coverage(a: DataFrame, b: DataFrame, column: str, k: int = 4) -> DataFrame:
+    """(column_name, n_own, n_total, n_missing, miss_ratio, missing): distinct values of a and of b, those of b that a
+    lacks, and k of the latter, least by hash, in that order, as text."""
     left, right = (x.select(column).dropna().distinct() for x in (a, b))
     marked = right.join(left.withColumn("known", F.lit(True)), column, "left")
-    return marked.agg(F.lit(column).alias("column_name"), F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("known").isNull()).alias("n_missing"))
+    counts = marked.agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("known").isNull()).alias("n_missing"))
+    own = left.agg(F.count(F.lit(1)).alias("n_own"))
+    shown = first_by(marked.where("known is null").select(column), k, [hash_of(column)])
+    listed = shown.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(hash_of(column).alias("h"), F.col(column).cast("string").alias("v")))), lambda x: x["v"]), ",").alias("missing"))
+    # one row each
+    out = own.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(listed))
+    return out.select(F.lit(column).alias("column_name"), "n_own", "n_total", "n_missing", F.try_divide("n_missing", "n_total").alias("miss_ratio"), "missing")
 
 
 def auc(df: DataFrame, label: str, score: str, group: str | None = None) -> DataFrame:
@@ -94,24 +177,24 @@ def rolling_sums(df: DataFrame, order: str, value: str, width: int = 3, key: str
     return df.withColumns({"rolling": F.sum(value).over(w), "neighbours": F.count(value).over(w)}).where(F.col("neighbours") == width).drop("neighbours")
 
 
+def rolling_apply(df: DataFrame, order: str, value: str, f: Callable[[Column], Column], width: int = 3, key: str | None = None) -> DataFrame:
+    """Rows with rolling: f of the array of `width` neighbours by order, the row's own value last; rows that have fewer
+    known ones go. f is made of array functions."""
+    w = Window.partitionBy(*([key] if key else [])).orderBy(order).rowsBetween(1 - width, 0)
+    return df.withColumn("neighbours", F.collect_list(value).over(w)).where(F.size("neighbours") == width).withColumn("rolling", f(F.col("neighbours"))).drop("neighbours")
+
+
 def top_merchants_by_share(df: DataFrame, key: str = "merchant_id", share: float = 0.8, step: int = 5) -> DataFrame:
     """The keys of the smallest multiple of `step` largest groups that hold more than `share` of the rows, ties by key.
 
-    Groups are counted by size, and running sums over the sizes (distinct ones, so few rows) give the place at which the
-    share is passed and the size of the last group taken; only groups of that size are ranked, which one task does.
+    Groups get their places and the rows up to them from ranges of the order, so no task sees all groups, nor all of
+    one size.
     """
-    counts = counts_of(df, key)
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-    before = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    running = sizes.withColumns({"before": F.coalesce(F.sum("m").over(before), F.lit(0)), "rows": F.coalesce(F.sum(F.col("n") * F.col("m")).over(before), F.lit(0))})
-    limit = sizes.agg((F.sum(F.col("n") * F.col("m")) * F.lit(share)).alias("limit"))
-    passing = running.crossJoin(F.broadcast(limit)).where(F.col("rows") + F.col("n") * F.col("m") > F.col("limit"))
-    place = F.col("before") + F.floor(F.greatest((F.col("limit") - F.col("rows")) / F.col("n"), F.lit(0))) + 1
-    most = passing.agg((F.ceil(F.min(place) / step) * step).alias("most"))
-    left = running.crossJoin(F.broadcast(most)).select("n", "m", (F.coalesce("most", F.lit(2**62)) - F.col("before")).alias("left")).where("left > 0")
-    own = counts.join(left, "n")
-    part = own.where("left < m").withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(key))).where("r <= left")
-    return own.where("left >= m").select(key, "n").unionByName(part.select(key, "n"))
+    own = placed(counts_of(df, key), [F.desc("n"), F.col(key)], ("n",))
+    limit = own.agg((F.sum("n") * F.lit(share)).alias("limit"))
+    most = own.crossJoin(F.broadcast(limit)).agg((F.ceil(F.min(F.when(F.col("upto_n") > F.col("limit"), F.col("place"))) / step) * step).alias("most"))
+    # one row each
+    return own.crossJoin(F.broadcast(most)).where(F.col("place") <= F.coalesce("most", F.lit(2**62))).select(key, "n")
 
 
 def split_by_keys(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compact_date, day_number, discount_struct, with_date_fields, with_discount_fields
-from ..schema import LABEL_DAYS, Split
+from ..schema import BUY, CLICK, LABEL_DAYS, RAW_OFFLINE, RAW_ONLINE, RAW_TEST, RECEIVE, Split
 
 
 def within(column: str, bounds: tuple[str, str]) -> Column:
@@ -40,11 +40,38 @@ def typed_test(raw: DataFrame) -> DataFrame:
 
 
 def split_clicks(raw: DataFrame, action: str = "Action") -> tuple[DataFrame, DataFrame]:
-    """Online rows that are clicks (action 0), and the others, missing actions among them."""
-    is_click = F.col(action).eqNullSafe("0")
+    """Online rows that are clicks, and the others, missing actions among them."""
+    is_click = F.col(action).eqNullSafe(CLICK)
     return raw.where(is_click), raw.where(~is_click)
 
 
+def typed_clicks(raw: DataFrame) -> DataFrame:
+    """(user_id, merchant_id, date, count) of raw clicks."""
+    own = raw.toDF("user_id", "merchant_id", "action", "coupon_id", "discount", "date_received", "date")
+    return click_counts(own.select("user_id", "merchant_id", compact_date(F.col("date")).alias("date")))
+
+
+def raw_text(day: str) -> Column:
+    return F.date_format(day, "yyyyMMdd")
+
+
+def raw_offline(lines: DataFrame) -> DataFrame:
+    """Lines as the columns of a raw offline file."""
+    return lines.select("user_id", "merchant_id", "coupon_id", "discount", "distance", raw_text("date_received"), raw_text("date")).toDF(*RAW_OFFLINE.names)
+
+
+def raw_online(lines: DataFrame) -> DataFrame:
+    """Lines as the columns of a raw online file; what isn't a click is a purchase or a receipt alone."""
+    action = F.when(F.col("click"), CLICK).when(F.col("date").isNotNull(), BUY).otherwise(RECEIVE)
+    return lines.select("user_id", "merchant_id", action, "coupon_id", "discount", raw_text("date_received"), raw_text("date")).toDF(*RAW_ONLINE.names)
+
+
+def raw_test(lines: DataFrame) -> DataFrame:
+    """Received coupons as the columns of a raw test file, which doesn't tell the use."""
+    own = lines.where(F.col("coupon_id").isNotNull() & F.col("date_received").isNotNull())
+    return own.select("user_id", "merchant_id", "coupon_id", "discount", "distance", raw_text("date_received")).toDF(*RAW_TEST.names)
+
+
 def click_counts(clicks: DataFrame) -> DataFrame:
     """(user_id, merchant_id, date, count); rows without one of the keys go."""
     keys = ["user_id", "merchant_id", "date"]

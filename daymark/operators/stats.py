@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DATE_FLAGS, date_fields
+from .ranking import placed
 from .shaping import was_kept, was_used
 
 #: Share of users, by their last day, that count as active.
@@ -115,16 +116,9 @@ def click_spread(df: DataFrame) -> DataFrame:
 def most_active(df: DataFrame, column: str) -> DataFrame:
     """(user_id, is_active): whether a user is in the first fifth by last day, later ones first, ties by user_id.
 
-    Instead of ranking all users in one task: users are counted by day, the running count over days (few rows) gives
-    the day in which the fifth ends, and only that day's users are ranked.
+    Users get their places from ranges of the order, so no task sees all of them, nor all of one day.
     """
     last = df.where("user_id is not null").groupBy("user_id").agg(F.max(column).alias("last_day"))
-    days = last.groupBy("last_day").agg(F.count(F.lit(1)).alias("n"))
-    # at most one row for each day of the calendar
-    order = Window.orderBy(F.col("last_day").desc_nulls_last())
-    running = days.withColumn("upto", F.sum("n").over(order)).crossJoin(F.broadcast(days.agg(F.floor(F.sum("n") * ACTIVE_SHARE).alias("quota"))))
-    place = running.select(F.col("last_day").alias("day"), F.greatest(F.col("quota") - (F.col("upto") - F.col("n")), F.lit(0)).alias("left"), "n")
-    own = last.join(place, F.col("last_day").eqNullSafe(F.col("day"))).drop("day")
-    whole = own.where("left >= n or left = 0").select("user_id", (F.col("left") > 0).alias("is_active"))
-    part = own.where("left < n and left > 0").withColumn("r", F.row_number().over(Window.partitionBy("last_day").orderBy("user_id"))).select("user_id", (F.col("r") <= F.col("left")).alias("is_active"))
-    return whole.unionByName(part)
+    own = placed(last, [F.col("last_day").desc_nulls_last(), F.col("user_id")])
+    quota = own.agg(F.floor(F.count(F.lit(1)) * ACTIVE_SHARE).alias("quota"))
+    return own.crossJoin(F.broadcast(quota)).select("user_id", (F.col("place") <= F.col("quota")).alias("is_active"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.scalars import DATE_FLAGS, HOLIDAYS, WORKDAYS
 from ..schema import OFFLINE_KINDS
 from .definitions import KEYS, features
-from .language import DISTINCTS, WINDOWS, Features, parse
+from .language import WINDOWS, Features, parse
 from .queries import FEATURES, LABELS, OPERATORS, SPLIT
 from .snapshots import plain_name
 
@@ -78,9 +78,9 @@ def features_sql(keys: tuple[str, ...], wanted: Features, base: str | None = Non
     """Every feature straight from the events of a key, snapshot by snapshot. base: None, or a table like ev."""
     columns = {}
     for m in wanted.measures:
-        p = f"{window_sql(m.window)} AND e.event_type IN ({', '.join(map(repr, m.kinds))})" + " AND coalesce(e.discount_man >= 200, false)" * m.man200
+        p = f"{window_sql(m.window)} AND e.event_type IN ({', '.join(map(repr, m.kinds))})" + " AND coalesce(e.discount_man >= 200, false)" * ("man200" in m.filters)
         if m.distinct:
-            attribute, least = DISTINCTS[m.distinct]
+            attribute, least = {"unique_user": ("user_id", 1), "unique_merchant": ("merchant_id", 1), "unique_coupon": ("coupon_id", 1), "unique_hotuser": ("user_id", 2), "unique_hotcoupon": ("coupon_id", 3)}[m.distinct]
             x = f"coalesce(CAST(e.{attribute} AS VARCHAR), 'nan')"
             columns[m.name] = f"coalesce(len(list_filter(map_values(histogram({x}) FILTER (WHERE {p})), lambda c: c >= {least})), 0)"
         elif m.aggregate == "count":
@@ -155,7 +155,7 @@ OFFLINE12 = "(SELECT * REPLACE (coalesce(distance, 12) AS distance) FROM offline
 SCORED = "scored AS (SELECT merchant_id, label, (user_id % 20) / 20.0::DOUBLE + coalesce(discount_rate, 0.0) / 2 AS prob FROM offline WHERE coupon_id IS NOT NULL)"
 AUC = "CASE WHEN p * n > 0 THEN (rank_sum - p * (p + 1) / 2) / (p * n) END"
 RANKED = "(SELECT *, rank() OVER ({0} ORDER BY prob) + (count(*) OVER ({1} prob) - 1) / 2.0 AS r FROM scored)"
-CALENDAR = "calendar AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS day)"
+CALENDAR = "calendar AS (SELECT DISTINCT date AS day FROM log)"
 
 
 def between(column: str, bounds: tuple[str, str]) -> str:
@@ -177,9 +177,15 @@ FULL = {"received_coupon": RECEIVED, "buy_with_coupon": USED}
 FULL12 = {"received_coupon": RECEIVED.replace("* FROM", "* REPLACE (coalesce(distance, 12) AS distance) FROM"), "buy_with_coupon": USED.replace("* FROM", "* REPLACE (coalesce(distance, 12) AS distance) FROM")}
 
 
-def profile_sql() -> str:
-    kinds = {"user_id": "bigint", "coupon_id": "string", "distance": "double", "date": "date", "discount_name": "string"}
-    return sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_null, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM offline" for c, t in kinds.items()))
+def profile_sql(source: str, kinds: dict[str, str]) -> str:
+    """Of each column (name and Spark's name of its type): counts, bytes, ends, rarest and commonest value."""
+    width = {"bigint": 8, "double": 8, "timestamp_ntz": 8, "date": 4, "boolean": 1}
+    each = []
+    for c, t in kinds.items():
+        size = f"CAST(count(*) * {width[t]} AS BIGINT)" if t in width else f"CAST(coalesce(sum(strlen({c})), 0) AS BIGINT)"
+        most = lambda order, c=c: f"(SELECT CAST({c} AS VARCHAR) FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*){order}, {c} LIMIT 1)"
+        each.append(f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, {size} AS n_bytes, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_null, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, {most('')} AS rarest, {most(' DESC')} AS commonest FROM {source}")
+    return " UNION ALL ".join(each)
 
 
 def columns_of_offline() -> dict[str, str]:
@@ -187,8 +193,61 @@ def columns_of_offline() -> dict[str, str]:
 
 
 def catalogue_sql() -> str:
-    rows = ", ".join(f"('{c.split('_', 1)[0]}', '{t}')" for c, t in columns_of_offline().items())
-    return f"SELECT prefix, data_type, count(*) AS n FROM (VALUES {rows}) v(prefix, data_type) GROUP BY ALL"
+    rows = " UNION ALL ".join(f"SELECT '{c.split('_', 1)[0]}' AS prefix, '{t}' AS data_type, count({c}) AS v FROM offline" for c, t in columns_of_offline().items())
+    return sql(f"SELECT prefix, data_type, count(*) AS n, CAST(sum(v) AS BIGINT) AS n_values FROM ({rows}) GROUP BY ALL")
+
+
+INPUT_ROWS = """inputs AS (SELECT user_id, coupon_id, label, coalesce(distance, 0)::DOUBLE AS x0, coalesce(discount_rate, 0)::DOUBLE AS x1, coalesce(discount_man, 0)::DOUBLE AS x2,
+  (isodow(date_received) - 1)::DOUBLE AS x3, month(date_received)::DOUBLE AS x4 FROM offline WHERE coupon_id IS NOT NULL)"""
+FIVE = range(5)
+
+
+def pca_sql(scale: bool, whiten: bool) -> str:
+    """Two components of five inputs by power iteration, the second after the first is taken out."""
+    unit = (lambda i: f"sd{i}") if scale else (lambda i: "1.0")
+    names = [f"{c}{i}" for c in ("mean", "sd") for i in FIVE]
+    moments = ", ".join([*(f"avg(x{i}) AS mean{i}, stddev_samp(x{i}) AS sd{i}" for i in FIVE), *(f"covar_samp(x{i}, x{j}) AS v{i}{j}" for i in FIVE for j in FIVE)])
+    first = f"c1 AS (SELECT {', '.join(names)}, {', '.join(f'v{i}{j} / ({unit(i)} * {unit(j)}) AS c{i}{j}' for i in FIVE for j in FIVE)} FROM moments)"
+
+    def turned(table: str, out: str) -> str:
+        times = [" + ".join(f"c{i}{j} * p{j}" for j in FIVE) for i in FIVE]
+        long_ = f"sqrt({' + '.join(f'power({t}, 2)' for t in times)})"
+        step = ", ".join(f"({t}) / {long_} AS p{i}" for i, t in enumerate(times))
+        signs = " ".join(f"WHEN abs(p{i}) = greatest({', '.join(f'abs(p{j})' for j in FIVE)}) THEN sign(p{i})" for i in FIVE)
+        return f"""steps_{out} AS (SELECT 0 AS k, {', '.join(f'{1 + i / 7}::DOUBLE AS p{i}' for i in FIVE)} UNION ALL SELECT k + 1, {step} FROM steps_{out}, {table} WHERE k < 3000),
+ {out} AS (SELECT {', '.join(f'p{i} * s AS {out}{i}' for i in FIVE)}, {' + '.join(f'p{i} * ({t})' for i, t in enumerate(times))} AS value_{out} FROM (SELECT *, CASE {signs} END AS s FROM steps_{out} WHERE k = 3000), {table})"""
+
+    second = f"c2 AS (SELECT {', '.join(f'c{i}{j} - value_a * a{i} * a{j} AS c{i}{j}' for i in FIVE for j in FIVE)} FROM c1, a)"
+    shown = [six_digits(f"({' + '.join(f'(x{i} - mean{i}) / {unit(i)} * {v}{i}' for i in FIVE)})" + f" / sqrt(value_{v})" * whiten) + f" AS pc_{n}" for n, v in enumerate("ab")]
+    out = sql(f"SELECT user_id, coupon_id, {', '.join(shown)} FROM inputs, c1, a, b", ", ".join((INPUT_ROWS, f"moments AS (SELECT {moments} FROM inputs)", first, turned("c1", "a"), second, turned("c2", "b"))))
+    return out.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def lda_sql() -> str:
+    """The direction that parts the classes best: five equations, solved by taking out one unknown after the other."""
+    sums = ", ".join([*(f"avg(x{i}) FILTER (WHERE label) - avg(x{i}) FILTER (WHERE NOT label) AS b{i}" for i in FIVE), *(f"(covar_pop(x{i}, x{j}) FILTER (WHERE label) * count(*) FILTER (WHERE label) + covar_pop(x{i}, x{j}) FILTER (WHERE NOT label) * count(*) FILTER (WHERE NOT label)) / (count(*) - 2) AS a{i}{j}" for i in FIVE for j in FIVE)])
+    steps = [f"s0 AS (SELECT {sums} FROM inputs)"]
+    for k in FIVE:
+        own = [f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k} AS a{i}{j}" if i != k else f"a{i}{j}" for i in FIVE for j in FIVE] + [f"b{i} - a{i}{k} * b{k} / a{k}{k} AS b{i}" if i != k else f"b{i}" for i in FIVE]
+        steps.append(f"s{k + 1} AS (SELECT {', '.join(own)} FROM s{k})")
+    long_ = f"sqrt({' + '.join(f'power(b{i} / a{i}{i}, 2)' for i in FIVE)})"
+    shown = six_digits(f"({' + '.join(f'x{i} * b{i} / a{i}{i}' for i in FIVE)}) / {long_}")
+    return sql(f"SELECT user_id, coupon_id, label, {shown} AS ld FROM inputs, s5", ", ".join((INPUT_ROWS, *steps)))
+
+
+def registered_sql() -> str:
+    """The registered steps by hand: windows as days, kinds as names."""
+    inside = lambda a, b: f"e.t BETWEEN least(greatest(s.t - {a}, 0), 365) AND least(greatest(s.t - {b}, 0), 365)"
+    recent, longago = inside(45, 16), inside(180, 76)
+    used, received = "e.event_type = 'offline_buy_with_coupon'", "e.event_type = 'offline_receive_coupon'"
+    rate = f"count(*) FILTER (WHERE {recent} AND {received})", f"count(*) FILTER (WHERE {recent} AND {received} AND e.discount_rate IS NULL)"
+    click = f"count(*) FILTER (WHERE {longago} AND e.event_type = 'online_click')"
+    inner = f"""SELECT s.user_id, s.t AS date, count(*) FILTER (WHERE {longago} AND {used} AND e.distance >= 5) AS far, count(*) FILTER (WHERE {longago} AND {used}) AS used,
+ count(DISTINCT e.date) FILTER (WHERE {recent} AND e.event_type LIKE 'offline%') AS days, CASE WHEN {rate[0]} = 0 THEN 0.0 WHEN {rate[1]} = 0 THEN stddev_samp(e.discount_rate) FILTER (WHERE {recent} AND {received}) END AS rate,
+ CASE WHEN {click} = 0 THEN 0.0 ELSE sum(e.click_count) FILTER (WHERE {longago} AND e.event_type = 'online_click') END AS clicks, coalesce(sum(e.t - s.t) FILTER (WHERE {recent} AND {received}), 0)::DOUBLE AS away
+ FROM (SELECT DISTINCT user_id, t FROM ev WHERE user_id IN (SELECT user_id FROM ev WHERE event_type LIKE 'offline%')) s JOIN ev e ON e.user_id = s.user_id GROUP BY ALL"""
+    return sql(f"""SELECT user_id, date, far AS longago_offline_buy_with_coupon_far_count, used AS longago_offline_buy_with_coupon_count, {six_digits('CASE WHEN used = 0 THEN 0.0 ELSE far::DOUBLE / used END')} AS "{plain_name('longago(offline_buy_with_coupon.far.count/offline_buy_with_coupon.count)')}",
+ days AS recent_offline_unique_day_count, {six_digits('rate')} AS recent_offline_receive_coupon_discount_rate_std, {six_digits('clicks')} AS longago_online_click_clicks_sum, {six_digits('away')} AS recent_offline_receive_coupon_deltanow_sum FROM ({inner})""")
 
 
 def merged_sql() -> str:
@@ -219,6 +278,23 @@ def oracle_sql() -> dict[str, str]:
         "scan_offline": sql(f"SELECT * REPLACE ({rounds('discount_rate')}) FROM offline"),
         "scan_online_coupon": sql(f"SELECT * REPLACE ({rounds('discount_rate')}) FROM online_coupon"),
         "click_preagg": sql("SELECT * FROM clicks"),
+        "raw_offline": sql(f"SELECT * REPLACE ({rounds('discount_rate')}) FROM offline"),
+        "raw_online_coupon": sql(f"SELECT * REPLACE ({rounds('discount_rate')}) FROM online_coupon"),
+        "raw_clicks": sql("SELECT * FROM clicks"),
+        "raw_test": sql(f"SELECT user_id, merchant_id, coupon_id, distance, date_received, discount_name, is_dazhe, is_manjian, discount_man, discount_jian, {rounds('discount_rate')} FROM offline WHERE coupon_id IS NOT NULL AND {between('date_received', SPLIT.test)}"),
+        "raw_test_events": sql(f"SELECT date_received AS date, CAST(NULL AS DATE) AS date2, 'offline_receive_coupon' AS event_type, user_id, merchant_id, coupon_id, discount_name, distance, CAST(NULL AS DOUBLE) AS click_count FROM offline WHERE coupon_id IS NOT NULL AND {between('date_received', SPLIT.test)}"),
+        "events_csv": sql("SELECT * FROM log"),
+        "discounts_csv": sql(f"SELECT * REPLACE ({rounds('discount_rate')}) FROM discounts"),
+        "merchant_places": sql("SELECT merchant_id, n, row_number() OVER (ORDER BY n DESC, merchant_id) AS place, CAST(sum(n) OVER (ORDER BY n DESC, merchant_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto_n FROM (SELECT merchant_id, count(*) AS n FROM offline GROUP BY ALL)"),
+        "sample_receipts": sql("SELECT merchant_id, user_id, coupon_id, date_received FROM offline WHERE coupon_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY merchant_id ORDER BY md5(concat_ws('|', '7', merchant_id, user_id, coupon_id, date_received)), user_id, coupon_id, date_received) <= 3"),
+        "lookup_user": sql("SELECT CAST(place AS INT) AS place, c AS column_name, v AS value FROM (SELECT *, row_number() OVER (ORDER BY date, event_type, merchant_id NULLS FIRST, coupon_id NULLS FIRST, distance NULLS FIRST) AS place FROM log WHERE user_id = 7), LATERAL (VALUES ('user_id', CAST(user_id AS VARCHAR)), ('date', CAST(date AS VARCHAR)), ('event_type', event_type), ('merchant_id', CAST(merchant_id AS VARCHAR)), ('coupon_id', coupon_id), ('distance', CAST(distance AS VARCHAR))) t(c, v)"),
+        "lookup_counts": sql("SELECT event_type, count(*) AS n FROM log WHERE merchant_id = 1 GROUP BY ALL"),
+        "op_registered": registered_sql(),
+        "rolling3_median": sql("SELECT merchant_id, date, n, CAST(r AS BIGINT) AS rolling FROM (SELECT *, median(n) OVER w AS r, count(*) OVER w AS c FROM (SELECT merchant_id, date, count(*) AS n FROM log GROUP BY ALL) WINDOW w AS (PARTITION BY merchant_id ORDER BY date ROWS 2 PRECEDING)) WHERE c = 3"),
+        "longest_gaps_by_function": sql("SELECT merchant_id, count(*) AS n, CAST(max(gap) AS INT) AS longest FROM (SELECT merchant_id, date - lag(date) OVER (PARTITION BY merchant_id ORDER BY date) AS gap FROM log WHERE event_type = 'offline_receive_coupon') GROUP BY ALL"),
+        "pca2": pca_sql(scale=False, whiten=True),
+        "scaled_pca": pca_sql(scale=True, whiten=False),
+        "lda1": lda_sql(),
         "parse_discount": sql(f"SELECT discount AS text, discount_name, is_xianshi, is_dazhe, is_manjian, discount_man, discount_jian, {rounds('discount_rate')} FROM sample_typed", "sample AS (SELECT DISTINCT discount FROM (SELECT discount FROM kept UNION ALL SELECT unnest(['fixed', '150:20', '0.9', '95', '0.29', '0.58', '1', '200:50', NULL]))), " + discount_sql("sample", "sample_typed")),
         "discount_dim": sql(f"SELECT * REPLACE ({rounds('discount_rate')}) FROM discounts"),
         "select_label": sql(f"SELECT * REPLACE ({rounds('discount_rate')}) FROM offline WHERE coupon_id IS NOT NULL AND {between('date_received', LABELS)}"),
@@ -241,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
         "inner_discount": sql(f"SELECT discount_name, count(*) AS n, round(first(d.discount_rate), 6) AS discount_rate FROM log JOIN discounts d USING (discount_name) GROUP BY discount_name"),
         "semi_known_users": sql(f"SELECT user_id, count(*) AS n FROM online_coupon WHERE {KNOWN} GROUP BY ALL"),
         "outer_align": sql(f"SELECT coupon_id, received, used FROM (SELECT coupon_id, count(*) AS received FROM {RECEIVED} GROUP BY ALL) FULL JOIN (SELECT coupon_id, count(*) AS used FROM {USED} GROUP BY ALL) USING (coupon_id)"),
-        "id_coverage": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_total, count(DISTINCT {c}) FILTER (WHERE {c} NOT IN (SELECT {c} FROM offline WHERE {c} IS NOT NULL)) AS n_missing FROM online_coupon" for c in ("user_id", "coupon_id"))),
+        "id_coverage": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, (SELECT count(DISTINCT {c}) FROM offline) AS n_own, count(*) AS n_total, count(*) FILTER (WHERE missing) AS n_missing, round(count(*) FILTER (WHERE missing)::DOUBLE / count(*), 6) AS miss_ratio, (SELECT coalesce(string_agg(c, ',' ORDER BY md5('0|' || c)), '') FROM (SELECT CAST({c} AS VARCHAR) AS c FROM (SELECT DISTINCT {c} FROM online_coupon WHERE {c} IS NOT NULL) WHERE {c} NOT IN (SELECT {c} FROM offline WHERE {c} IS NOT NULL) ORDER BY md5('0|' || CAST({c} AS VARCHAR)) LIMIT 4)) AS missing FROM (SELECT DISTINCT {c}, {c} NOT IN (SELECT {c} FROM offline WHERE {c} IS NOT NULL) AS missing FROM online_coupon WHERE {c} IS NOT NULL)" for c in ("user_id", "coupon_id"))),
         "id_difference": sql("SELECT user_id FROM online_coupon EXCEPT SELECT user_id FROM offline"),
         "big_merchant_split": sql("SELECT merchant_id, n FROM placed WHERE place <= (SELECT ceil(min(place) / 5.0) * 5 FROM placed WHERE upto > 0.8 * (SELECT sum(n) FROM counted))", "counted AS (SELECT merchant_id, count(*) AS n FROM offline GROUP BY ALL), placed AS (SELECT *, row_number() OVER (ORDER BY n DESC, merchant_id) AS place, sum(n) OVER (ORDER BY n DESC, merchant_id ROWS UNBOUNDED PRECEDING) AS upto FROM counted)"),
         "feat_merged": merged_sql(),
@@ -270,7 +346,8 @@ def oracle_sql() -> dict[str, str]:
         "quantiles": sql("SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS q, unnest(v) AS value FROM (SELECT quantile_cont(n::DOUBLE, [0.5, 0.9, 0.99]) AS v FROM (SELECT count(*) AS n FROM offline WHERE coupon_id IS NOT NULL GROUP BY coupon_id))"),
         "value_counts": sql("SELECT discount_name, count(*) AS n FROM offline WHERE discount_name IS NOT NULL GROUP BY ALL"),
         "histogram": sql("SELECT CAST(least(floor((discount_rate - lo) / (hi - lo) * 10), 9) AS INT) AS bin, count(*) AS n FROM offline, (SELECT min(discount_rate) AS lo, max(discount_rate) AS hi FROM offline) WHERE discount_rate IS NOT NULL GROUP BY ALL"),
-        "profile_table": profile_sql(),
+        "profile_table": sql(profile_sql("offline", {"user_id": "bigint", "coupon_id": "string", "distance": "double", "date": "date", "discount_name": "string"})),
+        "profile_events": profile_sql("events", {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}),
         "null_audit": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, bool_or({c} IS NULL) AS has_null FROM offline" for c in columns_of_offline())),
         "schema_catalogue": catalogue_sql(),
         "confusion": sql("SELECT prob > 0.8 AS predicted, count(*) FILTER (WHERE NOT label) AS label_false, count(*) FILTER (WHERE label) AS label_true FROM scored GROUP BY ALL", SCORED),
@@ -279,10 +356,10 @@ def oracle_sql() -> dict[str, str]:
         **{n: features_sql((k,), parse(t)) for n, (k, t) in OPERATORS.items()},
         **{f"feat_{e}": features_sql(KEYS[e], features(e)) for e in KEYS},
         "rolling3_sum": sql("SELECT merchant_id, date, n, CAST(r AS BIGINT) AS rolling FROM (SELECT *, sum(n) OVER w AS r, count(*) OVER w AS c FROM (SELECT merchant_id, date, count(*) AS n FROM log GROUP BY ALL) WINDOW w AS (PARTITION BY merchant_id ORDER BY date ROWS 2 PRECEDING)) WHERE c = 3"),
-        "date_vector": f"WITH {CALENDAR} SELECT day, {name_sql('day')} AS day_name, {', '.join(f'{v} AS day_{k}' for k, v in flags_sql('day').items())} FROM calendar",
-        "day_ordinal": f"WITH {CALENDAR} SELECT day, CAST(dayofyear(day) - 1 AS INT) AS t, day AS back FROM calendar",
-        "date_parts": f"WITH {CALENDAR} SELECT day, CAST(isodow(day) - 1 AS INT) AS date_dayofweek, CAST(day(day) AS INT) AS date_dayofmonth FROM calendar",
-        "date_format": f"WITH {CALENDAR} SELECT day, strftime(day, '%Y%m%d') AS text, day AS back FROM calendar",
+        "date_vector": sql(f"SELECT day, {name_sql('day')} AS day_name, {', '.join(f'{v} AS day_{k}' for k, v in flags_sql('day').items())} FROM calendar", CALENDAR),
+        "day_ordinal": sql(f"SELECT day, CAST(dayofyear(day) - 1 AS INT) AS t, day AS back FROM calendar", CALENDAR),
+        "date_parts": sql(f"SELECT day, CAST(isodow(day) - 1 AS INT) AS date_dayofweek, CAST(day(day) AS INT) AS date_dayofmonth FROM calendar", CALENDAR),
+        "date_format": sql(f"SELECT day, strftime(day, '%Y%m%d') AS text, day AS back FROM calendar", CALENDAR),
         "hash_partition": sql("SELECT CAST(CAST(concat('0x', substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT) % 8 AS BIGINT) AS bucket, count(*) AS n FROM offline GROUP BY ALL"),
         "topk_merchant": sql("SELECT merchant_id, count(*) AS n FROM offline GROUP BY ALL ORDER BY n DESC, merchant_id LIMIT 10"),
         "row_number": sql("SELECT order_id, line, CAST(row_number() OVER (PARTITION BY order_id ORDER BY line) AS INT) AS row FROM kept"),

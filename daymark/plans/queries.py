@@ -6,18 +6,22 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import learning, reports, shaping, stats
 from ..operators.partitions import by_key
+from ..operators.ranking import placed
 from ..schema import EVENTS, Split
+from ..sources import files
 from ..sources.files import as_views, read_table, shared_folder, stored
 from ..sources.orders import order_lines
 from . import classic, merging
 from .definitions import KEYS, features
-from .language import parse
+from .language import STEPS, Aggregate, Distinct, Filter, Value, parse
 from .snapshots import entity_features, evaluate, plain_name, prepared
 
 #: Day ranges for the splits of the derived year.
@@ -25,6 +29,10 @@ SPLIT = Split("derived", ("1996-01-01", "1996-08-31"), ("1996-05-01", "1996-08-3
 LABELS, FEATURES = ("1996-08-01", "1996-09-30"), ("1996-01-01", "1996-07-31")
 
 
+#: The tables that the log is derived from.
+INPUTS = ("orders", "lineitem", "part")
+
+
 class Log:
     """The derived tables of one folder. The lines and the event log are written once a session; queries read those."""
 
@@ -33,7 +41,7 @@ class Log:
 
     @property
     def lines(self) -> DataFrame:
-        return stored(self.spark, self.folder, "lines", lambda: order_lines(self.spark, self.folder))
+        return stored(self.spark, self.folder, "lines", lambda: order_lines(self.spark, self.folder), INPUTS)
 
     @property
     def offline(self) -> DataFrame:
@@ -51,12 +59,29 @@ class Log:
     @property
     def prepared(self) -> DataFrame:
         """The event log with day numbers and discount fields."""
-        return stored(self.spark, self.folder, "events", lambda: prepared(shaping.event_log(self.offline, self.online_coupon, self.clicks)))
+        return stored(self.spark, self.folder, "events", lambda: prepared(shaping.event_log(self.offline, self.online_coupon, self.clicks)), INPUTS)
 
     @property
     def events(self) -> DataFrame:
         return self.prepared.select(*EVENTS.names)
 
+    def raw(self, name: str) -> str:
+        """Where the lines are as raw files with a head line, missing values as null: offline, online or test."""
+        made = {
+            "offline": lambda: shaping.raw_offline(self.lines.where(~F.col("online"))), "online": lambda: shaping.raw_online(self.lines.where("online")),
+            "test": lambda: shaping.raw_test(self.lines.where(~F.col("online") & shaping.within("date_received", SPLIT.test))),
+        }
+        return files.stored_at(self.spark, self.folder, f"raw_{name}", lambda path: files.write_typed_csv(made[name](), path), INPUTS)
+
+    def csv(self, name: str, df: DataFrame) -> str:
+        """Where a table of this log is as CSV with a head line."""
+        return files.stored_at(self.spark, self.folder, f"csv_{name}", lambda path: files.write_typed_csv(df, path), INPUTS)
+
+    @property
+    def dates(self) -> DataFrame:
+        """The days on which anything happens."""
+        return self.prepared.select(F.col("date").alias("day")).distinct()
+
     @property
     def discounts(self) -> DataFrame:
         return shaping.discount_table(self.prepared)
@@ -91,6 +116,27 @@ OPERATORS = {
 }
 
 
+#: Steps of a caller's own beside the library's: far uses, clicks, active days, sums and deviations.
+OWN_STEPS = STEPS.plus(
+    Filter("far", "distance >= 5"), Value("clicks", "click_count"), Distinct("unique_day", "date"), Aggregate("sum", "{s}", {"s": ("sum({x})", "sum")}, "{n} * t"),
+    Aggregate("std", "CASE WHEN {n} > 1 THEN sqrt(greatest(({q} - {s} * {s} / {n}) / ({n} - 1), 0D)) END", {"s": ("sum({x})", "sum"), "q": ("sum({x} * {x})", "sum")}, "0D"),
+)
+OWN_TEXT = """
+longago.offline_buy_with_coupon.far.count
+longago.offline_buy_with_coupon.count
+longago(offline_buy_with_coupon.far.count / offline_buy_with_coupon.count)
+recent.offline.unique_day.count
+recent.offline_receive_coupon.discount_rate.std
+longago.online_click.clicks.sum
+recent.offline_receive_coupon.deltanow.sum
+"""
+
+
+def registered(spark, folder):
+    """Features whose steps aren't the library's, by user."""
+    return rounded(evaluate(Log(spark, folder).prepared, ("user_id",), parse(OWN_TEXT, OWN_STEPS), plain=True))
+
+
 def operator_query(name: str) -> Callable:
     key, text = OPERATORS[name]
     return lambda spark, folder: rounded(evaluate(Log(spark, folder).prepared, (key,), parse(text), plain=True))
@@ -99,7 +145,7 @@ def operator_query(name: str) -> Callable:
 def merged_rows(spark, folder) -> DataFrame:
     """Receipts of the training range with every feature of their five entities."""
     log = Log(spark, folder).prepared
-    ready = stored(spark, folder, "past", lambda: prepared_split(log))
+    ready = stored(spark, folder, "past", lambda: prepared_split(log), INPUTS)
     by = {e: entity_features(ready, e, plain=True) for e in merging.ORDER}
     return merging.merged(shaping.rows_of_split(ready, SPLIT.train, True), shaping.discount_table(ready), by, separator="_")
 
@@ -107,14 +153,14 @@ def merged_rows(spark, folder) -> DataFrame:
 def dataset_of(spark, folder) -> learning.Dataset:
     """Receipts of the training and the test range with the recent features of their five entities, each written once."""
     log = Log(spark, folder).prepared
-    ready = stored(spark, folder, "past", lambda: prepared_split(log))
+    ready = stored(spark, folder, "past", lambda: prepared_split(log), INPUTS)
 
     def rows(bounds: tuple[str, str]) -> DataFrame:
         by = {e: entity_features(ready, e, plain=True, only=[n for n in features(e).names if n.startswith("recent")] or None) for e in merging.ORDER}
         joined = merging.merged(shaping.rows_of_split(ready, bounds, True), shaping.discount_table(ready), by, separator="_")
         return joined.withColumn("date", scalars.date_of_day(F.col("date"), "1996-01-01"))
 
-    known, test = (stored(spark, folder, f"rows_{n}", lambda b=b: rows(b)) for n, b in (("train", SPLIT.train), ("test", SPLIT.test)))
+    known, test = (stored(spark, folder, f"rows_{n}", lambda b=b: rows(b), INPUTS) for n, b in (("train", SPLIT.train), ("test", SPLIT.test)))
     return learning.dataset(known, test, share=0.2)
 
 
@@ -163,17 +209,17 @@ def gbt_score(spark, folder):
 
 def pca2(spark, folder):
     rows, inputs = learning_rows(spark, folder)
-    return learning.components(rows, inputs, 2, whiten=True).select("user_id", "coupon_id", "pc_0", "pc_1")
+    return rounded(learning.components(rows, inputs, 2, whiten=True).select("user_id", "coupon_id", "pc_0", "pc_1"))
 
 
 def scaled_pca(spark, folder):
     rows, inputs = learning_rows(spark, folder)
-    return learning.components(rows, inputs, 2, scale=True).select("user_id", "coupon_id", "pc_0", "pc_1")
+    return rounded(learning.components(rows, inputs, 2, scale=True).select("user_id", "coupon_id", "pc_0", "pc_1"))
 
 
 def lda1(spark, folder):
     rows, inputs = learning_rows(spark, folder)
-    return learning.discriminant(rows, inputs, "label")[1].select("user_id", "coupon_id", "label", "ld")
+    return rounded(learning.discriminant(rows, inputs, "label")[1].select("user_id", "coupon_id", "label", "ld"))
 
 
 def scored_rows(log: Log) -> DataFrame:
@@ -187,11 +233,6 @@ def discount_sample(spark, folder):
     return rounded(scalars.with_discount_fields(rows.unionByName(fixed).distinct().withColumn("text", F.col("discount")), "discount"))
 
 
-def calendar(spark) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))).alias("day"))
-    return days
-
-
 def union_all(spark, folder):
     log = Log(spark, folder)
     both = log.offline.select("user_id", "merchant_id").unionByName(log.online_coupon.select("user_id", "merchant_id"))
@@ -222,9 +263,35 @@ def receive_days(spark, folder):
 
 
 def receive_days_by_function(spark, folder):
-    # one row a merchant and day, so that a hot merchant's group is bounded by the calendar
-    rows = Log(spark, folder).events.where("event_type = 'offline_receive_coupon'").select("merchant_id", "date").distinct()
-    return by_key(rows, "merchant_id", lambda pdf: pdf.drop_duplicates(), "merchant_id long, date date")
+    """The days of each merchant's receipts, from all its receipts in order."""
+    rows = Log(spark, folder).events.where("event_type = 'offline_receive_coupon'").select("merchant_id", "date")
+
+    def days(key, batches):
+        last = None
+        for b in batches:
+            own = list(dict.fromkeys(b.column("date").to_pylist()))
+            new = [d for d in own if d != last]
+            last = own[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(new), pa.int64()), pa.array(new, pa.date32())], names=["merchant_id", "date"])
+
+    return by_key(rows, "merchant_id", days, "merchant_id long, date date", ("date",))
+
+
+def longest_gaps(spark, folder):
+    """(merchant_id, n, longest): receipts of each merchant and the most days between two that follow each other, by a
+    function that sees a merchant's receipts in order, a batch at a time."""
+    rows = Log(spark, folder).events.where("event_type = 'offline_receive_coupon'").select("merchant_id", "date")
+
+    def gaps(key, batches):
+        last, n, longest = None, 0, None
+        for b in batches:
+            days = b.column("date").cast(pa.int32()).to_numpy()
+            steps = np.diff(days, prepend=days[0] if last is None else last)[last is None :]
+            longest = max([longest or 0, int(steps.max())]) if len(steps) else longest
+            last, n = days[-1], n + len(days)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([n], pa.int64()), pa.array([longest], pa.int32())], names=["merchant_id", "n", "longest"])
+
+    return by_key(rows, "merchant_id", gaps, "merchant_id long, n long, longest int", ("date",))
 
 
 def merged_classic(spark, folder):
@@ -251,6 +318,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources, projections, filters, events
     "scan_offline": q(lambda g: g.offline),
     "scan_online_coupon": q(lambda g: g.online_coupon),
+    "raw_offline": q(lambda g: shaping.typed_offline(files.read_offline(g.spark, g.raw("offline")))),
+    "raw_online_coupon": q(lambda g: shaping.typed_online_coupon(shaping.split_clicks(files.read_online(g.spark, g.raw("online")))[1])),
+    "raw_clicks": q(lambda g: shaping.typed_clicks(shaping.split_clicks(files.read_online(g.spark, g.raw("online")))[0])),
+    "raw_test": q(lambda g: shaping.typed_test(files.read_test(g.spark, g.raw("test")))),
+    "raw_test_events": q(lambda g: shaping.test_events(shaping.typed_test(files.read_test(g.spark, g.raw("test"))))),
+    "events_csv": q(lambda g: files.read_events(g.spark, g.csv("events", g.events))),
+    "discounts_csv": q(lambda g: files.read_discounts(g.spark, g.csv("discounts", g.discounts))),
     "click_preagg": q(lambda g: g.clicks),
     "parse_discount": discount_sample,
     "discount_dim": q(lambda g: g.discounts),
@@ -301,10 +375,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classic_merged": merged_classic,
     "key_distinct_single": q(lambda g: shaping.distinct_keys(g.events, "coupon_id")),
     "key_distinct_multi": q(lambda g: shaping.distinct_keys(g.events, "user_id", "coupon_id")),
+    "merchant_places": q(lambda g: placed(reports.counts_of(g.offline, "merchant_id"), [F.desc("n"), F.col("merchant_id")], ("n",))),
+    "sample_receipts": q(lambda g: reports.sample_by_key(g.offline.where("coupon_id is not null").select("merchant_id", "user_id", "coupon_id", "date_received"), "merchant_id", 3, seed=7)),
+    "lookup_user": q(lambda g: reports.lookup(g.events.select("user_id", "date", "event_type", "merchant_id", "coupon_id", "distance"), "user_id", 7)),
+    "lookup_counts": q(lambda g: reports.key_counts(g.events, "merchant_id", 1, "event_type")),
     "quantiles": q(lambda g: reports.size_quantiles(g.offline, "coupon_id")),
     "value_counts": q(lambda g: reports.counts_of(g.offline, "discount_name")),
     "histogram": q(lambda g: reports.histogram(g.offline, "discount_rate")),
     "profile_table": q(lambda g: reports.profile(g.offline.select("user_id", "coupon_id", "distance", "date", "discount_name"))),
+    "profile_events": lambda spark, folder: reports.profile(read_table(spark, folder, "events")),
     "null_audit": q(lambda g: reports.null_audit(g.offline)),
     "schema_catalogue": q(lambda g: reports.schema_catalogue(g.offline)),
     "confusion": q(lambda g: reports.confusion(scored_rows(g).withColumn("guess", F.col("prob") > 0.8), "label", "guess")),
@@ -312,13 +391,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"w_{w}": window_query(w) for w in ("future", "today")},
     **{f"w_{w}": entity("merchant", [f"{w}.offline_receive_coupon.count", f"{w}.offline_buy_with_coupon.count"]) for w in ("recent", "history", "longago")},
     **{name: operator_query(name) for name in OPERATORS},
+    "op_registered": registered,
     **{f"feat_{e}": entity(e) for e in KEYS},
     "rolling3_sum": q(lambda g: reports.rolling_sums(g.events.groupBy("merchant_id", "date").agg(F.count(F.lit(1)).alias("n")), "date", "n", 3, "merchant_id")),
+    "rolling3_median": q(lambda g: reports.rolling_apply(g.events.groupBy("merchant_id", "date").agg(F.count(F.lit(1)).alias("n")), "date", "n", lambda a: F.element_at(F.sort_array(a), 2), 3, "merchant_id")),
     # scalars
-    "date_vector": lambda spark, folder: scalars.with_date_fields(calendar(spark), "day"),
-    "day_ordinal": lambda spark, folder: calendar(spark).select("day", scalars.day_number(F.col("day")).alias("t"), scalars.date_of_day(scalars.day_number(F.col("day")), "1996-01-01").alias("back")),
-    "date_parts": lambda spark, folder: scalars.with_day_parts(calendar(spark), "day"),
-    "date_format": lambda spark, folder: calendar(spark).select("day", F.date_format("day", "yyyyMMdd").alias("text"), scalars.compact_date(F.date_format("day", "yyyyMMdd")).alias("back")),
+    "date_vector": q(lambda g: scalars.with_date_fields(g.dates, "day")),
+    "day_ordinal": q(lambda g: g.dates.select("day", scalars.day_number(F.col("day")).alias("t"), scalars.date_of_day(scalars.day_number(F.col("day")), "1996-01-01").alias("back"))),
+    "date_parts": q(lambda g: scalars.with_day_parts(g.dates, "day")),
+    "date_format": q(lambda g: g.dates.select("day", F.date_format("day", "yyyyMMdd").alias("text"), scalars.compact_date(F.date_format("day", "yyyyMMdd")).alias("back"))),
     "hash_partition": q(lambda g: g.offline.groupBy(scalars.hash_bucket(8, "user_id").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))),
     # order, limits, sets
     "topk_merchant": q(lambda g: reports.counts_of(g.offline, "merchant_id").orderBy(F.desc("n"), "merchant_id").limit(10)),
@@ -342,10 +423,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # functions over parts
     "receive_days_per_merchant": receive_days,
     "receive_days_by_function": receive_days_by_function,
+    "longest_gaps_by_function": longest_gaps,
     # the generic event table
     "events_by_day": lambda spark, folder: rounded(read_table(spark, folder, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4),
 }
 
-
-def feature_names(entity_name: str) -> list[str]:
-    return features(entity_name).names

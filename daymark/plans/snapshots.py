@@ -15,7 +15,7 @@ from ..functions.scalars import discount_struct
 from ..operators.shaping import wide
 from ..schema import EVENTS, OFFLINE_KINDS
 from .definitions import KEYS, features
-from .language import DISTINCTS, WINDOWS, Features, Measure
+from .language import WINDOWS, Features, Measure, Steps
 
 LAST_DAY = 365
 #: What stands for a missing coupon among the distinct ones.
@@ -30,12 +30,12 @@ def prepared(log: DataFrame) -> DataFrame:
 
 
 def one_of(kinds: tuple[str, ...]) -> str:
-    return f"event_type IN ({', '.join(map(repr, kinds))})"
+    return f"event_type IN ({', '.join(map(repr, kinds))})" if kinds else "false"
 
 
-def chosen(m: Measure) -> str:
+def chosen(m: Measure, steps: Steps) -> str:
     """SQL of the condition that an event belongs to a measure's selection."""
-    return one_of(m.kinds) + " AND coalesce(discount_man >= 200, false)" * m.man200
+    return " AND ".join([one_of(m.kinds), *(f"coalesce({steps.by_name[f].condition}, false)" for f in m.filters)])
 
 
 def exprs(named: dict[str, str]) -> list[Column]:
@@ -43,34 +43,32 @@ def exprs(named: dict[str, str]) -> list[Column]:
     return [F.expr(f"{x} AS `{n}`") for n, x in named.items()]
 
 
-def by_day(events: DataFrame, keys: tuple[str, ...], measures: list[Measure]) -> tuple[DataFrame, dict]:
-    """Rows (keys, t) with count, missing values, sum, least and largest of each selection; and the selections' numbers.
+def by_day(events: DataFrame, keys: tuple[str, ...], measures: list[Measure], steps: Steps) -> tuple[DataFrame, dict]:
+    """Rows (keys, t) with the parts of each selection that its aggregates need; and the selections' numbers.
 
+    n is how many events are selected, z how many of them lack the value; further parts are the aggregates' own.
     offline: how many of a day's events are of a kind that makes a key known.
     """
     number: dict = {}
     parts = {"offline": f"count_if({one_of(OFFLINE_KINDS)})"}
     for m in measures:
-        if (m.kinds, m.man200, m.value) in number:
-            continue
-        g = number[m.kinds, m.man200, m.value] = len(number)
-        p = chosen(m)
+        g = number.setdefault((m.kinds, m.filters, m.value), len(number))
+        p = chosen(m, steps)
         parts[f"n{g}"] = f"count_if({p})"
         if m.value:
-            value = "CAST(t AS DOUBLE)" if m.value == "deltanow" else m.value  # the day itself
-            x = f"(CASE WHEN {p} THEN {value} END)"
-            parts |= {f"s{g}": f"sum{x}", f"l{g}": f"min{x}", f"h{g}": f"max{x}"}
-            if m.value != "deltanow":
-                parts[f"z{g}"] = f"count_if({p} AND {value} IS NULL)"
+            value = steps.by_name[m.value]
+            if not value.relative:
+                parts[f"z{g}"] = f"count_if({p} AND ({value.sql}) IS NULL)"
+            for letter, (of_day, _) in steps.by_name[m.aggregate].parts.items():
+                parts[f"{letter}{g}"] = of_day.format(x=f"(CASE WHEN {p} THEN {value.sql} END)")
     return events.dropna(subset=list(keys)).groupBy(*keys, "t").agg(*exprs(parts)), number
 
 
-def framed(column: str, window: str, keys: tuple[str, ...]) -> str:
-    """SQL of an aggregate of a day's column (the first letter says which) over a window's days, clipped to the year.
+def framed(column: str, f: str, window: str, keys: tuple[str, ...]) -> str:
+    """SQL of an aggregate f of a day's column over a window's days, clipped to the year.
 
     A window that lies before the year is its first day, one that lies after it its last.
     """
-    f = {"l": "min", "h": "max"}.get(column[0], "sum")
     first, last = WINDOWS[window]
     whole = f"PARTITION BY {', '.join(keys)}"
     end = lambda n: "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
@@ -82,34 +80,36 @@ def framed(column: str, window: str, keys: tuple[str, ...]) -> str:
     return out
 
 
-def measured(events: DataFrame, keys: tuple[str, ...], measures: list[Measure], names: dict[str, str]) -> DataFrame:
+def measured(events: DataFrame, keys: tuple[str, ...], measures: list[Measure], names: dict[str, str], steps: Steps) -> DataFrame:
     """(keys, t, one column a measure) of each snapshot, that is each day of a key that occurs offline: nothing there
     gives 0, a missing value gives null."""
-    days, number = by_day(events, keys, measures)
+    days, number = by_day(events, keys, measures, steps)
     needed = {"known": f"sum(offline) OVER (PARTITION BY {', '.join(keys)}) > 0"}
+    over_days = {"n": "sum", "z": "sum", **{k: f for k, (_, f) in steps.parts().items()}}
 
     def part(letter: str, m: Measure) -> str:
-        column = f"{letter}{number[m.kinds, m.man200, m.value]}"
+        column = f"{letter}{number[m.kinds, m.filters, m.value]}"
         name = f"{column}_{m.window}"
         if name not in needed:
-            needed[name] = framed(column, m.window, keys)
+            needed[name] = framed(column, over_days[letter], m.window, keys)
         return name
 
     finals = {}
     for m in measures:
-        n = f"coalesce({part('n', m)}, 0)"
-        if m.aggregate == "count":
+        n, aggregate, value = f"coalesce({part('n', m)}, 0)", steps.by_name[m.aggregate], m.value and steps.by_name[m.value]
+        if not value or m.aggregate == "count":
             finals[names[m.name]] = n
             continue
-        whole = {"min": "{l}", "max": "{h}", "mean": "{s} / {n}"}[m.aggregate].format(n=n, **{x: part(x, m) for x in "lhs"})
-        if m.value == "deltanow":
-            finals[names[m.name]] = f"CASE WHEN {n} = 0 THEN 0D ELSE {whole} - t END"
+        letters = {x: part(x, m) for x in aggregate.parts}
+        whole = aggregate.whole.format(n=n, **letters)
+        if value.relative:
+            finals[names[m.name]] = f"CASE WHEN {n} = 0 THEN 0D ELSE {whole} - {aggregate.shift.format(n=n, **letters)} END"
         else:
             finals[names[m.name]] = f"CASE WHEN {n} = 0 THEN 0D WHEN {part('z', m)} = 0 THEN {whole} END"
     return days.select(*keys, "t", *exprs(needed)).where("known").select(*keys, "t", *exprs(finals))
 
 
-def distinct_counts(events: DataFrame, snapshots: DataFrame, keys: tuple[str, ...], measures: list[Measure], names: dict[str, str]) -> DataFrame:
+def distinct_counts(events: DataFrame, snapshots: DataFrame, keys: tuple[str, ...], measures: list[Measure], names: dict[str, str], steps: Steps) -> DataFrame:
     """snapshots with one more column a measure: how many values occur often enough in the window.
 
     Of a value's events in order, each `least` neighbours are in the window of a range of snapshots; ranges begin and
@@ -117,9 +117,10 @@ def distinct_counts(events: DataFrame, snapshots: DataFrame, keys: tuple[str, ..
     """
     streams: dict[tuple, list[Measure]] = {}
     for m in measures:
-        streams.setdefault((*DISTINCTS[m.distinct], m.kinds), []).append(m)
+        of = steps.by_name[m.distinct]
+        streams.setdefault((of.sql, of.least, chosen(m, steps)), []).append(m)
     most = max(least for _, least, _ in streams)
-    own = ", ".join(f"CASE WHEN {one_of(kinds)} THEN struct({i} AS stream, {least} AS least, coalesce(CAST({a} AS STRING), '{NO_VALUE}') AS value) END" for i, (a, least, kinds) in enumerate(streams))
+    own = ", ".join(f"CASE WHEN {p} THEN struct({i} AS stream, {least} AS least, coalesce(CAST({a} AS STRING), '{NO_VALUE}') AS value) END" for i, (a, least, p) in enumerate(streams))
     rows = events.dropna(subset=list(keys)).select(*keys, "t", F.expr(f"explode(array_compact(array({own}))) AS s"))
     counts = rows.groupBy(*keys, "s.stream", "s.least", "s.value", "t").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.select(*keys, "stream", "least", "value", "t", F.expr("explode(sequence(1, CAST(least(n, least) AS INT))) AS again"))
@@ -148,21 +149,21 @@ def distinct_counts(events: DataFrame, snapshots: DataFrame, keys: tuple[str, ..
 
 
 def evaluate(events: DataFrame, keys: tuple[str, ...], wanted: Features, plain: bool = False) -> DataFrame:
-    """(keys, date, one column a feature), date being the snapshot's day number.
+    """(keys, date, one column a feature in the order of the lines), date being the snapshot's day number.
 
     plain: column names with letters, digits and _ only, instead of the features' own.
     """
     names = {m.name: f"m{i}" for i, m in enumerate(wanted.measures)}
     counted = [m for m in wanted.measures if m.distinct]
-    out = measured(events, keys, [m for m in wanted.measures if not m.distinct], names)
+    out = measured(events, keys, [m for m in wanted.measures if not m.distinct], names, wanted.steps)
     if counted:
-        out = distinct_counts(events, out, keys, counted, names)
-    label = plain_name if plain else str
-    finals = {label(m.name): names[m.name] for m in wanted.measures}
+        out = distinct_counts(events, out, keys, counted, names, wanted.steps)
+    sql = {m.name: names[m.name] for m in wanted.measures}
     for c in wanted.combinations:
         x, y = names[c.left], names[c.right]
-        finals[label(c.name)] = f"CASE WHEN {y} = 0 THEN 0D ELSE {x} / {y} END" if c.operator == "/" else f"{x} - {y}"
-    return out.select(*keys, F.col("t").alias("date"), *exprs(finals))
+        sql[c.name] = f"CASE WHEN {y} = 0 THEN 0D ELSE {x} / {y} END" if c.operator == "/" else f"{x} - {y}"
+    label = plain_name if plain else str
+    return out.select(*keys, F.col("t").alias("date"), *exprs({label(n): sql[n] for n in wanted.names}))
 
 
 def plain_name(name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def _struct(**columns) -> StructType:
@@ -20,6 +20,13 @@ EVENTS = StructType([
     StructField("coupon_id", StringType()), StructField("discount_name", StringType()), StructField("distance", DoubleType()), StructField("click_count", DoubleType()),
 ])
 
+DISCOUNTS = StructType([
+    StructField("discount_name", StringType(), nullable=False), *(StructField(f"is_{k}", BooleanType(), nullable=False) for k in ("xianshi", "dazhe", "manjian")),
+    *(StructField(f"discount_{k}", DoubleType()) for k in ("man", "jian", "rate")),
+])
+
+# fixed values: what an online row tells
+CLICK, BUY, RECEIVE = "0", "1", "2"
 # fixed values: names of the event kinds
 OFFLINE_KINDS = ("offline_receive_coupon", "offline_buy_with_coupon", "offline_buy_without_coupon")
 ONLINE_KINDS = ("online_receive_coupon", "online_buy_with_coupon", "online_buy_without_coupon", "online_click")

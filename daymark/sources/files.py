@@ -1,4 +1,4 @@
-"""CSV and Parquet in and out."""
+"""CSV and Parquet in and out, and tables that a session derives."""
 
 from __future__ import annotations
 
@@ -8,14 +8,29 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schema import RAW_OFFLINE, RAW_ONLINE, RAW_TEST
+from ..schema import DISCOUNTS, EVENTS, RAW_OFFLINE, RAW_ONLINE, RAW_TEST
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A CSV file with a head line, typed, in which only the word null is missing; a bad row fails the read."""
-    return spark.read.csv(path, schema=schema, header=True, nullValue="null", emptyValue="", mode="FAILFAST")
+    """A CSV file with a head line, typed, in which the word null is missing, and an empty field unless it is quoted.
+
+    A bad row fails the read, and so does a head line with other names than the schema's.
+    """
+    return spark.read.csv(path, schema=schema, header=True, nullValue="null", emptyValue="", mode="FAILFAST", enforceSchema=False)
+
+
+def write_typed_csv(df: DataFrame, path: str) -> None:
+    """What read_typed_csv reads: a head line in each file, and the word null for what is missing.
+
+    A text that is the word null itself would come back as missing, so it fails the write.
+    """
+    texts = [c for c, t in df.dtypes if t == "string"]
+    for c in texts:
+        df = df.withColumn(c, F.when(F.col(c) == "null", F.raise_error(F.lit(f"{c}: the text null stands for a missing value"))).otherwise(F.col(c)))
+    df.write.mode("overwrite").csv(path, header=True, nullValue="null", emptyValue='""')
 
 
 def read_offline(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +45,14 @@ def read_test(spark: SparkSession, path: str) -> DataFrame:
     return read_typed_csv(spark, path, RAW_TEST)
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    return read_typed_csv(spark, path, EVENTS)
+
+
+def read_discounts(spark: SparkSession, path: str) -> DataFrame:
+    return read_typed_csv(spark, path, DISCOUNTS)
+
+
 def read_headless_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """A CSV file without a head line; columns is a DDL string."""
     return spark.read.csv(path, schema=columns, header=False)
@@ -53,6 +76,11 @@ def write_json(value, path: str) -> None:
         json.dump(value, f, ensure_ascii=False, indent=1)
 
 
+def read_json(path: str):
+    with open(path) as f:
+        return json.load(f)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one stands in only where all of them are one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -64,18 +92,70 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-_STORED: dict = {}
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, for the few calls that Spark has none for."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def state_of(spark: SparkSession, folder: str, tables: tuple[str, ...]) -> tuple:
+    """Names, sizes and times of change of the files of a folder's tables."""
+    out = []
+    for t in tables:
+        system, path = _place(spark, f"{folder}/{t}.parquet")
+        files = system.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder that goes with the session."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    system, own = _place(spark, path)
+    system.mkdirs(own)
+    system.deleteOnExit(own)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    system, own = _place(spark, path)
+    system.delete(own, True)
+
+
+#: By session, folder and name: the state of the inputs, and where the files are.
+_STORED: dict[tuple, tuple[tuple, str]] = {}
+
+
+def stored_at(spark: SparkSession, folder: str, name: str, write: Callable[[str], object], inputs: tuple[str, ...] = ()) -> str:
+    """Where files derived from a folder's tables are: `write` puts them into the shared folder on first use.
+
+    They are written again where files of the inputs have changed or they are gone, and go with the session.
+    """
+    key, state = (spark.sparkContext.applicationId, folder, name), state_of(spark, folder, inputs)
+    if key in _STORED:
+        old, path = _STORED[key]
+        system, own = _place(spark, path)
+        if old == state and system.exists(own):
+            return path
+        removed(spark, path)
+    path = session_folder(spark, name)
+    write(path)
+    _STORED[key] = state, path
+    return path
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], inputs: tuple[str, ...] = ()) -> DataFrame:
+    """A table derived from a folder's tables: computed once as long as the inputs stay, and read from the shared folder."""
+    return spark.read.parquet(stored_at(spark, folder, name, lambda path: build().write.mode("overwrite").parquet(path), inputs))
 
 
-def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from a folder's tables: written once a session to the shared folder, and read from there after."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STORED:
-        df, path = build(), f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
-        _STORED[key] = path, df.schema
-    path, schema = _STORED[key]
-    return spark.read.schema(schema).parquet(path)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, the same at each read, read again after a lost executor."""
+    path = session_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def as_views(**frames: DataFrame) -> None:

@@ -40,7 +40,7 @@ def test_wrong_texts(text, said):
 
 def test_comments_and_order():
     own = parse("# all\n recent(offline.count - online.count) # late\n\nrecent.offline.count\nrecent.online.count")
-    assert own.names == ["recent.offline.count", "recent.online.count", "recent(offline.count-online.count)"]
+    assert own.names == ["recent(offline.count-online.count)", "recent.offline.count", "recent.online.count"]
 
 
 def test_windows_are_clipped(spark):
