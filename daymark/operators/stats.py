@@ -113,12 +113,17 @@ def click_spread(df: DataFrame) -> DataFrame:
     return df.where("user_id is not null").groupBy("user_id").agg(*six("count", "click_count", ("max", "median")))
 
 
-def most_active(df: DataFrame, column: str) -> DataFrame:
-    """(user_id, is_active): whether a user is in the first fifth by last day, later ones first, ties by user_id.
+def first_fifth(last: DataFrame, day: str) -> DataFrame:
+    """(user_id, is_active): whether a user is in the first fifth by a day, later ones first, none last, ties by user_id.
 
     Users get their places from ranges of the order, so no task sees all of them, nor all of one day.
     """
-    last = df.where("user_id is not null").groupBy("user_id").agg(F.max(column).alias("last_day"))
-    own = placed(last, [F.col("last_day").desc_nulls_last(), F.col("user_id")])
+    own = placed(last.select("user_id", day), [F.col(day).desc_nulls_last(), F.col("user_id")])
     quota = own.agg(F.floor(F.count(F.lit(1)) * ACTIVE_SHARE).alias("quota"))
+    # one row
     return own.crossJoin(F.broadcast(quota)).select("user_id", (F.col("place") <= F.col("quota")).alias("is_active"))
+
+
+def most_active(df: DataFrame, column: str) -> DataFrame:
+    """first_fifth of the users by their last day."""
+    return first_fifth(df.where("user_id is not null").groupBy("user_id").agg(F.max(column).alias("last_day")), "last_day")

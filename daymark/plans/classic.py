@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..operators.shaping import bought_without, filled_by_type, prefixed, received_coupons, used_coupons
 from ..schema import NO_DISTANCE
+from ..sources.files import kept
 
 
 def named(df: DataFrame, key: str, prefix: str) -> DataFrame:
     return prefixed(df, prefix, (key,))
 
 
+def of_users(rows: DataFrame, rest: list[Column], spreads: list[DataFrame], prefix: str, days: tuple[str, ...]) -> DataFrame:
+    """Statistics of users: the given columns and the last days in one aggregation, which is written, as it is read for
+    each day's first fifth as well; how rows spread over other keys; and whether a user is active by each day."""
+    own = kept(stats.by_group(rows, "user_id", [*rest, *(F.max(d).alias(f"last_{d}") for d in days)]), "users")
+    parts = [own.drop(*(f"last_{d}" for d in days)), *spreads]
+    active = [named(stats.first_fifth(own, f"last_{d}"), "user_id", f"{prefix}_{d}") for d in days]
+    return stats.aligned([named(stats.aligned(parts, "user_id"), "user_id", prefix), *active], "user_id")
+
+
 def user_coupons(rows: DataFrame, prefix: str, with_distance: bool) -> DataFrame:
-    """Three inputs: how rows spread over coupons and over merchants, and everything else in one aggregation."""
+    """Three scans: how rows spread over coupons and over merchants, and everything else in one aggregation."""
     rest = [*stats.discount_columns(rows), *stats.hold_columns(), *stats.date_columns("date_received"), *stats.date_columns("date"), *(stats.six("distance", "distance") if with_distance else [])]
-    parts = [stats.coupons(rows, "user_id"), stats.by_group(rows, "user_id", rest), stats.to_merchants(rows)]
-    return named(stats.aligned(parts, "user_id"), "user_id", prefix)
+    return of_users(rows, rest, [stats.coupons(rows, "user_id"), stats.to_merchants(rows)], prefix, ("date", "date_received"))
 
 
 def user_clicks(clicks: DataFrame, prefix: str) -> DataFrame:
     rest = [*stats.six("count", "click_count", ("max", "median")), *stats.date_columns("date")]
-    return named(stats.aligned([stats.by_group(clicks, "user_id", rest), stats.to_merchants(clicks)], "user_id"), "user_id", prefix)
-
-
-def active_users(rows: DataFrame, prefix: str) -> DataFrame:
-    parts = [named(stats.most_active(rows, c), "user_id", f"{prefix}_{c}") for c in ("date", "date_received") if c in rows.columns]
-    return stats.aligned(parts, "user_id")
+    return of_users(clicks, rest, [stats.to_merchants(clicks)], prefix, ("date",))
 
 
 def user_features(offline: DataFrame, clicks: DataFrame, online_coupon: DataFrame) -> DataFrame:
     offline = offline.na.fill({"distance": NO_DISTANCE})
-    return stats.aligned([
-        user_coupons(offline, "user_offline", True), active_users(offline, "user_offline"),
-        user_clicks(clicks, "user_online_click"), active_users(clicks, "user_online_click"),
-        user_coupons(online_coupon, "user_online_coupon", False), active_users(online_coupon, "user_online_coupon"),
-    ], "user_id")
+    return stats.aligned([user_coupons(offline, "user_offline", True), user_clicks(clicks, "user_online_click"), user_coupons(online_coupon, "user_online_coupon", False)], "user_id")
 
 
 def merchant_features(offline: DataFrame) -> DataFrame:

@@ -235,6 +235,23 @@ def lda_sql() -> str:
     return sql(f"SELECT user_id, coupon_id, label, {shown} AS ld FROM inputs, s5", ", ".join((INPUT_ROWS, *steps)))
 
 
+def selector_sql() -> str:
+    """Levels of merchants by hand: below the mean less a deviation in a cluster, then by the scores of all."""
+    scores = "CAST(merchant_id % 4 AS VARCHAR) AS cluster, concat('f', merchant_id) AS feature, avg(discount_rate) AS s0, avg(user_id % 7) AS s1, avg((coupon_id IS NOT NULL)::INT) AS s2, avg(discount_man) AS s3, avg((date IS NOT NULL)::INT) AS s4, count(*)::DOUBLE AS s5"
+    six = range(6)
+    low = " OR ".join(f"s{i} < avg(s{i}) OVER c - stddev_samp(s{i}) OVER c" for i in six)
+
+    def judged(table: str, sign: str, known: str) -> str:
+        edge = lambda i, k: f"avg(s{i}) OVER () {'-' if sign == '<' else '+'} {k} * stddev_samp(s{i}) OVER ()"
+        good, bad = f"coalesce(s0 {sign} {edge(0, 0)}, false)", " OR ".join(f"coalesce(s{i} {sign} {edge(i, 1)}, false)" for i in six[1:])
+        return f"SELECT feature, CASE WHEN good THEN 'good' WHEN bad THEN 'bad' ELSE 'other' END AS level FROM {known} FULL JOIN (SELECT feature, {good} AS good, {bad} AS bad FROM {table}) USING (feature) WHERE good OR bad OR feature IN (SELECT feature FROM {known})"
+
+    more = f"""clusters AS (SELECT {scores} FROM offline GROUP BY merchant_id), later AS (SELECT {scores} FROM online_coupon GROUP BY merchant_id),
+ chosen AS (SELECT feature FROM clusters QUALIFY {low} WINDOW c AS (PARTITION BY cluster)), base AS (SELECT * FROM later WHERE feature IN (SELECT feature FROM chosen)), added AS (SELECT * FROM later WHERE feature NOT IN (SELECT feature FROM chosen))"""
+    more = more.replace(f"QUALIFY {low} WINDOW c AS (PARTITION BY cluster)", "WINDOW c AS (PARTITION BY cluster) QUALIFY " + low)
+    return sql(f"{judged('base', '<', 'chosen')} UNION {judged('added', '>', '(SELECT feature FROM clusters)')}", more)
+
+
 def registered_sql() -> str:
     """The registered steps by hand: windows as days, kinds as names."""
     inside = lambda a, b: f"e.t BETWEEN least(greatest(s.t - {a}, 0), 365) AND least(greatest(s.t - {b}, 0), 365)"
@@ -290,6 +307,7 @@ def oracle_sql() -> dict[str, str]:
         "lookup_user": sql("SELECT CAST(place AS INT) AS place, c AS column_name, v AS value FROM (SELECT *, row_number() OVER (ORDER BY date, event_type, merchant_id NULLS FIRST, coupon_id NULLS FIRST, distance NULLS FIRST) AS place FROM log WHERE user_id = 7), LATERAL (VALUES ('user_id', CAST(user_id AS VARCHAR)), ('date', CAST(date AS VARCHAR)), ('event_type', event_type), ('merchant_id', CAST(merchant_id AS VARCHAR)), ('coupon_id', coupon_id), ('distance', CAST(distance AS VARCHAR))) t(c, v)"),
         "lookup_counts": sql("SELECT event_type, count(*) AS n FROM log WHERE merchant_id = 1 GROUP BY ALL"),
         "op_registered": registered_sql(),
+        "selector": selector_sql(),
         "rolling3_median": sql("SELECT merchant_id, date, n, CAST(r AS BIGINT) AS rolling FROM (SELECT *, median(n) OVER w AS r, count(*) OVER w AS c FROM (SELECT merchant_id, date, count(*) AS n FROM log GROUP BY ALL) WINDOW w AS (PARTITION BY merchant_id ORDER BY date ROWS 2 PRECEDING)) WHERE c = 3"),
         "longest_gaps_by_function": sql("SELECT merchant_id, count(*) AS n, CAST(max(gap) AS INT) AS longest FROM (SELECT merchant_id, date - lag(date) OVER (PARTITION BY merchant_id ORDER BY date) AS gap FROM log WHERE event_type = 'offline_receive_coupon') GROUP BY ALL"),
         "pca2": pca_sql(scale=False, whiten=True),

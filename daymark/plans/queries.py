@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import learning, reports, shaping, stats
+from ..operators import learning, reports, selection, shaping, stats
 from ..operators.partitions import by_key
 from ..operators.ranking import placed
 from ..schema import EVENTS, Split
 from ..sources import files
-from ..sources.files import as_views, read_table, shared_folder, stored
+from ..sources.files import as_views, read_table, session_folder, stored, stored_by
 from ..sources.orders import order_lines
 from . import classic, merging
 from .definitions import KEYS, features
@@ -61,6 +60,16 @@ class Log:
         """The event log with day numbers and discount fields."""
         return stored(self.spark, self.folder, "events", lambda: prepared(shaping.event_log(self.offline, self.online_coupon, self.clicks)), INPUTS)
 
+    @property
+    def by_user(self) -> DataFrame:
+        """The same log in buckets by user. No user has a large part of all events; a merchant or a coupon may, so their
+        events are put together by day before they are shuffled instead."""
+        return stored_by(self.spark, self.folder, "events", lambda: self.prepared, INPUTS, "user_id", "t")
+
+    def of(self, keys: tuple[str, ...]) -> DataFrame:
+        """The log in the layout that suits features of keys."""
+        return self.by_user if "user_id" in keys else self.prepared
+
     @property
     def events(self) -> DataFrame:
         return self.prepared.select(*EVENTS.names)
@@ -93,7 +102,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def entity(name: str, only=None) -> Callable:
-    return lambda spark, folder: rounded(entity_features(Log(spark, folder).prepared, name, plain=True, only=only))
+    return lambda spark, folder: rounded(entity_features(Log(spark, folder).of(KEYS[name]), name, plain=True, only=only))
 
 
 def window_query(name: str) -> Callable:
@@ -134,12 +143,12 @@ recent.offline_receive_coupon.deltanow.sum
 
 def registered(spark, folder):
     """Features whose steps aren't the library's, by user."""
-    return rounded(evaluate(Log(spark, folder).prepared, ("user_id",), parse(OWN_TEXT, OWN_STEPS), plain=True))
+    return rounded(evaluate(Log(spark, folder).by_user, ("user_id",), parse(OWN_TEXT, OWN_STEPS), plain=True))
 
 
 def operator_query(name: str) -> Callable:
     key, text = OPERATORS[name]
-    return lambda spark, folder: rounded(evaluate(Log(spark, folder).prepared, (key,), parse(text), plain=True))
+    return lambda spark, folder: rounded(evaluate(Log(spark, folder).of((key,)), (key,), parse(text), plain=True))
 
 
 def merged_rows(spark, folder) -> DataFrame:
@@ -172,7 +181,7 @@ def held_out(spark, folder):
 
 def submit(spark, folder):
     """Trains with early stopping, saves the model, and foretells the test rows with the loaded model."""
-    data, path = dataset_of(spark, folder), f"{shared_folder(spark)}/model-{uuid.uuid4().hex[:12]}"
+    data, path = dataset_of(spark, folder), session_folder(spark, "model")
     learning.save_model(learning.train_trees(data.train, data.inputs, rounds=5, depth=4, validate=data.validate), path)
     return learning.submission(learning.predict(learning.load_model(path), data.test, data.inputs))
 
@@ -200,6 +209,21 @@ def learning_rows(spark, folder) -> tuple[DataFrame, list[str]]:
     return rows.na.fill(0, inputs), inputs
 
 
+def made_scores(rows: DataFrame) -> DataFrame:
+    """A score table with merchants as features: six shares and means of each."""
+    made = (F.avg(F.col("discount_rate")), F.avg(F.col("user_id") % 7), F.avg(F.col("coupon_id").isNotNull().cast("double")), F.avg(F.col("discount_man")), F.avg(F.col("date").isNotNull().cast("double")), F.count(F.lit(1)).cast("double"))
+    own = rows.groupBy("merchant_id").agg(*(m.alias(c) for m, c in zip(made, selection.SCORES, strict=True)))
+    return own.select((F.col("merchant_id") % 4).cast("string").alias("cluster"), F.concat(F.lit("f"), F.col("merchant_id").cast("string")).alias("feature"), *selection.SCORES)
+
+
+def selector(spark, folder):
+    """Levels from given scores: merchants offline as clusters, those chosen and the others by their online rows."""
+    log = Log(spark, folder)
+    clusters, later = made_scores(log.offline), made_scores(log.online_coupon)
+    chosen = selection.cluster_choice(clusters)
+    return selection.feature_levels(later.join(chosen, "feature", "left_semi"), later.join(chosen, "feature", "left_anti"), chosen, clusters.select("feature"))
+
+
 def gbt_score(spark, folder):
     rows, inputs = learning_rows(spark, folder)
     train, check = learning.hold_out(rows, 0.2, "user_id", "coupon_id", "date_received")
@@ -413,6 +437,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_group_auc": q(lambda g: reports.mean_group_auc(scored_rows(g), "label", "prob", "merchant_id")),
     "error_slices": q(lambda g: scored_rows(g).where((F.col("prob") > 0.8) & ~F.col("label")).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("n"))),
     "feature_selection_sigma": q(lambda g: learning.by_deviation(reports.counts_of(g.offline, "merchant_id"), "n")),
+    "selector": selector,
     "gbt_score": gbt_score,
     "held_out": held_out,
     "submit": submit,

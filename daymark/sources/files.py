@@ -151,6 +151,23 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return spark.read.parquet(stored_at(spark, folder, name, lambda path: build().write.mode("overwrite").parquet(path), inputs))
 
 
+def stored_by(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], inputs: tuple[str, ...], key: str, order: str) -> DataFrame:
+    """The same, dealt into as many buckets by a key as a shuffle has partitions, each in the order of key and order.
+
+    What groups, joins or looks around by the key, or by it and more, then reads a bucket a task and shuffles nothing.
+    A bucket is one task's, so this is for keys none of which has a large part of the rows.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(path: str) -> None:
+        build().repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key).sortBy(key, order).saveAsTable(table(path))
+
+    def table(path: str) -> str:
+        return "daymark_" + "".join(c if c.isalnum() else "_" for c in path.rpartition("/")[2])
+
+    return spark.table(table(stored_at(spark, folder, f"{name}_by_{key}", write, inputs)))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, the same at each read, read again after a lost executor."""
     path = session_folder(df.sparkSession, name)

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from daymark.functions.scalars import with_discount_fields
 from daymark.operators import learning, ranking, reports, shaping
 from daymark.operators.partitions import by_key, streamed
+from daymark.plans import classic
 from daymark.plans.language import STEPS, WINDOWS, Aggregate, Distinct, Filter, Value, parse
 from daymark.plans.queries import Log
-from daymark.plans.snapshots import evaluate, plain_name
+from daymark.plans.snapshots import entity_features, evaluate, plain_name
 from daymark.sources import files
 
 SMALL = "/root/testdata/sf0.001"
@@ -256,3 +257,17 @@ def test_moments_against_numpy(spark):
     with pytest.raises(ValueError, match="both classes"):
         learning.discriminant(df.where("label"), names, "label")
     assert learning.components(df.limit(0), names).count() == 0
+
+
+def test_features_of_users_read_buckets(spark):
+    """The log in buckets by user: what is read isn't shuffled, only the rows by user and day are, once."""
+    plan = entity_features(Log(spark, SMALL).by_user, "user", plain=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == plan.count("FileScan") and plan.count("Exchange") <= 1
+    assert Log(spark, SMALL).by_user.count() == Log(spark, SMALL).prepared.count()
+
+
+def test_bundles_of_users_scan_each_source_three_times_at_most(spark):
+    log = Log(spark, SMALL)
+    plan = classic.user_features(log.offline, log.clicks, log.online_coupon)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "online" in x]
+    assert len(scans) <= 8 and "hashpartitioning(last" not in plan

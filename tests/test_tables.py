@@ -115,27 +115,44 @@ def test_training_stops_is_saved_and_submits(spark, tmp_path):
     assert learning.importance(again, data.inputs)[0][0] == "x"
 
 
+FEW = {"rounds": 1, "depth": 1, "feature_share": "all"}
+
+
 def test_selection_by_scores(spark, tmp_path):
-    data = learning.dataset(labelled_rows(spark, 120), labelled_rows(spark, 40), inputs=["x", "y"], share=0.3)
-    few = {"rounds": 1, "depth": 1, "feature_share": "all"}
-    without = selection.score_without(spark, data, {"1": ["x", "y"]}, f"{tmp_path}/without", **few)
+    data = selection.stored_data(learning.dataset(labelled_rows(spark, 120), labelled_rows(spark, 40), inputs=["x", "y"], share=0.3))
+    plan = selection.without_each({"1": ["x", "y"]})
+    without = selection.run_plan(data, plan[:1], f"{tmp_path}/without", **FEW)
+    assert [r.feature for r in without.collect()] == ["x"]
+    without = selection.run_plan(data, plan, f"{tmp_path}/without", pool=2, **FEW)
     by = {r.feature: r for r in without.collect()}
-    assert by["y"].validate_auc == 1.0 > by["x"].validate_auc
-    assert selection.score_without(spark, data, {"1": ["x", "y"]}, f"{tmp_path}/without", **few).count() == 2
-    added = selection.score_with(spark, data, "other", ["y"], ["x"], f"{tmp_path}/with", **few)
+    assert len(by) == 2 and by["y"].validate_auc == 1.0 > by["x"].validate_auc
+    files_ = sorted((tmp_path / "without").glob("part-*"))
+    assert selection.run_plan(data, plan, f"{tmp_path}/without", **FEW).count() == 2
+    assert [f for f in sorted((tmp_path / "without").glob("part-*")) if f not in files_ and f.stat().st_size > 2000] == []
+    added = selection.run_plan(data, selection.with_each("other", ["y"], ["x", "y"]), f"{tmp_path}/with", **FEW)
     assert [(r.feature, r.test_auc) for r in added.collect()] == [("x", 1.0)]
 
 
+def test_selector_from_data_to_levels(spark, tmp_path):
+    data = learning.dataset(labelled_rows(spark, 120), labelled_rows(spark, 40), inputs=["x", "y", "flag"], share=0.3)
+    found = selection.select_features(data, {"1": ["x", "y", "flag"]}, str(tmp_path), pool=3, **FEW)
+    by = selection.save_levels(found, f"{tmp_path}/levels.json")
+    assert set(by["good"] + by["bad"] + by["other"]) == {"x", "y", "flag"} and files.read_json(f"{tmp_path}/levels.json") == by
+    assert {r.feature for r in selection.cluster_choice(selection.read_scores(spark, f"{tmp_path}/clusters")).collect()} == {"x"}
+
+
 def test_levels_of_features(spark):
     def table(rows):
         return spark.createDataFrame([("1", f, *map(float, s)) for f, s in rows.items()], selection.COLUMNS)
 
+    names = lambda own: spark.createDataFrame([(f,) for f in own], "feature string")
+    said = lambda df: {k: sorted(r.feature for r in df.collect() if r.level == k) for k in ("good", "bad", "other")}
     flat = [5, 5, 5, 5, 5]
     without = table({"a": [1, *flat], "b": [9, 0, 5, 5, 5, 5], "c": [9, *flat], "d": [9, *flat]})
-    assert selection.cluster_choice(without) == {"a", "b"}
-    assert selection.levels(without, "low", set("abcd")) == {"good": {"a"}, "bad": {"b"}, "other": {"c", "d"}}
+    assert {r.feature for r in selection.cluster_choice(without).collect()} == {"a", "b"}
+    assert said(selection.levels(without, "low", names("abcd"))) == {"good": ["a"], "bad": ["b"], "other": ["c", "d"]}
     added = table({"e": [9, *flat], "f": [1, 5, 5, 9, 5, 5], "g": [1, *flat], "h": [1, *flat]})
-    assert selection.feature_levels(without, added, set("abcd"), set("abcdefgh")) == {"good": ["a", "e"], "bad": ["b", "f"], "other": ["a", "b", "c", "d", "g", "h"]}
+    assert said(selection.feature_levels(without, added, names("abcd"), names("abcdefgh"))) == {"good": ["a", "e"], "bad": ["b", "f"], "other": ["a", "b", "c", "d", "g", "h"]}
 
 
 def test_parts_and_stream(spark, tmp_path):
@@ -148,7 +165,7 @@ def test_parts_and_stream(spark, tmp_path):
     assert {(r.day, r.n) for r in spark.table("daily").collect()} == {(dt.date(2016, 1, 1), 2), (dt.date(2016, 1, 9), 1)}
 
 
-@pytest.mark.parametrize("name", ["recent_conversion", "events_union", "discount_stats", "top20_active", "feat_user_coupon", "auc_global", "id_coverage", "hash_partition", "held_out", "big_merchant_split", "raw_offline", "raw_online_coupon", "raw_clicks", "raw_test", "events_csv", "discounts_csv", "profile_table", "profile_events", "merchant_places", "sample_receipts", "longest_gaps_by_function", "rolling3_median", "op_registered", "pca2", "scaled_pca", "lda1"])
+@pytest.mark.parametrize("name", ["recent_conversion", "events_union", "discount_stats", "top20_active", "feat_user_coupon", "auc_global", "id_coverage", "hash_partition", "held_out", "big_merchant_split", "raw_offline", "raw_online_coupon", "raw_clicks", "raw_test", "events_csv", "discounts_csv", "profile_table", "profile_events", "merchant_places", "sample_receipts", "longest_gaps_by_function", "rolling3_median", "op_registered", "pca2", "scaled_pca", "lda1", "selector"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
