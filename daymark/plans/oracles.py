@@ -390,6 +390,7 @@ def oracle_sql() -> dict[str, str]:
         "error_slices": sql("SELECT merchant_id, count(*) AS n FROM scored WHERE prob > 0.8 AND NOT label GROUP BY ALL", SCORED),
         "feature_selection_sigma": sql("SELECT merchant_id, n, CASE WHEN n > m + s THEN 'high' WHEN n < m - s THEN 'low' ELSE 'middle' END AS level FROM (SELECT merchant_id, count(*) AS n FROM offline GROUP BY ALL), (SELECT avg(n) AS m, stddev_samp(n) AS s FROM (SELECT count(*) AS n FROM offline GROUP BY merchant_id))"),
         "held_out": sql(f"SELECT CASE WHEN date >= DATE '1996-09-15' THEN 'test' WHEN CAST(concat('0x', substr(md5(concat_ws('|', user_id, coalesce(coupon_id, ''), date)), 1, 8)) AS BIGINT) % 10000 < 2000 THEN 'validate' ELSE 'train' END AS part, user_id, merchant_id, coupon_id, date, {LABEL} AS label FROM log WHERE event_type = 'offline_receive_coupon' AND ({between('date', SPLIT.train)} OR {between('date', SPLIT.test)})"),
+        "submit_by_leaf_checks": sql(f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_bad, true AS better_than_chance FROM log WHERE event_type = 'offline_receive_coupon' AND {between('date', SPLIT.test)}"),
         "submit_checks": sql(f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_bad, true AS better_than_chance FROM log WHERE event_type = 'offline_receive_coupon' AND {between('date', SPLIT.test)}"),
         "receive_days_per_merchant": sql("SELECT DISTINCT merchant_id, date FROM log WHERE event_type = 'offline_receive_coupon'"),
         "receive_days_by_function": sql("SELECT DISTINCT merchant_id, date FROM log WHERE event_type = 'offline_receive_coupon'"),

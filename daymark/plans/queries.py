@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import learning, reports, selection, shaping, stats
+from ..operators import boosting, learning, reports, selection, shaping, stats
 from ..operators.partitions import by_key
 from ..operators.ranking import placed
 from ..schema import EVENTS, Split
 from ..sources import files
-from ..sources.files import as_views, read_table, session_folder, stored, stored_by
+from ..sources.files import as_views, kept, read_table, session_folder, stored, stored_by
 from ..sources.orders import order_lines
 from . import classic, merging
 from .definitions import KEYS, features
@@ -187,8 +187,20 @@ def submit(spark, folder):
 
 
 def submit_checks(spark, folder):
+    return checks_of(submit(spark, folder))
+
+
+def submit_by_leaf(spark, folder):
+    """The same with trees that grow by leaf: 16 leaves of depth 8 at most, a fifth of the inputs each."""
+    data, path = dataset_of(spark, folder), session_folder(spark, "model")
+    settings = boosting.Settings(trees=6, leaves=16, depth=8, feature_share=0.2, patience=4)
+    boosting.save(boosting.train(data.train, data.inputs, validate=data.validate, settings=settings), spark, path)
+    return learning.submission(boosting.predict(boosting.load(spark, path), data.test))
+
+
+def checks_of(out: DataFrame) -> DataFrame:
     """(n, n_bad, better_than_chance) of a submission: rows, probabilities out of range, and an AUC over 0.5."""
-    out = submit(spark, folder)
+    out = kept(out, "submission")
     ranges = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob").isNull() | ~F.col("prob").between(0, 1)).alias("n_bad"))
     return ranges.crossJoin(reports.auc(out, "label", "prob").select((F.col("auc") > 0.5).alias("better_than_chance")))
 
@@ -442,6 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "held_out": held_out,
     "submit": submit,
     "submit_checks": submit_checks,
+    "submit_by_leaf_checks": lambda spark, folder: checks_of(submit_by_leaf(spark, folder)),
     "pca2": pca2,
     "scaled_pca": scaled_pca,
     "lda1": lda1,
