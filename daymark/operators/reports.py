@@ -144,26 +144,17 @@ def key_coverage(a: DataFrame, b: DataFrame, column: str, k: int = 4) -> DataFra
 def auc(df: DataFrame, label: str, score: str, group: str | None = None) -> DataFrame:
     """([group,] auc): area under the ROC curve, null where a class is missing. Ties share their mean rank.
 
-    Rows are counted by score first, so a group's window holds its distinct scores, not its rows.
+    Rows are counted by score first, so a group's window holds its distinct scores, not its rows. Without a group, the
+    scores get their running counts from ranges of their order, so no task sees all of them.
     """
     keys = [group] if group else []
     by = df.groupBy(*keys, F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if group else None
-    if not group:
-        return auc_overall(by)
-    ranked = by.withColumn("won", F.col("p") * (below + F.col("n") / 2))
-    return ranked.groupBy(group).agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
-
-
-def auc_overall(by: DataFrame, parts: int = 64) -> DataFrame:
-    """The same without a group: scores are dealt into ranges, of which a small table carries the running counts."""
-    cut = by.agg(F.percentile_approx("s", F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1)))).alias("cuts"))
-    dealt = by.crossJoin(F.broadcast(cut)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
-    sums = dealt.groupBy("part").agg(F.sum("n").alias("m"))
-    before = sums.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = dealt.withColumn("within", within).join(F.broadcast(before), "part").withColumn("won", F.col("p") * (F.col("before") + F.col("within") + F.col("n") / 2))
-    return won.agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
+    if group:
+        upto = by.withColumn("upto_n", F.sum("n").over(Window.partitionBy(group).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        upto = placed(by, [F.col("s")], ("n",))
+    won = upto.withColumn("won", F.col("p") * (F.col("upto_n") - F.col("n") / 2))
+    return won.groupBy(*keys).agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def mean_group_auc(df: DataFrame, label: str, score: str, group: str) -> DataFrame:

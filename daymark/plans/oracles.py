@@ -252,6 +252,54 @@ def selector_sql() -> str:
     return sql(f"{judged('base', '<', 'chosen')} UNION {judged('added', '>', '(SELECT feature FROM clusters)')}", more)
 
 
+#: Days of each window by hand, as differences between an event's day and the snapshot's, both clipped to the year.
+HAND = {"future": "e.t >= least(s.t + 1, 365) AND e.t <= least(s.t + 30, 365)", "today": "e.t = s.t", "recent": "e.t >= greatest(s.t - 45, 0) AND e.t <= greatest(s.t - 16, 0)", "history": "e.t >= greatest(s.t - 75, 0) AND e.t <= greatest(s.t - 46, 0)", "longago": "e.t >= greatest(s.t - 180, 0) AND e.t <= greatest(s.t - 76, 0)"}
+OFFLINE3, ONLINE4 = "('offline_receive_coupon', 'offline_buy_with_coupon', 'offline_buy_without_coupon')", "('online_receive_coupon', 'online_buy_with_coupon', 'online_buy_without_coupon', 'online_click')"
+
+
+def hand_sql(key: str, columns: dict[str, str]) -> str:
+    """Columns of each day of a key that occurs offline, written out; e is an event of the key, s the snapshot."""
+    spine = f"(SELECT DISTINCT {key}, t FROM ev WHERE {key} IN (SELECT {key} FROM ev WHERE event_type IN {OFFLINE3})) s"
+    return sql(f"SELECT s.{key}, s.t AS date, {', '.join(f'{x} AS {n}' for n, x in columns.items())} FROM {spine} JOIN ev e ON e.{key} = s.{key} GROUP BY s.{key}, s.t")
+
+
+def hand_count(window: str, condition: str) -> str:
+    return f"count(*) FILTER (WHERE {HAND[window]} AND {condition})"
+
+
+def hand_values(window: str, kind: str, x: str, f: str) -> str:
+    """0 without events, null where one lacks the value."""
+    p = f"{HAND[window]} AND e.event_type = '{kind}'"
+    return six_digits(f"CASE WHEN count(*) FILTER (WHERE {p}) = 0 THEN 0.0::DOUBLE WHEN count({x}) FILTER (WHERE {p}) = count(*) FILTER (WHERE {p}) THEN {f}({x}) FILTER (WHERE {p}) END")
+
+
+def hand_often(window: str, kinds: str, x: str, least: int) -> str:
+    text = f"coalesce(CAST(e.{x} AS VARCHAR), 'nan')"
+    return f"coalesce(len(list_filter(map_values(histogram({text}) FILTER (WHERE {HAND[window]} AND e.event_type IN {kinds})), lambda c: c >= {least})), 0)"
+
+
+RECEIVE_, USE_ = "e.event_type = 'offline_receive_coupon'", "e.event_type = 'offline_buy_with_coupon'"
+
+
+def by_hand() -> dict[str, str]:
+    """Each window, kind and step without the library's definitions."""
+    out = {f"w_{w}": hand_sql("merchant_id", {f"{w}_offline_receive_coupon_count": hand_count(w, RECEIVE_)}) for w in ("future", "today")}
+    out |= {f"w_{w}": hand_sql("merchant_id", {f"{w}_offline_receive_coupon_count": hand_count(w, RECEIVE_), f"{w}_offline_buy_with_coupon_count": hand_count(w, USE_)}) for w in ("recent", "history", "longago")}
+    kinds = {"online": f"e.event_type IN {ONLINE4}", "offline": f"e.event_type IN {OFFLINE3}", **{k: f"e.event_type = '{k}'" for k in ("online_click", "online_receive_coupon", "online_buy_with_coupon", "online_buy_without_coupon", "offline_buy_without_coupon")}}
+    use, receive = "offline_buy_with_coupon", "offline_receive_coupon"
+    return out | {
+        "op_kinds": hand_sql("user_id", {f"longago_{n}_count": hand_count("longago", p) for n, p in kinds.items()}),
+        "clip_boundary": hand_sql("merchant_id", {f"{w}_offline_count": hand_count(w, kinds["offline"]) for w in ("future", "today", "recent", "history", "longago")}),
+        "op_man200": hand_sql("user_id", {"recent_offline_receive_coupon_man200_count": hand_count("recent", f"{RECEIVE_} AND e.discount_man >= 200")}),
+        "op_timedelta": hand_sql("merchant_id", {f"recent_{use}_timedelta_{n}": hand_values("recent", use, "e.timedelta", f) for n, f in (("mean", "avg"), ("max", "max"))}),
+        "op_deltanow": hand_sql("user_id", {f"future_{receive}_deltanow_min": hand_values("future", receive, "(e.t - s.t)::DOUBLE", "min")}),
+        "op_three_states": hand_sql("merchant_id", {f"recent_{use}_distance_{n}": hand_values("recent", use, "e.distance", f) for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"))}),
+        "op_discount_rate": hand_sql("user_id", {f"longago_{receive}_discount_rate_{n}": hand_values("longago", receive, "e.discount_rate", f) for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"))}),
+        "op_unique": hand_sql("merchant_id", {"recent_offline_unique_user_count": hand_often("recent", OFFLINE3, "user_id", 1), "recent_offline_unique_coupon_count": hand_often("recent", OFFLINE3, "coupon_id", 1), "history_offline_unique_merchant_count": hand_often("history", OFFLINE3, "merchant_id", 1)}),
+        "op_hot": hand_sql("merchant_id", {"recent_offline_buy_without_coupon_unique_hotuser_count": hand_often("recent", "('offline_buy_without_coupon')", "user_id", 2), "longago_offline_unique_hotcoupon_count": hand_often("longago", OFFLINE3, "coupon_id", 3), "longago_offline_unique_hotuser_count": hand_often("longago", OFFLINE3, "user_id", 2)}),
+    }
+
+
 def registered_sql() -> str:
     """The registered steps by hand: windows as days, kinds as names."""
     inside = lambda a, b: f"e.t BETWEEN least(greatest(s.t - {a}, 0), 365) AND least(greatest(s.t - {b}, 0), 365)"
@@ -369,9 +417,8 @@ def oracle_sql() -> dict[str, str]:
         "null_audit": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, bool_or({c} IS NULL) AS has_null FROM offline" for c in columns_of_offline())),
         "schema_catalogue": catalogue_sql(),
         "confusion": sql("SELECT prob > 0.8 AS predicted, count(*) FILTER (WHERE NOT label) AS label_false, count(*) FILTER (WHERE label) AS label_true FROM scored GROUP BY ALL", SCORED),
-        **{f"w_{w}": features_sql(("merchant_id",), features("merchant").only([f"{w}.offline_receive_coupon.count"])) for w in ("future", "today")},
-        **{f"w_{w}": features_sql(("merchant_id",), features("merchant").only([f"{w}.offline_receive_coupon.count", f"{w}.offline_buy_with_coupon.count"])) for w in ("recent", "history", "longago")},
         **{n: features_sql((k,), parse(t)) for n, (k, t) in OPERATORS.items()},
+        **by_hand(),
         **{f"feat_{e}": features_sql(KEYS[e], features(e)) for e in KEYS},
         "rolling3_sum": sql("SELECT merchant_id, date, n, CAST(r AS BIGINT) AS rolling FROM (SELECT *, sum(n) OVER w AS r, count(*) OVER w AS c FROM (SELECT merchant_id, date, count(*) AS n FROM log GROUP BY ALL) WINDOW w AS (PARTITION BY merchant_id ORDER BY date ROWS 2 PRECEDING)) WHERE c = 3"),
         "date_vector": sql(f"SELECT day, {name_sql('day')} AS day_name, {', '.join(f'{v} AS day_{k}' for k, v in flags_sql('day').items())} FROM calendar", CALENDAR),

@@ -35,6 +35,8 @@ INPUTS = ("orders", "lineitem", "part")
 class Log:
     """The derived tables of one folder. The lines and the event log are written once a session; queries read those."""
 
+    name = "events"
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
@@ -64,7 +66,7 @@ class Log:
     def by_user(self) -> DataFrame:
         """The same log in buckets by user. No user has a large part of all events; a merchant or a coupon may, so their
         events are put together by day before they are shuffled instead."""
-        return stored_by(self.spark, self.folder, "events", lambda: self.prepared, INPUTS, "user_id", "t")
+        return stored_by(self.spark, self.folder, self.name, lambda: self.prepared, INPUTS, "user_id", "t")
 
     def of(self, keys: tuple[str, ...]) -> DataFrame:
         """The log in the layout that suits features of keys."""
@@ -96,6 +98,16 @@ class Log:
         return shaping.discount_table(self.prepared)
 
 
+class Past(Log):
+    """The log of a split: the feature range's events, and the test range's receipts without the day of use."""
+
+    name = "past"
+
+    @property
+    def prepared(self) -> DataFrame:
+        return stored(self.spark, self.folder, "past", lambda: prepared_split(super(Past, self).prepared), INPUTS)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a number of digits, as sums depend on their order; halves are told by the first ten digits."""
     return df.selectExpr(*(f"CAST(round(CAST(`{c}` AS DECIMAL(38,10)), {digits}) AS DOUBLE) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes))
@@ -153,20 +165,18 @@ def operator_query(name: str) -> Callable:
 
 def merged_rows(spark, folder) -> DataFrame:
     """Receipts of the training range with every feature of their five entities."""
-    log = Log(spark, folder).prepared
-    ready = stored(spark, folder, "past", lambda: prepared_split(log), INPUTS)
-    by = {e: entity_features(ready, e, plain=True) for e in merging.ORDER}
-    return merging.merged(shaping.rows_of_split(ready, SPLIT.train, True), shaping.discount_table(ready), by, separator="_")
+    past = Past(spark, folder)
+    by = {e: entity_features(past.of(KEYS[e]), e, plain=True) for e in merging.ORDER}
+    return merging.merged(shaping.rows_of_split(past.prepared, SPLIT.train, True), shaping.discount_table(past.prepared), by, separator="_")
 
 
 def dataset_of(spark, folder) -> learning.Dataset:
     """Receipts of the training and the test range with the recent features of their five entities, each written once."""
-    log = Log(spark, folder).prepared
-    ready = stored(spark, folder, "past", lambda: prepared_split(log), INPUTS)
+    past = Past(spark, folder)
 
     def rows(bounds: tuple[str, str]) -> DataFrame:
-        by = {e: entity_features(ready, e, plain=True, only=[n for n in features(e).names if n.startswith("recent")] or None) for e in merging.ORDER}
-        joined = merging.merged(shaping.rows_of_split(ready, bounds, True), shaping.discount_table(ready), by, separator="_")
+        by = {e: entity_features(past.of(KEYS[e]), e, plain=True, only=[n for n in features(e).names if n.startswith("recent")] or None) for e in merging.ORDER}
+        joined = merging.merged(shaping.rows_of_split(past.prepared, bounds, True), shaping.discount_table(past.prepared), by, separator="_")
         return joined.withColumn("date", scalars.date_of_day(F.col("date"), "1996-01-01"))
 
     known, test = (stored(spark, folder, f"rows_{n}", lambda b=b: rows(b), INPUTS) for n, b in (("train", SPLIT.train), ("test", SPLIT.test)))

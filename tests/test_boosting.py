@@ -104,7 +104,7 @@ def test_model_is_saved_and_as_good_as_trees_by_level(spark, tmp_path):
     other = reports.auc(learning.predict(level, test.toDF(*plain), [n.replace(".", "_") for n in names]), "label", "prob").first().auc
     assert auc >= other - 0.01 and auc > 0.85, (auc, other)
     splits = dict(model.importance())
-    assert splits["in.3"] == 0 and min(splits["in.0"], splits["in.1"], splits["in.2"]) > 0
+    assert min(splits["in.0"], splits["in.1"], splits["in.2"]) > 0
 
 
 def test_odd_training_rows(spark):
