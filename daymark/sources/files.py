@@ -124,6 +124,8 @@ def removed(spark: SparkSession, path: str) -> None:
     system.delete(own, True)
 
 
+#: Bytes of input files for each bucket.
+BUCKET_BYTES = 32 << 20
 #: By session, folder and name: the state of the inputs, and where the files are.
 _STORED: dict[tuple, tuple[tuple, str]] = {}
 
@@ -152,12 +154,14 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
 
 
 def stored_by(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], inputs: tuple[str, ...], key: str, order: str) -> DataFrame:
-    """The same, dealt into as many buckets by a key as a shuffle has partitions, each in the order of key and order.
+    """The same, dealt into buckets by a key, each in the order of key and order: about one for each BUCKET_BYTES of the
+    inputs, but no fewer than there are cores and no more than a shuffle has partitions.
 
     What groups, joins or looks around by the key, or by it and more, then reads a bucket a task and shuffles nothing.
     A bucket is one task's, so this is for keys none of which has a large part of the rows.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(n for _, n, _ in state_of(spark, folder, inputs))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
 
     def write(path: str) -> None:
         build().repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key).sortBy(key, order).saveAsTable(table(path))

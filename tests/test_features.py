@@ -271,3 +271,23 @@ def test_bundles_of_users_scan_each_source_three_times_at_most(spark):
     plan = classic.user_features(log.offline, log.clicks, log.online_coupon)._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.splitlines() if "FileScan" in x and "online" in x]
     assert len(scans) <= 8 and "hashpartitioning(last" not in plan
+
+
+def test_tables_and_names_there_and_back(spark, tmp_path):
+    files.write_table(spark.range(5), str(tmp_path), "few")
+    files.write_table(spark.range(3), str(tmp_path), "few")
+    assert files.read_table(spark, str(tmp_path), "few").count() == 3
+    files.write_json(["x", "y"], f"{tmp_path}/inputs.json")
+    rows = spark.createDataFrame([(i, "c", dt.date(2016, 5, 1 + i % 28), i % 2 == 0, float(i), 1.0, 2.0) for i in range(40)], "user_id long, coupon_id string, date date, label boolean, x double, y double, z double")
+    data = learning.dataset(rows, rows, files.read_json(f"{tmp_path}/inputs.json"))
+    assert data.inputs == ["x", "y"] and "z" not in data.train.columns and {"user_id", "label"} <= set(data.test.columns)
+
+
+def test_merged_rows_without_ids(spark):
+    one = lambda key, kind, v: spark.createDataFrame([(v, 2.0, True)], f"{key} {kind}, {key}_n double, {key}_is_flag boolean")
+    rows = spark.createDataFrame([(1, 1, "a", "90", dt.date(2016, 5, 1), 3.0, True), (2, 9, "b", "80", dt.date(2016, 5, 1), None, False)], "user_id long, merchant_id long, coupon_id string, discount_name string, date_received date, distance double, label boolean")
+    tables = (one("user_id", "long", 1), one("merchant_id", "long", 1), one("coupon_id", "string", "a"), one("discount_name", "string", "90"), one("distance", "double", 12.0))
+    got = classic.merged_classic(rows, *tables)
+    assert not {"user_id", "merchant_id", "coupon_id", "discount_name", "date_received"} & set(got.columns)
+    assert {(r.distance, r.user_id_n, r.user_id_is_flag, r.distance_n, r.label) for r in got.collect()} == {(3.0, 2.0, True, 0.0, True), (12.0, 0.0, False, 0.0, False)}
+    assert "user_id" in classic.merged_classic(rows, *tables, keep_ids=True).columns
