@@ -64,8 +64,8 @@ class Log:
 
     @property
     def by_user(self) -> DataFrame:
-        """The same log in buckets by user. No user has a large part of all events; a merchant or a coupon may, so their
-        events are put together by day before they are shuffled instead."""
+        """The same log in buckets by user, unless one user has a large part of all events. Merchants and coupons are few
+        and may have; their events are put together by day before they are shuffled instead."""
         return stored_by(self.spark, self.folder, self.name, lambda: self.prepared, INPUTS, "user_id", "t")
 
     def of(self, keys: tuple[str, ...]) -> DataFrame:

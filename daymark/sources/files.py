@@ -126,6 +126,8 @@ def removed(spark: SparkSession, path: str) -> None:
 
 #: Bytes of input files for each bucket.
 BUCKET_BYTES = 32 << 20
+#: How many buckets' share of the rows one key may have.
+MOST_BUCKETS = 2
 #: By session, folder and name: the state of the inputs, and where the files are.
 _STORED: dict[tuple, tuple[tuple, str]] = {}
 
@@ -158,18 +160,24 @@ def stored_by(spark: SparkSession, folder: str, name: str, build: Callable[[], D
     inputs, but no fewer than there are cores and no more than a shuffle has partitions.
 
     What groups, joins or looks around by the key, or by it and more, then reads a bucket a task and shuffles nothing.
-    A bucket is one task's, so this is for keys none of which has a large part of the rows.
+    A bucket is one task's: where one key has more than MOST_BUCKETS buckets' share of the rows, the table stays as it is.
     """
     size = sum(n for _, n, _ in state_of(spark, folder, inputs))
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
 
     def write(path: str) -> None:
-        build().repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key).sortBy(key, order).saveAsTable(table(path))
+        df = build()
+        rows, most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+        if rows and most > MOST_BUCKETS * rows / n:
+            df.write.mode("overwrite").parquet(path)
+            return
+        df.repartition(n, key).write.mode("overwrite").option("path", path).bucketBy(n, key).sortBy(key, order).saveAsTable(table(path))
 
     def table(path: str) -> str:
         return "daymark_" + "".join(c if c.isalnum() else "_" for c in path.rpartition("/")[2])
 
-    return spark.table(table(stored_at(spark, folder, f"{name}_by_{key}", write, inputs)))
+    path = stored_at(spark, folder, f"{name}_by_{key}", write, inputs)
+    return spark.table(table(path)) if spark.catalog.tableExists(table(path)) else spark.read.parquet(path)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

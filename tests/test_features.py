@@ -291,3 +291,13 @@ def test_merged_rows_without_ids(spark):
     assert not {"user_id", "merchant_id", "coupon_id", "discount_name", "date_received"} & set(got.columns)
     assert {(r.distance, r.user_id_n, r.user_id_is_flag, r.distance_n, r.label) for r in got.collect()} == {(3.0, 2.0, True, 0.0, True), (12.0, 0.0, False, 0.0, False)}
     assert "user_id" in classic.merged_classic(rows, *tables, keep_ids=True).columns
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_key_with_half_of_all_rows_gets_no_bucket(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(files, "MOST_BUCKETS", 1)
+    rows = spark.range(3000).select(F.when((F.col("id") % 2 == 0) & F.lit(hot), F.lit(-1)).otherwise(F.col("id") % 500).alias("k"), "id")
+    for _ in range(2):
+        own = files.stored_by(spark, str(tmp_path), f"rows_{hot}", lambda: rows, (), "k", "id")
+        plan = own.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        assert ("Bucketed: true" in plan) != hot and own.count() == 3000 and ("Exchange" in plan) == hot
