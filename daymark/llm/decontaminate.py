@@ -4,13 +4,15 @@ Texts are lowered (A to Z) and white space runs become one space. Candidates com
 lost: an item is cut into segments, and a passage within the edits allowed has a segment with no more than its share k
 of them. Of s disjoint pieces of GRAM bytes of that segment at least s - k then stand in the passage, on diagonals
 (place in the text less place in the item) at most k apart. Segments take the s = k + SPARE pieces that are rarest in
-the texts at hand; hits of s - k different pieces on diagonals at most k apart make a window, and every window is verified: the least edit distance between the item and a part of it. This stands in for CGK embeddings and
-bit-sampling, whose recall falls with the edits (0.98 at 15 %) and can't reach 1.
+the texts at hand; hits of s - k different pieces on diagonals at most k apart make a window. A piece that occurs again
+and again at small distances, as in a ruler of dashes, is one hit over a range of diagonals, so that a run costs as much
+as a word. Windows that lack more of the item's bytes than it may have edits go; of all others the least edit distance
+between the item and a part of the window is taken. This stands in for CGK embeddings and bit-sampling, which README
+measures.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from itertools import pairwise
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_range, mapped, range_cuts, table
+from .common import mapped, table
 
 GRAM = 4
 #: Pieces of a segment besides the edits it may have: so many must stand on near diagonals.
@@ -33,6 +35,13 @@ TEXTS = 8 << 20
 TABLE_BITS = 20
 #: Segments whose pieces are chosen at once.
 CHOSEN = 512
+#: A piece that occurs again so near is in a run, if it goes on so far.
+GAP, RUN = 8, 24
+#: Hits, and parts of windows, that are held at once.
+HITS = 4 << 20
+PARTS = 1 << 18
+#: Parts of windows whose bytes are counted at once, in cells of so many bytes at least.
+COUNTED, CELL = 4096, 64
 
 
 def normal(text: str | None) -> bytes:
@@ -120,6 +129,38 @@ def many_least_edits(items: list[bytes], texts: list[bytes]) -> np.ndarray:
     return best
 
 
+def merged(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of a group that overlap or touch as one, ordered by group and place."""
+    if not len(low):
+        return group, low, high
+    least = int(low.min())
+    width = int(high.max()) - least + 2
+    start, end = group * width + (low - least), group * width + (high - least)
+    order = np.argsort(start)
+    start, end = start[order], end[order]
+    new = np.flatnonzero(np.append(True, start[1:] > np.maximum.accumulate(end)[:-1]))
+    start, end = start[new], np.maximum.reduceat(end, new)
+    group = start // width
+    return group, start - group * width + least, end - group * width + least
+
+
+def runs_of(places: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the first and last places of runs, in which a slot is again and again at most GAP away, and of the
+    places in no run that is long enough; places rise."""
+    again = np.zeros(len(places), bool)
+    for g in range(1, min(GAP, len(places) - 1) + 1):
+        same = (slots[g:] == slots[:-g]) & (places[g:] - places[:-g] <= GAP)
+        again[g:] |= same
+        again[:-g] |= same
+    order = np.flatnonzero(again)
+    order = order[np.argsort(slots[order], kind="stable")]
+    new = np.flatnonzero((np.diff(slots[order], prepend=-1) != 0) | (np.diff(places[order], prepend=0) > GAP))
+    ends = np.append(new[1:], len(order))[: len(new)]
+    long = places[order[ends - 1]] - places[order[new]] >= RUN
+    again[order] = np.repeat(long, ends - new)
+    return order[new[long]], order[ends[long] - 1], np.flatnonzero(~again)
+
+
 def groups(rows: list, weight):
     """Runs of rows of about 4 BLOCK bytes by weight, at least one row each."""
     held, size = [], 0
@@ -207,59 +248,143 @@ class Items:
         # the number of the piece in its segment is the key's lowest part
         number = np.concatenate([np.empty(0, np.int64), *map(np.arange, self.pieces.tolist())])[order]
         self.piece_bits = int(self.pieces.max()).bit_length()
-        self.key = ((self.segment << (BLOCK + 4 * reach).bit_length()) + reach - self.place << self.piece_bits) + number
+        # a key is the segment, below it the diagonal, and below that the piece; what lies between segments is wider than
+        # any band
+        self.reach, self.bits = reach, (BLOCK + 4 * reach).bit_length()
+        self.key = ((self.segment << self.bits) + reach - self.place << self.piece_bits) + number
+        self.least = self.pieces - self.edits
+        self.needs = np.unique(self.least).tolist()
         distinct, self.first, self.many = np.unique(hashes[order], return_index=True, return_counts=True)
         self.slot = np.full(1 << TABLE_BITS, -1, np.int32)
         self.slot[distinct] = np.arange(len(distinct))
 
-    def windows(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """(text, item, begin, end) of parts of texts that hold every passage within the allowed edits; they may overlap."""
+    def windows(self, texts: list[bytes]) -> np.ndarray:
+        """Rows (text, item, begin, end): parts of texts such that every passage within the allowed edits is whole in one."""
+        none = np.empty((0, 4), np.int64)
         if not len(self.item):
-            return []
+            return none
         data = np.frombuffer((b"\x00" * GRAM).join([*texts, b""]), np.uint8)
-        starts = np.cumsum([0, *(len(t) + GRAM for t in texts)])
+        sizes = np.array([len(t) for t in texts], np.int64)
         if not self.ready:
             self.choose(data[:BLOCK])
-        # a key is the segment, below it the diagonal, and below that the piece; what lies between segments is wider than
-        # any band
-        reach = int((self.end - self.begin + self.edits).max())
-        bits = (BLOCK + 4 * reach).bit_length()
-        least = self.pieces - self.edits
-        out = []
-        for a in range(0, len(data), BLOCK):
-            slots = self.slot[grams(data[a : a + BLOCK + 2 * reach])]
-            at = np.flatnonzero(slots >= 0)
-            slots = slots[at]
-            n = self.many[slots]
-            hit = np.repeat(self.first[slots] - (np.cumsum(n) - n), n)
-            hit += np.arange(len(hit))
-            keys = self.key[hit]
-            keys += np.repeat(at, n) << self.piece_bits
-            keys.sort()
-            good = []
-            for need in np.unique(least).tolist():
-                wide = keys[need - 1 :] - keys[: max(0, len(keys) - need + 1)] >> self.piece_bits
-                i = np.flatnonzero(wide <= self.most_edits)
-                segment = keys[i] >> bits + self.piece_bits
-                i = i[(wide[i] <= self.edits[segment]) & (least[segment] == need)]
-                good.append(i[self.several(keys, i, need, self.edits[keys[i] >> bits + self.piece_bits])])
-            low = np.sort(np.concatenate(good))
-            low = high = keys[low] >> self.piece_bits
-            segment = low >> bits
-            # windows of a segment that begin less than a band apart are one
-            new = np.flatnonzero(np.diff(low, prepend=-1 << 62) > self.edits[segment] + 1)
-            if not len(new):
-                continue
-            low, high, segment = low[new], np.maximum.reduceat(high, new), segment[new]
-            k, own = self.item[segment], a - reach - self.begin[segment] - (segment << bits)
-            low, high = low + own - self.slack[k], high + own + self.lengths[k] + self.slack[k]
-            # a window over a gap counts for the texts on both sides
-            from_, to = np.searchsorted(starts, np.maximum(low, 0), side="right") - 1, np.searchsorted(starts, np.minimum(high, len(data) - 1), side="right") - 1
-            for x, y, i, p, q in zip(from_.tolist(), to.tolist(), k.tolist(), low.tolist(), high.tolist(), strict=True):
-                for t in range(x, min(y, len(texts) - 1) + 1):
-                    p_, q_ = max(0, p - int(starts[t])), min(len(texts[t]), q - int(starts[t]))
-                    if q_ - p_ >= len(self.rows[i][1]) - self.allowed[i]:
-                        out.append((t, i, p_, q_))
+        blocks = (self.near(data, a, min(a + BLOCK, len(data))) for a in range(0, len(data), BLOCK))
+        return np.concatenate([none, *(p for block in blocks for w in block for p in self.parts(data, sizes, *w))])
+
+    def near(self, data: np.ndarray, a: int, b: int):
+        """(item, begin, end) as arrays, of windows that begin about a to b in data; a block of too many hits is halved."""
+        reach, bits = self.reach, self.bits
+        slots = self.slot[grams(data[a : b + 2 * reach])]
+        at = np.flatnonzero(slots >= 0)
+        slots = slots[at]
+        first, last, alone = runs_of(at, slots)
+        if int(self.many[slots[alone]].sum() + self.many[slots[first]].sum()) > HITS and b - a > 4 * reach:
+            yield from self.near(data, a, (a + b) // 2)
+            yield from self.near(data, (a + b) // 2, b)
+            return
+        keys = self.hits(slots[alone], at[alone])
+        runs = self.hits(slots[first], at[first])
+        if len(runs):
+            # what a run is near to is counted by ranges of diagonals
+            widths = np.repeat(at[last] - at[first], self.many[slots[first]])
+            _, low, high = merged(np.zeros(len(first), np.int64), at[first] - reach, at[last] + reach)
+            by = np.zeros(len(alone) + 1, np.int32)
+            np.add.at(by, np.searchsorted(at[alone], low), 1)
+            np.add.at(by, np.searchsorted(at[alone], high, side="right"), -1)
+            by = alone[np.cumsum(by[:-1]) > 0]
+            own = self.beside(runs, widths, self.hits(slots[by], at[by]))
+            wide = self.covered(np.concatenate([runs, own]), np.append(widths, np.zeros(len(own), np.int64)))
+        keys.sort()
+        good = [np.empty(0, np.int64)]
+        for need in self.needs if len(keys) else ():
+            i = keys[need - 1 :] - keys[: max(0, len(keys) - need + 1)] >> self.piece_bits
+            spread, i = i, np.flatnonzero(i <= self.most_edits)
+            segment = keys[i] >> bits + self.piece_bits
+            i = i[(spread[i] <= self.edits[segment]) & (self.least[segment] == need)]
+            good.append(i[self.several(keys, i, need, self.edits[keys[i] >> bits + self.piece_bits])])
+        low = keys[np.sort(np.concatenate(good))] >> self.piece_bits
+        segment, low, high = low >> bits, low, low
+        if len(runs):
+            segment, low, high = (np.concatenate(x) for x in zip((segment, low, high), wide, strict=True))
+        if not len(low):
+            return
+        k, own = self.item[segment], a - reach - self.begin[segment] - (segment << bits)
+        yield merged(k, low + own - self.slack[k], high + own + self.lengths[k] + self.slack[k])
+
+    def hits(self, slots: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys of all pieces of the slots at these places."""
+        n = self.many[slots]
+        hit = np.repeat(self.first[slots] - (np.cumsum(n) - n), n)
+        hit += np.arange(len(hit))
+        keys = self.key[hit]
+        keys += np.repeat(at, n) << self.piece_bits
+        return keys
+
+    def beside(self, runs: np.ndarray, widths: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The keys that a band may hold together with one of the runs."""
+        segment, low = runs >> self.bits + self.piece_bits, (runs >> self.piece_bits) & (1 << self.bits) - 1
+        touched = np.zeros(len(self.item), bool)
+        touched[segment] = True
+        keys = keys[touched[keys >> self.bits + self.piece_bits]]
+        segment, low, high = merged(segment, low - self.edits[segment], low + widths + self.edits[segment])
+        at = keys >> self.piece_bits
+        n = np.searchsorted((segment << self.bits) + low, at, side="right") - 1
+        return keys[(n >= 0) & (at <= ((segment << self.bits) + high)[n])]
+
+    def covered(self, keys: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, low, high) of the ranges of diagonals from each of which on a band has hits of enough different
+        pieces, where a hit is on all diagonals from its key's on, as many more as its width."""
+        segment, low = keys >> self.bits + self.piece_bits, (keys >> self.piece_bits) & (1 << self.bits) - 1
+        # a band from d on meets [low, high] where d is in [low - edits, high]
+        own, low, high = merged((segment << self.piece_bits) + (keys & (1 << self.piece_bits) - 1), low - self.edits[segment], low + widths)
+        base = own >> self.piece_bits << self.bits
+        events = np.sort(np.concatenate([base + low << 1 | 1, base + high + 1 << 1]))
+        many = np.cumsum(((events & 1) << 1) - 1)
+        last = np.flatnonzero(np.append(np.diff(events >> 1) != 0, True))
+        points, many = events[last] >> 1, many[last]
+        enough = np.append(many >= self.least[points >> self.bits], False)
+        begin, end = np.flatnonzero(np.diff(enough, prepend=False) & enough), np.flatnonzero(np.diff(enough) & enough[:-1]) + 1
+        return points[begin] >> self.bits, points[begin], points[end] - 1
+
+    def parts(self, data: np.ndarray, sizes: np.ndarray, k: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """The rows of windows(): windows by text, cut so that parts are about as wide as their items allow, without
+        those that lack too many bytes of the item."""
+        starts = np.cumsum(np.append(0, sizes + GRAM))
+        # a window over a gap counts for the texts on both sides
+        from_ = np.searchsorted(starts, np.maximum(low, 0), side="right") - 1
+        to = np.minimum(np.searchsorted(starts, np.minimum(high, len(data) - 1), side="right") - 1, len(sizes) - 1)
+        n = np.maximum(to - from_ + 1, 0)
+        text = np.repeat(from_ - (np.cumsum(n) - n), n)
+        text += np.arange(len(text))
+        k, low, high = np.repeat(k, n), np.repeat(low, n), np.repeat(high, n)
+        begin, end = np.maximum(0, low - starts[text]), np.minimum(sizes[text], high - starts[text])
+        can = end - begin >= self.lengths[k] - self.slack[k]
+        text, k, begin, end = text[can], k[can], begin[can], end[can]
+        step = self.lengths[k] + self.slack[k]
+        n = np.maximum(0, -(-(end - begin - 2 * step) // step)) + 1
+        for few in np.split(np.arange(len(k)), np.flatnonzero(np.diff(np.cumsum(n) // PARTS)) + 1):
+            m = n[few]
+            row = np.repeat(few, m)
+            from_ = begin[row] + (np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)) * step[row]
+            out = np.stack([text[row], k[row], from_, np.minimum(from_ + 2 * step[row], end[row])], axis=1)
+            # counting pays where parts have more bytes than what they are of
+            yield out[self.may_match(data, starts, out)] if (out[:, 3] - out[:, 2]).sum() > BLOCK else out
+
+    def may_match(self, data: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether a row's part lacks no more of the item's bytes than the item may have edits; a part counts with the
+        whole cells that it touches."""
+        begin, end = starts[rows[:, 0]] + rows[:, 2], starts[rows[:, 0]] + rows[:, 3]
+        base, size = int(begin.min()), int(end.max() - begin.min())
+        cell = max(CELL, size >> 14)
+        sums = np.zeros((-(-size // cell) + 1, 256), np.int32)
+        sums[1:] = np.bincount((np.arange(size) // cell << 8) + data[base : base + size], minlength=len(sums) - 1 << 8).reshape(-1, 256)
+        np.cumsum(sums, axis=0, out=sums)
+        begin, end = (begin - base) // cell, -(-(end - base) // cell)
+        out = np.zeros(len(rows), bool)
+        for a in range(0, len(rows), COUNTED):
+            few = slice(a, a + COUNTED)
+            items, of = np.unique(rows[few, 1], return_inverse=True)
+            wanted = np.stack([np.bincount(np.frombuffer(self.rows[i][1], np.uint8), minlength=256) for i in items.tolist()]).astype(np.int32)[of]
+            out[few] = np.maximum(wanted - (sums[end[few]] - sums[begin[few]]), 0).sum(axis=1) <= self.slack[rows[few, 1]]
         return out
 
     def several(self, keys: np.ndarray, first: np.ndarray, need: int, edits: np.ndarray) -> np.ndarray:
@@ -270,7 +395,8 @@ class Items:
             many = n[few]
             band = np.repeat(np.arange(len(few)), many)
             hit = np.arange(len(band)) + np.repeat(first[few] - (np.cumsum(many) - many), many)
-            found = np.unique((band << self.piece_bits) + (keys[hit] & (1 << self.piece_bits) - 1)) >> self.piece_bits
+            found = np.sort((band << self.piece_bits) + (keys[hit] & (1 << self.piece_bits) - 1))
+            found = found[np.diff(found, prepend=-1) != 0] >> self.piece_bits
             out.append(few[np.bincount(found, minlength=len(few)) >= need])
         return np.concatenate(out)
 
@@ -296,20 +422,25 @@ class Items:
                     edits, start = best_part(self.rows[k][1], t[begin:end])
                     if edits <= self.allowed[k]:
                         best[i, k] = min((edits, begin + start), best.get((i, k), (edits, begin + start)))
-        # long windows are cut so that every passage is whole in a part, and parts are about as wide as their items allow
-        cut = []
-        for i, k, begin, end in joined(self.windows(texts)):
-            step = len(self.rows[k][1]) + self.allowed[k]
-            while end - begin > 2 * step:
-                cut.append((i, k, begin, begin + 2 * step))
-                begin += step
-            cut.append((i, k, begin, end))
-        for few in groups(sorted(cut, key=lambda w: len(self.rows[w[1]][1])), lambda w: w[3] - w[2] + len(self.rows[w[1]][1])):
-            least = many_least_edits([self.rows[k][1] for _, k, _, _ in few], [texts[i][p:q] for i, _, p, q in few])
-            for (i, k, begin, end), e in zip(few, least.tolist(), strict=True):
-                if e <= self.allowed[k]:
-                    edits, start = best_part(self.rows[k][1], texts[i][begin:end])
-                    best[i, k] = min((edits, begin + start), best.get((i, k), (edits, begin + start)))
+        cut = self.windows(texts)
+        pairs, of = np.unique(cut[:, 0] * len(self.rows) + cut[:, 1], return_inverse=True)
+        whole = np.zeros(len(pairs), bool)
+        for n, (i, k) in enumerate(divmod(p, len(self.rows)) for p in pairs.tolist()):
+            if (start := texts[i].find(self.rows[k][1])) >= 0:
+                best[i, k], whole[n] = (0, start), True
+        cut = cut[~whole[of]]
+        least = np.zeros(len(cut), np.int64)
+        weights = (cut[:, 3] - cut[:, 2] + self.lengths[cut[:, 1]]).tolist()
+        for few in groups(np.argsort(self.lengths[cut[:, 1]], kind="stable").tolist(), weights.__getitem__):
+            rows = cut[few].tolist()
+            least[few] = many_least_edits([self.rows[k][1] for _, k, _, _ in rows], [texts[i][p:q] for i, _, p, q in rows])
+        hit = np.flatnonzero(least <= self.slack[cut[:, 1]])
+        hit = hit[np.lexsort((cut[hit, 2], least[hit]))]
+        for (i, k, begin, end), e in zip(cut[hit].tolist(), least[hit].tolist(), strict=True):
+            # parts come by edits and place, and one that begins behind the best place can't better it
+            if (i, k) not in best or (e, begin) < best[i, k]:
+                edits, start = best_part(self.rows[k][1], texts[i][begin:end])
+                best[i, k] = min((edits, begin + start), best.get((i, k), (edits, begin + start)))
         return [(i, k, *v) for (i, k), v in sorted(best.items())]
 
 
@@ -328,12 +459,19 @@ def joined(windows: list[tuple[int, int, int, int]]):
 
 
 def item_chunks(benchmark: DataFrame, item_col: str, item_text: str):
-    """Lists of (item_id, normalised text), each of about ITEM_BYTES at most, so that what a task holds is bounded."""
+    """Lists of (item_id, normalised text), each of about ITEM_BYTES at most, so that what a task holds is bounded; the
+    driver fetches one partition of the ordered items at a time."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    parts = by_range(rows, "item_id", range_cuts(rows, "item_id", math.ceil(total / ITEM_BYTES) or 1))
-    for (part,) in sorted(parts.select("part").distinct().collect()):
-        yield [(r.item_id, normal(r.text)) for r in parts.where(F.col("part") == part).orderBy("item_id", "text").collect()]
+    held, size = [], 0
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        own = normal(r.text)
+        if held and size + len(own) > ITEM_BYTES:
+            yield held
+            held, size = [], 0
+        held.append((r.item_id, own))
+        size += len(own)
+    if held:
+        yield held
 
 
 def searched(items: Items, texts: list[bytes]):
@@ -352,7 +490,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
 
     Items go to the tasks in chunks of ITEM_BYTES, one pass over the documents each. Empty and null texts and items
     match nothing; items of so few bytes that the edits may break all their grams
-    are sought by shorter pieces; rows repeat as documents and items do. No shuffle.
+    are sought by shorter pieces; rows repeat as documents and items do, whose ids may be missing. No shuffle of documents.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, edits int, similarity double, start int"
