@@ -15,6 +15,7 @@ import base64
 import re
 import struct
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -29,22 +30,28 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 1 << 16
 LEAF_BYTES = 16
 LEAF_IDS = 1 << 16
-#: Entries that a memo holds before it starts again.
-MEMO = 500_000
+#: Entries and bytes that a memo holds before it starts again; an entry takes ENTRY bytes besides its key and value.
+MEMO, MEMO_BYTES, ENTRY = 500_000, 128 << 20, 100
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class Memo(dict):
-    """f's results by argument, at most MEMO of them."""
+    """f's results by argument, at most so many of them and so many bytes, so that long arguments don't fill a task."""
 
-    def __init__(self, f, most: int = MEMO):
+    def __init__(self, f, most: int = MEMO, most_bytes: int = MEMO_BYTES):
         super().__init__()
-        self.f, self.most = f, most
+        self.f, self.most, self.most_bytes, self.bytes = f, most, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.f(key)
+        self.bytes += getsizeof(key) + getsizeof(value) + ENTRY
+        if len(self) >= self.most or self.bytes > self.most_bytes:
             self.clear()
-        self[key] = value = self.f(key)
+            self.bytes = getsizeof(key) + getsizeof(value) + ENTRY
+        if self.bytes <= self.most_bytes:
+            self[key] = value
+        else:
+            self.bytes = 0
         return value
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -154,3 +155,24 @@ def test_frames_are_checked_and_read_alone(tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         token_files.Reader(path).frame(0)
     assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest()
+
+
+def test_memo_is_bounded_in_entries_and_bytes():
+    held = byte_bpe.Memo(lambda x: x + x, most=50, most_bytes=20_000)
+    most = 0
+    for i in range(3000):
+        key = f"{i % 70}" * (1 + i % 40)
+        assert held[key] == key + key
+        own = sum(len(k) + len(v) for k, v in held.items())
+        assert len(held) <= 50 and own <= held.bytes <= 20_000
+        most = max(most, own)
+    assert most > 1000
+    assert held["y" * 30_000] == "y" * 60_000 and not held and held["z"] == "zz" and len(held) == 1
+
+
+def test_long_chunks_do_not_fill_a_worker():
+    encoder, rng = byte_bpe.ByteBpe(public_tokenizers.path(byte_bpe.VOCABULARY)), random.Random(3)
+    for _ in range(3000):
+        encoder.chunk["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200))]
+    held = [sum(getsizeof(k) + getsizeof(v) for k, v in m.items()) for m in (encoder.chunk, encoder.piece)]
+    assert all(0 < h <= m.bytes <= byte_bpe.MEMO_BYTES for h, m in zip(held, (encoder.chunk, encoder.piece), strict=True))
