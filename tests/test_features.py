@@ -18,7 +18,7 @@ from daymark.operators import learning, ranking, reports, shaping
 from daymark.operators.partitions import by_key, streamed
 from daymark.plans import classic
 from daymark.plans.language import STEPS, WINDOWS, Aggregate, Distinct, Filter, Value, parse
-from daymark.plans.queries import Log
+from daymark.plans.queries import INPUTS, Log, rounded
 from daymark.plans.snapshots import entity_features, evaluate, plain_name
 from daymark.sources import files
 
@@ -301,3 +301,14 @@ def test_a_key_with_half_of_all_rows_gets_no_bucket(spark, tmp_path, monkeypatch
         own = files.stored_by(spark, str(tmp_path), f"rows_{hot}", lambda: rows, (), "k", "id")
         plan = own.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
         assert ("Bucketed: true" in plan) != hot and own.count() == 3000 and ("Exchange" in plan) == hot
+
+
+@pytest.mark.parametrize("entity", ["merchant"])
+def test_parts_of_features_grow_with_the_files(spark, monkeypatch, entity):
+    size = sum(n for _, n, _ in files.state_of(spark, SMALL, INPUTS))
+    few = Log(spark, SMALL).entity(entity)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(files, "PART_BYTES", -(-size // 11))
+    many = Log(spark, SMALL).entity(entity)
+    assert many.rdd.getNumPartitions() == 11
+    assert rounded(many).exceptAll(rounded(few)).count() == 0

@@ -95,6 +95,18 @@ def test_distinct_counts_by_steps_equal_counts_by_hand(spark):
             assert r[plain_name(n)] == sum(values.count(v) >= least for v in set(values)), (r.merchant_id, r.date, n)
 
 
+def test_parts_are_as_many_as_asked_and_change_no_feature(spark):
+    rng = random.Random(5)
+    # a hot merchant, one with online events alone, rows without merchant
+    rows = [receipt(rng.randrange(366), user=rng.randrange(9), merchant=rng.choice([1, 1, 1, 2, 3, None]), coupon=rng.choice(["a", "b", None]), kind=rng.choice(["offline_receive_coupon", "offline_buy_with_coupon", "online_click"])) for _ in range(400)]
+    own = events(spark, [*rows, receipt(7, merchant=4, kind="online_click")]).cache()
+    for wanted in (features("merchant"), features("merchant").only(["recent.offline_receive_coupon.count"])):
+        plain, dealt = evaluate(own, ("merchant_id",), wanted, plain=True), evaluate(own, ("merchant_id",), wanted, plain=True, parts=13)
+        assert dealt.rdd.getNumPartitions() == 13 and dealt.schema == plain.schema
+        assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect()))
+    own.unpersist()
+
+
 def test_keys_without_offline_events_or_with_nulls(spark):
     rows = events(spark, [receipt(5, user=1, kind="online_click"), receipt(5, user=2), receipt(9, user=2, kind="online_click"), receipt(5, user=3, coupon=None)])
     one = parse("today.offline.count")
