@@ -303,7 +303,7 @@ def test_a_key_with_half_of_all_rows_gets_no_bucket(spark, tmp_path, monkeypatch
         assert ("Bucketed: true" in plan) != hot and own.count() == 3000 and ("Exchange" in plan) == hot
 
 
-@pytest.mark.parametrize("entity", ["merchant"])
+@pytest.mark.parametrize("entity", ["merchant", "coupon"])
 def test_parts_of_features_grow_with_the_files(spark, monkeypatch, entity):
     size = sum(n for _, n, _ in files.state_of(spark, SMALL, INPUTS))
     few = Log(spark, SMALL).entity(entity)
