@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from daymark.functions.scalars import with_discount_fields
 from daymark.operators import learning, ranking, reports, shaping
 from daymark.operators.partitions import by_key, streamed
-from daymark.plans import classic
+from daymark.plans import classic, merging, queries
+from daymark.plans.definitions import KEYS
 from daymark.plans.language import STEPS, WINDOWS, Aggregate, Distinct, Filter, Value, parse
 from daymark.plans.queries import INPUTS, Log, rounded
 from daymark.plans.snapshots import entity_features, evaluate, plain_name
@@ -312,3 +313,26 @@ def test_parts_of_features_grow_with_the_files(spark, monkeypatch, entity):
     many = Log(spark, SMALL).entity(entity)
     assert many.rdd.getNumPartitions() == 11
     assert rounded(many).exceptAll(rounded(few)).count() == 0
+
+
+def test_merges_deal_out_narrow_tables_first_and_keep_the_order_of_columns(spark):
+    d, names = dt.date(1996, 5, 1), {"user": 5, "merchant": 4, "coupon": 3, "user_merchant": 2, "user_coupon": 1}
+    rows = spark.createDataFrame([(1, 2, "a", d, 3.0, "150:20", True), (7, None, "b", d, None, None, False)], "user_id long, merchant_id long, coupon_id string, date date, distance double, discount_name string, label boolean")
+    ids = {"user_id": (1, "long"), "merchant_id": (2, "long"), "coupon_id": ("a", "string")}
+    tables = {e: spark.createDataFrame([(*(ids[k][0] for k in KEYS[e]), 121, *range(n))], f"{', '.join(f'{k} {ids[k][1]}' for k in KEYS[e])}, date int, {', '.join(f'{e[:3]}{len(e)}{i} int' for i in range(n))}") for e, n in names.items()}
+    got = merging.merged(rows, shaping.discount_table(rows), tables, separator="_", parts=3)
+    own = [f"{e}_{e[:3]}{len(e)}{i}" if e != "user_coupon" else f"{e[:3]}{len(e)}{i}" for e, n in names.items() for i in range(n)]
+    assert got.columns[:4] == ["user_id", "coupon_id", "date", "merchant_id"] and got.columns[-17:] == ["date_dayofweek", "date_dayofmonth", *own]
+    first, other = got.orderBy("user_id").collect()
+    assert (first.date, first.date_dayofweek, first.date_dayofmonth, first.discount_man) == (121, 2, 1, 150) and list(first[-15:]) == [i for n in names.values() for i in range(n)] and list(other[-15:]) == [None] * 15
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert ["merchant_id" in x and "user_id" not in x for x in joins[:2]] == [False, True] and "coupon_id" in joins[4] and "user_id" in joins[4]
+
+
+def test_both_ranges_of_a_data_set_are_one_table(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "stored", lambda spark, folder, name, *more: made.append(name) or files.stored(spark, folder, name, *more))
+    data = queries.dataset_of(spark, SMALL)
+    assert [n for n in made if n.startswith("rows")] == ["rows"]
+    months = {n: {r.m for r in getattr(data, n).select(F.month("date").alias("m")).distinct().collect()} for n in ("train", "test")}
+    assert months["train"] <= {5, 6, 7, 8} and months["test"] <= {9, 10} and all(months.values())
