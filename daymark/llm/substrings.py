@@ -37,7 +37,7 @@ BLOCK = 2 << 20
 HELD = 500_000
 #: Contexts of one gram beyond which the gram is split, and of one transform.
 HOT = 4096
-CONTEXTS = 2048
+CONTEXTS = 512
 #: Offsets that stay together in a split gram.
 OFFSETS = 8
 NO_ID = (1 << 63) - 1
@@ -167,47 +167,71 @@ def one_of_each(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[~new][["rid", "pos"]].astype(MARK), rows[new]
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes by their first `depth` symbols (below 512), by doubling."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The order of the suffixes by their first `depth` symbols, and what is known of it after the first sort: its
+    number of symbols; whether each suffix shares fewer with the one before; and where they share one fewer.
+
+    Keys are as many neighbouring symbols as a word holds, then as many neighbouring ranks.
+    """
     n = len(text)
-    own = np.concatenate([text.astype(np.int64), np.zeros(7, np.int64)])
-    key = np.zeros(n, np.int64)
-    for i in range(7):
-        key = key << 9 | own[i : i + n]
-    done = 7
+    code = np.cumsum(np.bincount(text) > 0) - 1
+    bits = max(int(code[-1]).bit_length(), 1)
+    done = min(63 // bits, depth)
+    own = np.concatenate([code[text], np.zeros(done, np.int64)])
+    key = own[:n].copy()
+    for i in range(1, done):
+        key <<= bits
+        key |= own[i : i + n]
+    first = None
     while True:
         order = np.argsort(key)
         ordered = key[order]
+        new = np.ones(n, bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        if first is None:
+            ends = np.flatnonzero(new)[1:]
+            first = new, ends[ordered[ends] >> bits == ordered[ends - 1] >> bits], done
+        ranks = np.cumsum(new)
+        if done >= depth or ranks[-1] == n:
+            return order, *first
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-        if done >= depth or rank[order[-1]] == n:
-            return order
-        key = rank * (n + 1)
-        key[:-done] += rank[done:]
-        done *= 2
+        rank[order] = ranks
+        width = int(ranks[-1]).bit_length()
+        times = min(63 // width, -(-depth // done))
+        key = rank.copy()
+        for i in range(1, times):
+            key <<= width
+            key[: max(n - i * done, 0)] |= rank[i * done :]
+        done *= times
 
 
-def bounded_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix in order shares fewer than `length` symbols with the one before it.
+def bounded_prefixes(text: np.ndarray, order: np.ndarray, apart: np.ndarray, ends: np.ndarray, depth: int, length: int) -> np.ndarray:
+    """Whether each suffix in order shares fewer than `length` symbols with the one before it; apart: fewer than `depth`;
+    ends: where it shares depth - 1.
 
     Intervals of the suffix order that start with a string w are extended backward to those of cw through the
-    transform, breadth first. The first interval of a length l + 1 that ends before a place not yet known tells that
-    the suffixes there share l symbols. Symbol 0 separates texts and is never extended over.
+    transform, breadth first, from the strings of `depth` symbols on. The first interval of a length l + 1 that ends before
+    a place not yet known tells that the suffixes there share l symbols. Symbol 0 separates texts and is never extended over.
     """
     n = len(text)
     before = text[order - 1]  # the transform; the first symbol's is the last, a separator
     back = np.empty(n, np.int64)
     back[np.argsort(before, kind="stable")] = np.arange(n)
-    known = np.zeros(n + 1, bool)
-    known[[0, n]] = True
-    lo, hi = np.array([0]), np.array([n])
+    known = np.append(apart, True)
+    starts = np.flatnonzero(apart)
+    lo, hi = starts[np.searchsorted(starts, ends) - 1], ends
+    gaps = np.concatenate([[0], np.cumsum(text == 0)])
+    whole = gaps[np.minimum(order[lo] + depth, n)] == gaps[order[lo]]
+    lo, hi = lo[whole], hi[whole]
     scratch = np.full(n, -1, np.int64)
-    for _ in range(length):
+    for _ in range(depth, length):
+        if not len(lo):
+            break
         size = hi - lo
         number = np.repeat(np.arange(len(lo)), size)
         at = np.arange(len(number)) - np.repeat(np.cumsum(size) - size, size) + lo[number]
-        symbol = before[at]
-        at, number, symbol = at[symbol > 0], number[symbol > 0], symbol[symbol > 0]
+        symbol = before[at] > 0
+        at, number = at[symbol], number[symbol]
         f = back[at]
         if len(f) > n // 16:
             scratch[f] = number
@@ -221,14 +245,13 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
             break
         # rows of one interval and one symbol are neighbours here, and no others lie between
         new = np.ones(len(f), bool)
-        new[1:] = (number[1:] != number[:-1]) | (f[1:] != f[:-1] + 1) | (text[order[f[1:]]] != text[order[f[:-1]]])
+        symbol = text[order[f]]
+        new[1:] = (number[1:] != number[:-1]) | (f[1:] != f[:-1] + 1) | (symbol[1:] != symbol[:-1])
         begin = np.flatnonzero(new)
         lo, hi = f[begin], f[np.append(begin[1:], len(f)) - 1] + 1
         unknown = ~known[hi]
         lo, hi = lo[unknown], hi[unknown]
         known[hi] = True
-        if not len(lo):
-            break
     return known[:n]
 
 
@@ -237,30 +260,36 @@ def repeated(context: np.ndarray, rid: np.ndarray, pos: np.ndarray, length: int)
 
     context: rows of symbols (0 outside the document, else the byte plus 1); pos: where each row starts in its document.
     """
-    m, width = context.shape
-    text = np.zeros((m, width + 1), np.uint16)
-    text[:, 1:] = context
-    text = np.append(text.reshape(-1), np.uint16(0))
-    order = suffix_order(text, length)
-    apart = bounded_prefixes(text, order, length)
+    own = np.zeros((len(context), context.shape[1] + 1), np.uint16)
+    own[:, 1:] = context
+    counts = own > 0
+    counts[:, 0] = True  # a separator before each row
+    row, offset = np.nonzero(counts)
+    text = np.append(own[counts], np.uint16(0))
+    order, *first = suffix_order(text, length)
+    apart = bounded_prefixes(text, order, *first, length)
     gaps = np.concatenate([[0], np.cumsum(text == 0)])
     fits = order + length <= len(text)
     fits[fits] = gaps[order[fits] + length] == gaps[order[fits]]
     group = np.cumsum(apart)[fits]
     order = order[fits]
-    row, offset = order // (width + 1), order % (width + 1) - 1
-    return later(group, rid[row], pos[row] + offset, length)
+    row, offset = row[order], offset[order] - 1
+    return later(group, rid, row, pos[row] + offset, length)
 
 
-def later(group: np.ndarray, rid: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Spans of the strings that aren't the earliest of their group, those of a document joined where they touch."""
-    turn = np.lexsort((start, rid, group))
-    group, rid, start = group[turn], rid[turn], start[turn]
+def later(group: np.ndarray, rid: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Spans of the strings that aren't the earliest of their group, those of a document joined where they touch. Groups
+    come one after the other; a string starts at a place of a row's document."""
+    if not len(group):
+        return np.empty(0, SPAN)
+    names, number = np.unique(rid, return_inverse=True)
+    place = number[row] << 32 | start
     new = np.ones(len(group), bool)
     new[1:] = group[1:] != group[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(group) else np.empty(0, np.int64)
-    other = (rid != rid[first]) | (start != start[first])
-    return joined_spans(rid[other], start[other], start[other] + length)
+    first = np.minimum.reduceat(place, np.flatnonzero(new))[np.cumsum(new) - 1]
+    place = np.unique(place[place != first])
+    start = place & 0xFFFFFFFF
+    return joined_spans(names[place >> 32], start, start + length)
 
 
 def joined_spans(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -406,7 +435,9 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
         rows = unpacked([unzip.decompress(x) for b in batches for x in b.column("data").to_pylist()], context_type(length))
         rows = rows[np.argsort(rows["key"], kind="stable")]
         for at in blocks(rows["key"], CONTEXTS):
-            own = rows[at]
+            own = shared_part(rows[at], length)
+            if not len(own):
+                continue
             spans = repeated(symbols(own), own["rid"], own["pos"], length)
             if len(spans):
                 part, data = dealt(spans, part_of(spans["rid"]))
@@ -416,6 +447,36 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     return places.where("kind = 1").unionByName(spans), text_rows, cuts
 
 
+def shared_part(rows: np.ndarray, length: int) -> np.ndarray:
+    """Contexts, sorted by key, without what can't be in a string that another context of the key has around its anchor too;
+    those without such a string go.
+
+    In the order of what follows the anchors, the longest beginning that a context shares is shared with a neighbour;
+    and so it is before the anchors.
+    """
+    w = reach(length)
+    left, right = rows["bytes"][:, w - 2 :: -1] if w > 1 else rows["bytes"][:, :0], rows["bytes"][:, w - 1 + GRAM :]
+    number = np.cumsum(np.diff(rows["key"], prepend=rows["key"][:1]) != 0)
+    ends = []
+    for side in (left, right):
+        n = side.shape[1]
+        words = np.zeros((len(rows), -(-max(n, 1) // 8) * 8), np.uint8)
+        words[:, :n] = side
+        words = words.view(">u8").astype(np.uint64)
+        order = np.lexsort((*words.T[::-1], number))
+        same = np.zeros((max(len(rows) - 1, 0), n + 1), bool)
+        same[:, :n] = side[order[1:]] == side[order[:-1]]
+        length_of = np.where(number[order[1:]] == number[order[:-1]], np.argmin(same, axis=1), -1)
+        most = np.empty(len(rows), np.int64)
+        most[order] = np.maximum(np.append(length_of, -1), np.append(-1, length_of))
+        ends.append(most)
+    alone = (ends[0] < 0) | (ends[1] < 0)
+    out = rows.copy()
+    out["lead"] = np.maximum(rows["lead"], np.maximum(w - 1 - ends[0], 0))
+    out["tail"] = np.minimum(rows["tail"], w - 1 + GRAM + np.maximum(ends[1], 0))
+    return out[~alone & (out["tail"].astype(np.int64) - out["lead"] >= length)]
+
+
 def context_type(length: int) -> np.dtype:
     """A context's bytes; those before lead and from tail on don't count."""
     return np.dtype([("key", "<u8"), ("rid", "<i8"), ("pos", "<i4"), ("lead", "<u2"), ("tail", "<u2"), ("bytes", "u1", (length + reach(length) - 1,))])

@@ -63,6 +63,24 @@ def test_very_common_grams_are_split(monkeypatch):
     assert [substrings.without(d, i, marks, False) for i, d in enumerate(docs)] == removed_by_hand([d.decode() for d in docs])
 
 
+def test_contexts_are_compared_by_what_they_share():
+    """Near copies with an edit every 150 bytes: what no other context shares isn't sorted, and the same is covered."""
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
+    docs = [text, *(bytes(c if i % 150 != k * 7 else 33 + k for i, c in enumerate(text)) for k in range(1, 6)), bytes(rng.choice(b"xy") for _ in range(300)) * 2]
+    covered, several = substrings.first_contexts(substrings.anchors(docs, list(range(len(docs)))))
+    cut = np.concatenate([substrings.cut_out(d, several[several["rid"] == i], 100) for i, d in enumerate(docs)])
+    cut = cut[np.argsort(cut["key"], kind="stable")]
+    spans, before, after = [], 0, 0
+    for at in substrings.blocks(cut["key"], 7):
+        own = substrings.shared_part(cut[at], 100)
+        before, after = before + (substrings.symbols(cut[at]) > 0).sum(), after + (substrings.symbols(own) > 0).sum()
+        spans.append(substrings.repeated(substrings.symbols(own), own["rid"], own["pos"], 100))
+    marks = substrings.merged(covered, np.concatenate(spans), substrings.reach(100), 100)
+    assert after < 0.85 * before
+    assert [substrings.without(d, i, marks, False) for i, d in enumerate(docs)] == removed_by_hand([d.decode() for d in docs])
+
+
 def classes_by_hand(texts, n, num, den):
     sets = []
     for t in texts:
