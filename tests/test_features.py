@@ -329,6 +329,16 @@ def test_merges_deal_out_narrow_tables_first_and_keep_the_order_of_columns(spark
     assert ["merchant_id" in x and "user_id" not in x for x in joins[:2]] == [False, True] and "coupon_id" in joins[4] and "user_id" in joins[4]
 
 
+@pytest.mark.parametrize("entity", ["user", "merchant", "coupon", "user_merchant", "user_coupon"])
+def test_features_of_receipts_are_those_of_all_days(spark, entity):
+    """Only days with a receipt in one of the ranges, with the values that all events give; early days see day 0."""
+    past, ranges, keys = queries.Past(spark, SMALL), ((20, 40), (121, 243), (258, 304)), [*KEYS[entity], "date"]
+    days = past.prepared.where("event_type = 'offline_receive_coupon' AND (t BETWEEN 20 AND 40 OR t BETWEEN 121 AND 243 OR t BETWEEN 258 AND 304)").withColumn("date", F.col("t")).select(keys).dropna().distinct()
+    whole = rounded(past.entity(entity)).join(days, keys, "left_semi")
+    own = rounded(past.entity(entity, receipts=ranges))
+    assert own.count() == days.count() and own.select(whole.columns).exceptAll(whole).count() == 0 and whole.count() == days.count()
+
+
 def test_both_ranges_of_a_data_set_are_one_table(spark, monkeypatch):
     made = []
     monkeypatch.setattr(queries, "stored", lambda spark, folder, name, *more: made.append(name) or files.stored(spark, folder, name, *more))
