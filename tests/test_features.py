@@ -315,6 +315,35 @@ def test_parts_of_features_grow_with_the_files(spark, monkeypatch, entity):
     assert rounded(many).exceptAll(rounded(few)).count() == 0
 
 
+def test_days_of_buckets_that_meet_steps_are_dealt_into_parts_of_the_files(spark, monkeypatch):
+    """The union of days and steps of distinct values has no buckets; its parts are as many as the inputs' size asks for."""
+    size = sum(n for _, n, _ in files.state_of(spark, SMALL, INPUTS))
+    few = Log(spark, SMALL).entity("user")
+    assert files.in_buckets(spark, SMALL, "events", "user_id")
+    monkeypatch.setattr(files, "PART_BYTES", -(-size // 11))
+    many = Log(spark, SMALL).entity("user")
+    assert many.rdd.getNumPartitions() == 11 and rounded(many).exceptAll(rounded(few)).count() == 0
+
+
+def test_the_log_is_joined_in_parts_of_the_files(spark, monkeypatch):
+    """No join of the log's derivation keeps to Spark's number of parts where the inputs' size asks for more."""
+    monkeypatch.setattr(queries, "stored", lambda spark, folder, name, build, inputs=(): build())
+    monkeypatch.setattr(files, "PART_BYTES", -(-sum(n for _, n, _ in files.state_of(spark, SMALL, INPUTS)) // 11))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = Log(spark, SMALL).lines._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert len(dealt) == 4 and all(", 11)" in x for x in dealt)
+        own = Log(spark, SMALL).prepared
+        dealt = [x for x in own._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(user_id" in x and "merchant_id" not in x]
+        assert dealt and all(", 11)" in x for x in dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    monkeypatch.undo()
+    assert rounded(own).exceptAll(rounded(Log(spark, SMALL).prepared)).count() == 0
+
+
 def test_merges_deal_out_narrow_tables_first_and_keep_the_order_of_columns(spark):
     d, names = dt.date(1996, 5, 1), {"user": 5, "merchant": 4, "coupon": 3, "user_merchant": 2, "user_coupon": 1}
     rows = spark.createDataFrame([(1, 2, "a", d, 3.0, "150:20", True), (7, None, "b", d, None, None, False)], "user_id long, merchant_id long, coupon_id string, date date, distance double, discount_name string, label boolean")
